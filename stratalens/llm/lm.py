@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from stratalens.llm.common import cut
 
-MU = 100.0
+MU = 300.0
 HEAVY = 2e-5
 BLOCK_TOKENS = 1 << 20
 SHARD_BYTES = 24 << 20
@@ -97,14 +97,14 @@ def _quantise(logs: np.ndarray) -> tuple[np.ndarray, float, float]:
 class Trie:
     """One shard: words with their counts and quantised log p and log B, and below them pairs with quantised log A."""
 
-    def __init__(self, words, counts, heads, tails, pairs, total: int, distinct: int):
+    def __init__(self, words, counts, heads, tails, pairs, total: int, distinct: int, mu: float):
         self.file = tempfile.TemporaryFile()  # noqa: SIM115  closed with the trie; it has no name, so nothing is left behind
         self.counts = self._store(counts.astype(np.uint32))
         n = max(1, len(words))
         wide = max(1, int(np.ceil(max(0.0, 64 - np.log2(n)) / 8)))
         self.words = EliasFano(words, min(wide, 7), self._store)
         p = (counts + 1) / (total + distinct + 1)
-        self.p, self.b, self.a = (self._codes(np.log10(x)) for x in (p, MU / (counts + MU), pairs / MU + p[heads]))
+        self.p, self.b, self.a = (self._codes(np.log10(x)) for x in (p, mu / (counts + mu), pairs / mu + p[heads]))
         self.pairs = EliasFano(heads.astype(np.uint64) << np.uint64(TAIL) | tails, TAIL // 8, self._store)
         self.unseen = np.log10(1 / (total + distinct + 1))
 
@@ -271,8 +271,8 @@ def _heavy(batches, least: float):
 class Heavy:
     """The broadcast part: heavy words and pairs with their counts, sorted for look-ups."""
 
-    def __init__(self, rows, total: int, distinct: int, starts: int):
-        self.total, self.distinct, self.starts = total, distinct, starts
+    def __init__(self, rows, total: int, distinct: int, starts: int, mu: float):
+        self.total, self.distinct, self.starts, self.mu = total, distinct, starts, mu
         words = sorted((r["w"] % (1 << 64), r["n"]) for r in rows if not r["pair"])
         self.words, self.counts = np.array([w for w, _ in words], np.uint64), np.array([n for _, n in words], np.int64)
         place = {w: i for i, (w, _) in enumerate(words)}
@@ -301,7 +301,7 @@ def _ask(batches, shards: int, heavy):
         block, n = first + number, len(ids)
         words, place, previous = _paired(sizes, tokens)
         doc = np.repeat(np.arange(n), sizes)
-        base, lm, known = np.zeros(n), np.full(n, np.log10(MU / (h.starts + MU))), np.zeros(n)
+        base, lm, known = np.zeros(n), np.full(n, np.log10(h.mu / (h.starts + h.mu))), np.zeros(n)
         mine = h.find(h.words, words)
         p = np.where(mine >= 0, (h.counts[mine] if len(h.counts) else 0) + 1, 1) / scale
         local = mine[place] >= 0
@@ -309,7 +309,7 @@ def _ask(batches, shards: int, heavy):
         known += np.bincount(doc[local], minlength=n)
         follows = local & (tokens != END)
         if len(h.counts):
-            lm += np.bincount(doc[follows], np.log10(MU / (h.counts + MU))[mine[place[follows]]], n)
+            lm += np.bincount(doc[follows], np.log10(h.mu / (h.counts + h.mu))[mine[place[follows]]], n)
         order = np.lexsort((doc, previous, place))
         place, previous, doc = place[order], previous[order], doc[order]
         key = place << 32 | previous
@@ -319,7 +319,7 @@ def _ask(batches, shards: int, heavy):
         pair = np.where(mine[head] >= 0, h.find(h.pairs, mine[head].clip(0).astype(np.uint64) << np.uint64(TAIL) | tail), -1)
         own = np.repeat(pair >= 0, times)
         if own.any():
-            loga = np.log10(h.pair_counts[pair.clip(0)] / MU + p[head])
+            loga = np.log10(h.pair_counts[pair.clip(0)] / h.mu + p[head])
             lm += np.bincount(doc[own], np.repeat(loga, times)[own], n)
         asked = pair < 0
         head, tail, times, doc = head[asked], tail[asked], times[asked], doc[~own]
@@ -339,13 +339,13 @@ def _ask(batches, shards: int, heavy):
 _ANSWER = "block bigint, docs binary, ids array<string>, held binary, sizes binary, base binary, lm binary, known binary"
 
 
-def _answer(asked: pd.DataFrame, shard: pd.DataFrame, total: int, distinct: int, least: float) -> pd.DataFrame:
+def _answer(asked: pd.DataFrame, shard: pd.DataFrame, total: int, distinct: int, least: float, mu: float) -> pd.DataFrame:
     """One shard: build its trie and answer the blocks' questions with sums by document."""
     if len(shard):
-        trie = Trie(*_arrays(shard.iloc[0]), total, distinct)
+        trie = Trie(*_arrays(shard.iloc[0]), total, distinct, mu)
     else:
         none = np.array([], np.int64)
-        trie = Trie(none.astype(np.uint64), none, none, none.astype(np.uint64), none, total, distinct)
+        trie = Trie(none.astype(np.uint64), none, none, none.astype(np.uint64), none, total, distinct, mu)
     out = []
     for r in asked.itertuples():
         if r.words is None:
@@ -376,7 +376,7 @@ def _gather(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": own["ids"], "held_out": np.frombuffer(own["held"], bool), "n_tokens": np.frombuffer(own["sizes"], "<i8"), "n_known": np.rint(sums["known"]).astype(np.int64), "base_score": sums["base"], "score": sums["lm"]})
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: float = MU) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Null text is empty and has its end token alone. A null id is scored like any other and counts as training text;
@@ -394,12 +394,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     least = max(2.0, HEAVY * total)
     # No more than total / least words and as many pairs can be heavy.
     heavy = merged.mapInArrow(partial(_heavy, least=least), "w bigint, tail bigint, n bigint, pair boolean").collect()
-    shared = spark.sparkContext.broadcast(Heavy(heavy, total, distinct, starts))
+    shared = spark.sparkContext.broadcast(Heavy(heavy, total, distinct, starts, mu))
     asked = base.mapInArrow(partial(_ask, shards=shards, heavy=shared), _ASKED_TYPES)
-    answers = asked.groupBy("shard").cogroup(merged.groupBy("shard")).applyInPandas(partial(_answer_group, total=total, distinct=distinct, least=least), _ANSWER)
+    answers = asked.groupBy("shard").cogroup(merged.groupBy("shard")).applyInPandas(partial(_answer, total=total, distinct=distinct, least=least, mu=mu), _ANSWER)
     scored = answers.groupBy("block").applyInPandas(_gather, "id string, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return scored.select(F.col("id").cast(kind).alias("id"), "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
-
-
-def _answer_group(asked: pd.DataFrame, shard: pd.DataFrame, total: int, distinct: int, least: float) -> pd.DataFrame:
-    return _answer(asked, shard, total, distinct, least)
