@@ -1 +1 @@
-
+"""Values, columns and aggregations."""

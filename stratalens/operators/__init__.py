@@ -1 +1 @@
-
+"""Analyses."""

@@ -1 +1 @@
-
+"""Readers and normalisation of tables."""

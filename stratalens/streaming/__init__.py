@@ -1 +1 @@
-
+"""Streams of deliveries."""
