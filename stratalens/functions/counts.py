@@ -33,9 +33,19 @@ def ranked(counts: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
 
 
 def group_sizes(frame: DataFrame, keys: list[str], targets: list[str], kinds: dict, by: list[str] = ()) -> DataFrame:
-    """(by.., keys.., feature, value, n): rows per group and value of each target, the finest counts of a dependency test."""
+    """(_g0.., feature, value, n): rows per group and value of each target, the finest counts of a dependency test.
+
+    The grouping columns go by number, so that a column may have any name.
+    """
     keep = list(dict.fromkeys([*by, *keys]))
-    return melt(frame, kinds, [t for t in targets if t not in keys], keep).groupBy(*map(quoted, keep), "feature", "value").agg(rows_().alias("n"))
+    wanted = list(targets)
+    named = frame.select(*(quoted(c).alias(f"_g{i}") for i, c in enumerate(keep)), *(quoted(t).alias(f"_t{i}") for i, t in enumerate(wanted)))
+    cells = melt(named, {f"_t{i}": kinds[t] for i, t in enumerate(wanted)}, [f"_t{i}" for i in range(len(wanted))], numbered(keep), labels=wanted)
+    return cells.groupBy(*numbered(keep), "feature", "value").agg(rows_().alias("n"))
+
+
+def numbered(columns) -> list[str]:
+    return [f"_g{i}" for i in range(len(columns))]
 
 
 def modal(counts: DataFrame, groups: list[str], dropna: bool = True, missing_first: bool = True) -> DataFrame:
@@ -94,7 +104,8 @@ def impurity(frame: DataFrame, sets: list[tuple[str, ...]], label: Column) -> li
     parts = []
     labelled = frame.withColumn("_label", label)
     for i, s in enumerate(sets):
-        pairs = labelled.groupBy(*map(quoted, s), "_label").agg(rows_().alias("n")).groupBy(*map(quoted, s)).agg(F.sum("n").alias("n"), F.max("n").alias("m"))
+        named = labelled.select(*(quoted(c).alias(f"_g{j}") for j, c in enumerate(s)), "_label")
+        pairs = named.groupBy(*named.columns).agg(rows_().alias("n")).groupBy(*numbered(s)).agg(F.sum("n").alias("n"), F.max("n").alias("m"))
         parts.append(pairs.agg(F.lit(i).alias("i"), F.sum("n").alias("n"), F.sum("m").alias("m")))
     every = parts[0]
     for p in parts[1:]:

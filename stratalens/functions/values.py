@@ -100,9 +100,9 @@ def json_value(value):
     raise TypeError(f"unsupported value type {type(value).__name__}")
 
 
-def melt(frame: DataFrame, kinds: dict[str, str], columns: list[str], keep: list[str] = (), name: str = "feature", value: str = "value") -> DataFrame:
-    """One row per row and column: kept columns, the column's name, and its typed value."""
-    cells = [F.struct(F.lit(c).alias(name), typed(quoted(c), kinds[c]).alias(value)) for c in columns]
-    empty = F.expr(f"cast(array() as array<struct<{name}:string,{value}:{VALUE_TYPE}>>)")
+def melt(frame: DataFrame, kinds: dict[str, str], columns: list[str], keep: list[str] = (), labels: list[str] | None = None) -> DataFrame:
+    """One row per row and column: kept columns, feature (the column's name or label), and value (its typed value)."""
+    cells = [F.struct(F.lit(n).alias("feature"), typed(quoted(c), kinds[c]).alias("value")) for c, n in zip(columns, labels or columns)]
+    empty = F.expr(f"cast(array() as array<struct<feature:string,value:{VALUE_TYPE}>>)")
     rows = frame.select(*map(quoted, keep), F.explode(F.array(*cells) if cells else empty).alias("_cell"))
-    return rows.select(*map(quoted, keep), F.col("_cell")[name].alias(name), F.col("_cell")[value].alias(value))
+    return rows.select(*map(quoted, keep), F.col("_cell")["feature"].alias("feature"), F.col("_cell")["value"].alias("value"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stratalens.context import Prepared, columns, prepare, whole
-from stratalens.functions.counts import complete, ranked, rows_
+from stratalens.functions.counts import complete, numbered, ranked, rows_
 from stratalens.functions.values import json_value, quoted
 from stratalens.operators.levels import _limits, check_roles
 from stratalens.result import Result
@@ -16,9 +16,10 @@ from stratalens.runtime import operation, phase
 
 def top_values(frame: DataFrame, column: str, top_n: int, parents: list[str] = ()) -> DataFrame:
     """The most frequent values of a column, for each combination of the parent columns if there are any."""
-    counts = frame.groupBy(*map(quoted, [*parents, column])).agg(rows_().alias("n"))
-    order = ranked(counts, list(parents), [quoted(column).asc_nulls_last()])
-    return order.where(F.col("rank") <= top_n).drop("n", "rank")
+    names = [*parents, column]
+    counts = frame.groupBy(*(quoted(c).alias(f"_g{i}") for i, c in enumerate(names))).agg(rows_().alias("n"))
+    order = ranked(counts, numbered(parents), [F.col(f"_g{len(parents)}").asc_nulls_last()])
+    return order.where(F.col("rank") <= top_n).select(*(F.col(f"_g{i}").alias(c) for i, c in enumerate(names)))
 
 
 def _semi(frame: DataFrame, kept: DataFrame, on: list[str]) -> DataFrame:
@@ -50,7 +51,8 @@ def tree_table(frame: DataFrame, dims: list[str], *, top_n=None, per_parent: boo
     passes top_n, min_count and max_levels in that order and its parent is shown; numbers follow breadth-first order,
     which is the order of (depth, ranks along the path), and stop at max_nodes.
     """
-    finest = frame.groupBy(*map(quoted, dims)).agg(rows_().alias("n"))
+    finest = frame.groupBy(*(quoted(c).alias(f"_g{i}") for i, c in enumerate(dims))).agg(rows_().alias("n"))
+    dims = numbered(dims)  # by number, so that a column may have any name
     shown, tables = None, []
     overall = {}
     if top_n is not None and not per_parent:
@@ -89,10 +91,10 @@ def tree_table(frame: DataFrame, dims: list[str], *, top_n=None, per_parent: boo
     for t in tables[1:]:
         every = every.unionByName(t)
     # Only shown prefixes are numbered, of which max_levels leaves few; the rest keep a null number.
-    numbered = every.where("_allowed").withColumn("number", F.row_number().over(Window.orderBy("depth", "_ranks")) - 1)
+    nodes = every.where("_allowed").withColumn("number", F.row_number().over(Window.orderBy("depth", "_ranks")) - 1)
     if max_nodes is not None:
-        numbered = numbered.where(F.col("number") < max_nodes)
-    return every, numbered
+        nodes = nodes.where(F.col("number") < max_nodes)
+    return every, nodes
 
 
 @operation("census")
@@ -129,13 +131,12 @@ def census(df: DataFrame, dimensions, *, top_n=None, top_n_mode: str = "post", t
             values = frame.groupBy(quoted(c).alias("v")).agg(rows_().alias("n")).orderBy(F.desc("n"), F.col("v").asc_nulls_last()).limit(10_000).collect()
             kept_levels.append({"depth": i + 1, "column": c, "values": [json_value(r["v"]) for r in values]})
     with phase("census tree"):
-        every, numbered = tree_table(frame, active, top_n=None if pre else top_n, per_parent=top_n_per_parent, max_levels=max_levels, max_nodes=max_nodes, min_count=min_count)
-        shown = numbered.orderBy("number").collect()
+        every, kept = tree_table(frame, active, top_n=None if pre else top_n, per_parent=top_n_per_parent, max_levels=max_levels, max_nodes=max_nodes, min_count=min_count)
+        shown = kept.orderBy("number").collect()
         up = F.slice("path", 1, F.col("depth") - 1)
         sums = every.groupBy(up.alias("up")).agg(rows_().alias("levels"), F.sum("n").alias("rows"), F.min("n").alias("least"), F.sum(F.col("_allowed").cast("int")).alias("allowed"))
-        wanted = {(): None} | {_path(r["path"]): r for r in shown}
         # Totals of children are only wanted for the nodes that are shown.
-        parents = numbered.select(F.col("path").alias("up")).where(F.size("up") < len(active)).unionByName(numbered.limit(0).select(F.col("path").alias("up")))
+        parents = kept.select(F.col("path").alias("up")).where(F.size("up") < len(active))
         totals = {_path(r["up"]): r for r in sums.join(parents.distinct(), "up", "left_semi").collect()}
         top = sums.where(F.size("up") == 0).first()
         if top:
@@ -150,7 +151,6 @@ def census(df: DataFrame, dimensions, *, top_n=None, top_n_mode: str = "post", t
         by_path[path] = node
         kids.setdefault(path[:-1], []).append(r["n"])
         nodes.append(node)
-    del wanted
     for path, node in by_path.items():
         if len(path) == len(active):
             continue
@@ -183,7 +183,7 @@ def census(df: DataFrame, dimensions, *, top_n=None, top_n_mode: str = "post", t
         p.base["status"] = "partial"
     p.base["warnings"] = warnings
     p.base["parameters"] = {"dimensions": dims, "top_n": top_n, "top_n_mode": top_n_mode, "top_n_per_parent": top_n_per_parent, "min_retained_fraction": min_retained_fraction, "max_depth": max_depth, "max_levels": max_levels, "max_nodes": max_nodes, "min_count": min_count, "dropna": dropna, "schema": schema}
-    return Result("census", p.base, {"nodes": numbered})
+    return Result("census", p.base, {"nodes": kept})
 
 
 def _path(path) -> tuple:

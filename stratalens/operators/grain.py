@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalens.context import Prepared, analysable, columns, prepare
-from stratalens.functions.counts import GroupCounts, complete, dependency_measures, group_sizes, modal
+from stratalens.functions.counts import GroupCounts, complete, dependency_measures, group_sizes, modal, numbered
 
 from stratalens.result import Result
 from stratalens.runtime import operation, phase
@@ -50,7 +50,7 @@ def grain_tests(frame: DataFrame, kinds: dict, specs: list[KeySpec], targets: li
     parts = []
     for s in specs:
         rows = complete(frame, s.columns) if dropna else frame
-        groups = modal(group_sizes(rows, list(s.columns), targets, kinds), list(s.columns), dropna, missing_first=False)
+        groups = modal(group_sizes(rows, list(s.columns), [t for t in targets if t not in s.columns], kinds), numbered(s.columns), dropna, missing_first=False)
         parts.append(dependency_measures(groups).select(F.lit(s.name).alias("key_name"), "feature", "evaluated_groups", "violating_groups", "affected_rows", "evaluated_rows", "singleton_groups", "repeated_groups"))
     out = parts[0]
     for p in parts[1:]:

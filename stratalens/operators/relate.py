@@ -126,11 +126,12 @@ class Relation:
     def rows(self, side: int) -> DataFrame:
         """The side's rows with their key's counts and states, and in a self-reference what becomes of the reference."""
         p = self.prepared[side]
-        rows = p.frame.withColumn("_k", self.keys[side])
+        own = [self.other[0].alias("_own")] if self.self_reference and side == 0 else []
+        rows = p.frame.select(POSITION, self.keys[side].alias("_k"), *own)
         out = rows.join(self.joined.withColumnRenamed("key", "_jk"), F.col("_k") == F.col("_jk"), "left")
         if self.self_reference and side == 0:
             edges = self.references().select(F.col("own").alias("_eo"), F.col("ref").alias("_er"), "reciprocated")
-            out = out.withColumn("_own", self.other[0]).join(edges, (F.col("_own") == F.col("_eo")) & (F.col("_k") == F.col("_er")), "left")
+            out = out.join(edges, (F.col("_own") == F.col("_eo")) & (F.col("_k") == F.col("_er")), "left")
         return out
 
     def references(self) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalens.context import POSITION, Scope, fingerprint, positioned, prepare
-from stratalens.functions.counts import complete, group_sizes, modal
+from stratalens.functions.counts import complete, group_sizes, modal, numbered
 from stratalens.functions.values import quoted
 from stratalens.operators.dependencies import exception_rows
 from stratalens.result import Result
@@ -56,8 +56,8 @@ def matching(result: Result, df: DataFrame, record: dict, exceptions: bool = Fal
     if pattern == "context_constancy":
         by, c = s["by"], s["feature"]
         inside = complete(frame, by)
-        groups = modal(group_sizes(inside, by, [c], p.kinds), by, True).where("size > 0")
-        groups = groups.where("distinct > 1" if exceptions else "distinct = 1").select(*(quoted(b).alias(f"_k{i}") for i, b in enumerate(by)))
+        groups = modal(group_sizes(inside, by, [c], p.kinds), numbered(by), True).where("size > 0")
+        groups = groups.where("distinct > 1" if exceptions else "distinct = 1").select(*(F.col(g).alias(f"_k{i}") for i, g in enumerate(numbered(by))))
         match = F.lit(True)
         for i, b in enumerate(by):
             match = match & (quoted(b) == F.col(f"_k{i}"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalens.context import POSITION
-from stratalens.functions.counts import GroupCounts, dependency_measures, distinct_groups, group_sizes, impurity, modal
+from stratalens.functions.counts import GroupCounts, dependency_measures, distinct_groups, group_sizes, impurity, modal, numbered
 from stratalens.functions.values import display, quoted
 from stratalens.operators import availability as av
 from stratalens.operators import census as ce
@@ -101,9 +101,9 @@ def levels_dropna(spark, d):
 
 
 def _tree(frame, dims, **options):
-    _, numbered = ce.tree_table(frame, dims, **options)
+    _, nodes = ce.tree_table(frame, dims, **options)
     path = F.array_join(F.transform("path", lambda x: F.coalesce(x["text"], F.lit("∅"))), "/")
-    return numbered.select("number", "depth", path.alias("path"), F.col("n").alias("cnt"))
+    return nodes.select("number", "depth", path.alias("path"), F.col("n").alias("cnt"))
 
 
 def _tree_sql(with_: str, source: str, a: str, b: str, keep_a: str = "true", keep_b: str = "true", most: int = 10000) -> str:
@@ -667,7 +667,7 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     frame, kinds = normalise(sales(spark, d))
     parts = []
     for name, cols in KEYS.items():
-        groups = modal(group_sizes(frame, list(cols), TARGETS, kinds), list(cols), False, missing_first=False)
+        groups = modal(group_sizes(frame, list(cols), TARGETS, kinds), numbered(cols), False, missing_first=False)
         parts.append(dependency_measures(groups).select(F.lit(name).alias("key_name"), "feature", (F.col("violating_groups") == 0).alias("holds"), *MEASURES))
     out = parts[0]
     for p in parts[1:]:

@@ -146,11 +146,12 @@ def operation(name: str):
 
     def wrap(function):
         names = set(inspect.signature(function).parameters)
+        open_ = any(x.kind is inspect.Parameter.VAR_KEYWORD for x in inspect.signature(function).parameters.values())
 
         @functools.wraps(function)
         def run(*args, **kwargs):
             unknown = sorted(set(kwargs) - names - set(CONTROLS))
-            if unknown:
+            if unknown and not open_:
                 raise TypeError(f"{name}() got an unexpected option {unknown[0]!r}")
             controls = {k: kwargs.pop(k) for k in CONTROLS if k in kwargs and k not in names}
             if CURRENT.get() is not None:
