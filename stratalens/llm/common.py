@@ -13,6 +13,8 @@ from pyspark.sql.window import Window
 #: A word is a run of anything but these six ASCII white-space characters.
 WORD_SEPARATORS = "\\x20\\x09-\\x0D"
 
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir; a temporary one only in local mode with none set."""
@@ -29,12 +31,18 @@ def scratch_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared scratch folder and read it back.
 
-    This cuts the lineage, so a lost executor costs a reread and not the work before it. The files go when
-    the driver's JVM ends.
+    This cuts the lineage, so a lost executor costs a reread and not the work before it. Once the table stands
+    nothing needs the shuffles that made it, so Spark is told to remove their files. The table goes when the
+    driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/scratch-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
