@@ -31,10 +31,12 @@ from stratalens.llm.common import cut
 
 MU = 300.0
 HEAVY = 2e-5
-BLOCK_TOKENS = 1 << 20
-SHARD_BYTES = 24 << 20
+BLOCK_TOKENS = 3 << 17
+COUNT_TOKENS = 1 << 19
+ROWS = 256  # texts that are turned into Python objects at a time
+SHARD_BYTES = 12 << 20
 FOLD, HELD = 7, 2
-TAIL = 40  # bits by which the predecessors of one word are told apart
+TAIL = 32  # bits by which the predecessors of one word are told apart
 #: White space cannot be part of a word, so these two are nobody's.
 START, END = (xxhash.xxh64_intdigest(x) for x in (b"\n<s>", b"\n</s>"))
 
@@ -143,7 +145,7 @@ class Hashes(dict):
     """Hashes of words, remembered."""
 
     def __missing__(self, word):
-        if len(self) > 400_000:
+        if len(self) > 120_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -154,18 +156,18 @@ def held_out(doc_id) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLD == HELD
 
 
-def _blocks(batches, hashes):
-    """Blocks of documents of about BLOCK_TOKENS tokens: ids, tokens per document, and all tokens' hashes with END."""
+def _blocks(batches, hashes, most: int):
+    """Blocks of documents of about `most` tokens: ids, tokens per document, and all tokens' hashes with END."""
     ids, sizes, tokens, n = [], [], [], 0
-    for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+    for part in (b.slice(at, ROWS) for b in batches for at in range(0, len(b), ROWS)):
+        for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
             found = (text or b"").lower().split()
             tokens.append(np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found)))
             tokens.append(np.array([END], np.uint64))
             ids.append(doc_id)
             sizes.append(len(found) + 1)
             n += len(found) + 1
-            if n >= BLOCK_TOKENS or len(ids) >= 1 << 15:
+            if n >= most or len(ids) >= 1 << 15:
                 yield ids, np.array(sizes), np.concatenate(tokens)
                 ids, sizes, tokens, n = [], [], [], 0
     if ids:
@@ -174,15 +176,13 @@ def _blocks(batches, hashes):
 
 def _paired(sizes, tokens):
     """Distinct words, and for each token its word's and its predecessor's place among them."""
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    before[np.cumsum(sizes) - sizes] = START
     words, at = np.unique(np.concatenate((tokens, np.array([START], np.uint64))), return_inverse=True)
+    at = at.astype(np.int32)
     places = at[:-1]
     previous = np.empty_like(places)
     previous[1:] = places[:-1]
     previous[np.cumsum(sizes) - sizes] = at[-1]
-    return words, places.astype(np.int64), previous.astype(np.int64)
+    return words, places, previous
 
 
 def _tail(words: np.ndarray) -> np.ndarray:
@@ -211,11 +211,11 @@ _COUNTS = "shard int, words binary, counts binary, fan binary, tails binary, pai
 def _count(batches, shards: int):
     """Per block and shard: the training tokens' words and pairs with their counts."""
     hashes = Hashes()
-    for ids, sizes, tokens in _blocks(batches, hashes):
+    for ids, sizes, tokens in _blocks(batches, hashes, COUNT_TOKENS):
         train = np.repeat([not held_out(i) for i in ids], sizes)
         words, place, previous = _paired(sizes, tokens)
         place, previous = place[train], previous[train]
-        pairs, n = np.unique(place << 32 | previous, return_counts=True)
+        pairs, n = np.unique(place.astype(np.int64) << 32 | previous, return_counts=True)
         head, tail = pairs >> 32, _tail(words[pairs & 0xFFFFFFFF])
         used, fan = np.unique(head, return_counts=True)
         counts = np.bincount(place, minlength=len(words))[used]
@@ -246,7 +246,7 @@ def _merge(rows: pd.DataFrame) -> pd.DataFrame:
     pairs = np.bincount(where, np.concatenate([np.frombuffer(b, "<u4") for b in rows["pairs"]]), len(keys)).astype("<i8")
     fan = np.bincount((keys >> np.uint64(TAIL)).astype(np.int64), minlength=len(every)).astype("<u4")
     tails = _pack_tails(keys & np.uint64((1 << TAIL) - 1))
-    starts = int(pairs[(keys & np.uint64((1 << TAIL) - 1)) == START >> (64 - TAIL)].sum())
+    starts = int(counts[every == np.uint64(END)].sum())  # each text has one end, and so one start
     out = {"shard": rows["shard"].iloc[0], "words": every.tobytes(), "counts": counts.tobytes(), "fan": fan.tobytes(), "tails": tails, "pairs": pairs.tobytes(), "total": int(counts.sum()), "distinct": len(every), "starts": starts}
     return pd.DataFrame([out])
 
@@ -297,10 +297,10 @@ def _ask(batches, shards: int, heavy):
 
     h, hashes, first = heavy.value, Hashes(), TaskContext.get().partitionId() << 24
     scale = h.total + h.distinct + 1
-    for number, (ids, sizes, tokens) in enumerate(_blocks(batches, hashes)):
+    for number, (ids, sizes, tokens) in enumerate(_blocks(batches, hashes, BLOCK_TOKENS)):
         block, n = first + number, len(ids)
         words, place, previous = _paired(sizes, tokens)
-        doc = np.repeat(np.arange(n), sizes)
+        doc = np.repeat(np.arange(n, dtype=np.int32), sizes)
         base, lm, known = np.zeros(n), np.full(n, np.log10(h.mu / (h.starts + h.mu))), np.zeros(n)
         mine = h.find(h.words, words)
         p = np.where(mine >= 0, (h.counts[mine] if len(h.counts) else 0) + 1, 1) / scale
@@ -310,9 +310,9 @@ def _ask(batches, shards: int, heavy):
         follows = local & (tokens != END)
         if len(h.counts):
             lm += np.bincount(doc[follows], np.log10(h.mu / (h.counts + h.mu))[mine[place[follows]]], n)
-        order = np.lexsort((doc, previous, place))
-        place, previous, doc = place[order], previous[order], doc[order]
-        key = place << 32 | previous
+        key = place.astype(np.int64) << 32 | previous
+        order = np.argsort(key, kind="stable")  # documents stay in order within a pair
+        key, place, previous, doc = key[order], place[order], previous[order], doc[order]
         new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         times = np.diff(np.append(new, len(key)))
         head, tail = place[new], _tail(words[previous[new]])
@@ -361,7 +361,7 @@ def _answer(asked: pd.DataFrame, shard: pd.DataFrame, total: int, distinct: int,
         base = np.bincount(doc, np.where(light, np.log10((count + 1) / (total + distinct + 1)), 0)[word], len(docs))
         known = np.bincount(doc, (light & (count > 0)).astype(float)[word], len(docs))
         lm = np.bincount(doc, np.repeat(loga, times) + np.where(follows, logb, 0)[word], len(docs))
-        out.append((r.block, docs.astype("<u2").tobytes(), None, None, None, base.tobytes(), lm.tobytes(), known.tobytes()))
+        out.append((r.block, docs.astype("<u2").tobytes(), None, None, None, base.tobytes(), lm.astype("<f4").tobytes(), known.astype("<u4").tobytes()))
     return pd.DataFrame(out, columns=["block", "docs", "ids", "held", "sizes", "base", "lm", "known"])
 
 
@@ -371,8 +371,8 @@ def _gather(rows: pd.DataFrame) -> pd.DataFrame:
     sums = {c: np.frombuffer(own[c]).copy() for c in ("base", "lm", "known")}
     for r in rows[rows["docs"].notnull()].itertuples():
         docs = np.frombuffer(r.docs, "<u2")
-        for c, s in sums.items():
-            s[docs] += np.frombuffer(getattr(r, c))
+        for (c, s), kind in zip(sums.items(), ("<f8", "<f4", "<u4")):
+            s[docs] += np.frombuffer(getattr(r, c), kind)
     return pd.DataFrame({"id": own["ids"], "held_out": np.frombuffer(own["held"], bool), "n_tokens": np.frombuffer(own["sizes"], "<i8"), "n_known": np.rint(sums["known"]).astype(np.int64), "base_score": sums["base"], "score": sums["lm"]})
 
 
