@@ -16,8 +16,8 @@ RANGE = 256  # lengths whose running sums one window works out
 
 def _lengths(batches, path: str):
     for batch in batches:
-        encode = tokens.encoder(path).encode
-        yield pa.RecordBatch.from_arrays([pa.array([len(encode(t)) // 4 for t in batch.column(0).to_pylist()], pa.int64())], ["length"])
+        ids = tokens.encoder(path).encode_many(batch.column(0).to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([len(x) // 4 for x in ids], pa.int64())], ["length"])
 
 
 def histogram(docs: DataFrame, path: str | None = None, text_col: str = "text") -> DataFrame:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 from functools import lru_cache
 
-import numpy as np
 
-#: Pieces that one worker remembers; beyond that it starts afresh.
-REMEMBERED = 200_000
+#: Pieces in one generation of a worker's memory; the generation before is kept until the next is full.
+REMEMBERED = 350_000
 #: White space, if any, and the text up to the next white space. No pre-token of a byte-level BPE of this kind runs
 #: from other text into white space, so the pieces can be encoded one by one. Python counts these four control
 #: characters as white space and the tokenizer does not, so texts that have them are encoded whole.
@@ -28,35 +29,61 @@ def load(path: str):
     return tokenizer
 
 
+def _bytes(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
+class Pieces(dict):
+    """Ids by piece: what is found in the older generation moves to this one."""
+
+    older: dict = {}  # never written to
+
+    def __missing__(self, piece):
+        ids = self[piece] = self.older[piece]
+        return ids
+
+
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids."""
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = load(path), {}
+        self.tokenizer, self.known = load(path), Pieces()
 
     def _raw(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if UNSURE.search(text):
-            return self._raw(text)
-        pieces = PIECES.findall(text)
+        return next(self.encode_many([text]))
+
+    def encode_many(self, texts, at_once: int = 256):
+        """The ids of each text; texts are taken some at a time, so that new pieces are found and encoded together."""
+        for at in range(0, len(texts), at_once):
+            part = texts[at : at + at_once]
+            split = [PIECES.findall(t) if t else [] for t in part]
+            odd = self._learn(set().union(*split))
+            ids = self.known.__getitem__
+            for text, pieces in zip(part, split):
+                if odd and not odd.isdisjoint(pieces):
+                    yield self._raw(text)
+                else:
+                    yield b"".join(map(ids, pieces))
+
+    def _learn(self, pieces: set[str]) -> set[str]:
+        """Encode the pieces that are not known; those that cannot be told from white space are given back instead."""
         known = self.known
-        try:
-            return b"".join(map(known.__getitem__, pieces))
-        except KeyError:
-            pass
-        new = [p for p in dict.fromkeys(pieces) if p not in known]
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = list(dict.fromkeys(pieces))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for piece, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[piece] = np.array(found.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, pieces))
+        if len(known) > REMEMBERED:
+            known = Pieces()
+            known.older, self.known = dict(self.known), known
+        new = [p for p in pieces if p not in known and p not in known.older]
+        odd = {p for p in new if UNSURE.search(p)}
+        if odd:
+            new = [p for p in new if p not in odd]
+        for piece, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False) if new else ()):
+            known[piece] = _bytes(found.ids)
+        return odd
 
 
 @lru_cache(maxsize=4)
