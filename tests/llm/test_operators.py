@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from stratalens.llm import html, lengths, lm, mixing, packing, pii, quality, queries, simhash, suffixes, tokens, topk
+from stratalens.llm import html, lengths, lm, mixing, packing, pii, quality, queries, shingles, simhash, suffixes, tokens, topk
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -121,8 +121,62 @@ def test_keep_first(docs, rows):
     assert set(ids) - {None} == {c for c in found.values() if c is not None}
 
 
+def slow_shingles(text):
+    words = WORD.findall(lower(text))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def slow_jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def shingle_fixture():
+    """40 texts of 60 words with copies of one to five changed words each, a dense group and odd texts."""
+    rng = random.Random(21)
+    texts = []
+    for _ in range(40):
+        base = prose(rng, 60, 5000).split(" ")
+        texts.append(" ".join(base))
+        for n in (1, 1, 2, 3, 5):
+            at = rng.randrange(55)
+            texts.append(" ".join(f"new{rng.random()}" if at <= i < at + n else w for i, w in enumerate(base)))
+    dense = prose(rng, 100, 5000).split(" ")
+    texts += [" ".join(f"d{rng.random()}" if i in at else w for i, w in enumerate(dense)) for at in (rng.sample(range(100), 4) for _ in range(60))]
+    return texts + [None, "", " ", "One two", "one  TWO", "one two three"]
+
+
+def test_near_texts_are_linked(spark):
+    texts = shingle_fixture()
+    sets = [slow_shingles(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    near = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if slow_jaccard(sets[i], sets[j]) >= 0.8]
+    for i, j in near:
+        root[max(find(i), find(j))] = min(find(i), find(j))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    kept = sorted(r["doc_id"] for r in shingles.keep_first(df).collect())
+    assert kept == sorted({find(i) for i in root})  # no link of the brute force is missed here, and none is made up
+    share = lambda bands: sum(bool(set(bands(i)) & set(bands(j))) for i, j in near) / len(near)
+    assert len(near) > 100 and share(lambda i: shingles.signature(shingles.split(texts[i]))[0] or [0]) >= 0.99
+
+
+def test_changed_word_goes_in_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    words = prose(rng, 60, 4000).split(" ")
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words[:58], "changed", words[59]])), (3, prose(rng, 60, 4000))], "doc_id bigint, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, str(tmp_path)).collect()) == [1, 3]
+
+
 def test_simhash_empty(empty):
     assert simhash.near_duplicates(empty).count() == 0
+    assert shingles.keep_first(empty).count() == 0
 
 
 # ---- 2 ------------------------------------------------------------------------------------------------------
