@@ -161,11 +161,8 @@ def keep_least(keyed: DataFrame, node: str, roots: DataFrame, id_col: str) -> Da
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs with one row of each group of near duplicates, the one with the smallest id.
-
-    Rows with a null id all stay, since no id says which of them to keep.
-    """
-    found = near_duplicates(docs, id_col=id_col, **options)
-    keep = found.groupBy("component").agg(F.count(F.lit(1)).alias("_n")).where("component is not null").select(F.col("component").alias("_keep"))
-    kept = docs.join(keep, F.col(id_col) == F.col("_keep"), "left").where(F.col("_keep").isNotNull() | F.col(id_col).isNull())
-    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+    """docs with exactly one row of each group of near duplicates: the smallest id, null last; of equal ids any one row."""
+    keyed = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+    found = near_duplicates(keyed, id_col="_row", **options)
+    roots = found.select(F.col("id").alias("_n"), F.col("component").alias("root"))
+    return keep_least(keyed, "_row", roots, id_col).select(*(F.col(f"`{c}`") for c in docs.columns))

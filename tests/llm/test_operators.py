@@ -121,6 +121,15 @@ def test_keep_first(docs, rows):
     assert set(ids) - {None} == {c for c in found.values() if c is not None}
 
 
+def test_keep_first_keeps_one_row_of_each(spark):
+    text = "a plain sentence of some eight or nine words"
+    rows = [(1, text), (1, text), (1, "quite another text with nothing of it in common at all"), (2, text), (None, text), (None, "null ids may stand alone here too"), (None, "null ids may stand alone here too")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    for keep in (simhash.keep_first, shingles.keep_first):
+        kept = [tuple(r) for r in keep(df).collect()]
+        assert sorted(kept, key=str) == sorted([rows[0], rows[2], rows[5]], key=str)
+
+
 def slow_shingles(text):
     words = WORD.findall(lower(text))
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
@@ -176,7 +185,7 @@ def test_changed_word_goes_in_pipeline(spark, tmp_path):
 
 def test_simhash_empty(empty):
     assert simhash.near_duplicates(empty).count() == 0
-    assert shingles.keep_first(empty).count() == 0
+    assert shingles.keep_first(empty).count() == 0 == simhash.keep_first(empty).count()
 
 
 # ---- 2 ------------------------------------------------------------------------------------------------------
