@@ -48,6 +48,11 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs as a scratch table with _row, a number of its own for every row."""
+    return cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+
+
 def word_count(text: Column) -> Column:
     """Number of words, 0 for null: each word shrinks to one letter, then what is left is measured."""
     marks = F.regexp_replace(text, f"[{WORD_SEPARATORS}]*+[^{WORD_SEPARATORS}]++", "x")

@@ -47,11 +47,17 @@ def measure(text: str | None) -> tuple[int, int, int, int, int]:
     return n, chars, symbols, len(lines) - len(set(lines)), repeated
 
 
-def _measure(batches):
+def _measure(batches, at: int, carried: list[str]):
     for batch in batches:
-        counts = zip(*map(measure, batch.column(2).to_pylist()))
+        counts = zip(*map(measure, batch.column(at).to_pylist()))
         columns = [pa.array(c, pa.int64()) for c in counts] or [pa.array([], pa.int64())] * len(MEASURES)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["id", "host", *MEASURES])
+        yield pa.RecordBatch.from_arrays([*batch.select(carried).columns, *columns], [*carried, *MEASURES])
+
+
+def measured_rows(base: DataFrame, text: str, carried: list[str]) -> DataFrame:
+    """The carried columns of base and the five counts of its column `text`, as a scratch table."""
+    schema = T.StructType([*(base.schema[c] for c in carried), *(field(m, "bigint") for m in MEASURES)])
+    return cut(base.mapInArrow(partial(_measure, at=base.columns.index(text), carried=carried), schema))
 
 
 def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
@@ -102,8 +108,11 @@ def host_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     host = F.col(host_col) if isinstance(host_col, str) else host_col
     base = docs.select(F.col(id_col).alias("id"), host.alias("host"), F.col(text_col).alias("text"))
-    schema = T.StructType([field("id", base.schema["id"].dataType), field("host", base.schema["host"].dataType), *(field(m, "bigint") for m in MEASURES)])
-    measured = cut(base.mapInArrow(_measure, schema))
+    return judged(measured_rows(base, "text", ["id", "host"]), suspect, banned)
+
+
+def judged(measured: DataFrame, suspect: float = 0.5, banned: float = 0.8) -> DataFrame:
+    """measured (host, the five counts and any others) with failed and kept for every row."""
     tests = rules(measured)
     names = ["base", *tests]
     broken = {"base": base_failed(F.col("n_words"), F.col("n_repeat_words"))} | {r: b for r, (b, _) in tests.items()}
@@ -118,16 +127,17 @@ def host_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     against = F.coalesce(F.col("_banned"), F.lit(False))
     for r, (_, nearly) in tests.items():
         against = against | (F.coalesce(F.col(f"_suspect_{r}"), F.lit(False)) & nearly)
-    return joined.select("id", "host", *MEASURES, broken["base"].alias("failed"), (~broken["base"] & ~against).alias("kept"))
+    return joined.select(*measured.columns, broken["base"].alias("failed"), (~broken["base"] & ~against).alias("kept"))
 
 
-def keep_good(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs without those that the rules or their host's verdict reject; rows with a null id are judged by no join and go."""
-    found = host_verdicts(docs, id_col=id_col, **options)
-    # rows that share an id stay only if all of them are kept
-    good = found.groupBy(F.col("id").alias("_good")).agg(F.min("kept").alias("_kept")).where("_kept")
-    kept = docs.join(good, F.col(id_col) == F.col("_good"))
-    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+def keep_good(docs: DataFrame, text_col: str = "text", host_col: str | Column = "source", **options) -> DataFrame:
+    """docs without those rows that the rules or their host's verdict reject, whatever their ids."""
+    host = F.col(host_col) if isinstance(host_col, str) else host_col
+    names = [f"_{i}" for i in range(len(docs.columns))]
+    # the columns are numbered meanwhile, as one may have a name that is used here
+    base = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)), host.alias("host"))
+    found = judged(measured_rows(base, names[docs.columns.index(text_col)], base.columns), **options)
+    return found.where("kept").select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names)))
 
 
 def _oracle() -> str:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratalens.llm.common import cut, field
+from stratalens.llm.common import cut, field, keyed
 
 BITS = 64
 SEED = 42
@@ -148,21 +148,21 @@ def near_duplicates(docs: DataFrame, k: int = 4, words: int = 4, id_col: str = "
     return prints.join(classes, F.col("fp") == F.col("f")).select("id", "fp", "component")
 
 
-def keep_least(keyed: DataFrame, node: str, roots: DataFrame, id_col: str) -> DataFrame:
-    """keyed, whose _row is unique and fixed, with one row of each component of (_n, root): the smallest (id, _row), a null id last.
+def keep_least(rows: DataFrame, node: str, roots: DataFrame, id_col: str) -> DataFrame:
+    """rows, whose _row is unique and fixed, with one row of each component of (_n, root): the smallest (id, _row), a null id last.
 
     A node that is not in roots is a component of its own.
     """
     order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_row").alias("row"))
-    least = keyed.groupBy(F.col(node).alias("_m")).agg(F.min(order).alias("_least"))
+    least = rows.groupBy(F.col(node).alias("_m")).agg(F.min(order).alias("_least"))
     named = least.join(roots, F.col("_m") == F.col("_n"), "left")
     keep = named.groupBy(F.coalesce("root", "_m").alias("_root")).agg(F.min("_least").alias("_least")).select(F.col("_least.row").alias("_keep"))
-    return keyed.join(keep, F.col("_row") == F.col("_keep"), "left_semi")
+    return rows.join(keep, F.col("_row") == F.col("_keep"), "left_semi")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """docs with exactly one row of each group of near duplicates: the smallest id, null last; of equal ids any one row."""
-    keyed = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
-    found = near_duplicates(keyed, id_col="_row", **options)
+    rows = keyed(docs)
+    found = near_duplicates(rows, id_col="_row", **options)
     roots = found.select(F.col("id").alias("_n"), F.col("component").alias("root"))
-    return keep_least(keyed, "_row", roots, id_col).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return keep_least(rows, "_row", roots, id_col).select(*(F.col(f"`{c}`") for c in docs.columns))

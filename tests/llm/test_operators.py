@@ -554,5 +554,32 @@ def test_pipeline(spark, tmp_path):
     assert Counter(packed[packed.piece == 0].doc_id) == copies
 
 
+def test_stages_judge_rows_not_ids(spark):
+    rng = random.Random(12)
+    clean = [prose(rng, 40, 4000) for _ in range(6)]
+    rows = [(1, clean[0]), (1, "short"), (None, clean[1]), (None, clean[2]), (None, "short"), (2, clean[3]), (2, clean[3])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("source", F.lit("s")).withColumn("n_words", F.lit("clash")).repartition(3)
+    good = quality.keep_good(df)
+    assert good.columns == df.columns
+    assert Counter(r["text"] for r in good.collect()) == Counter(t for _, t in rows if t != "short")
+    mixed = mixing.apply_mix(good, budget=2.0)
+    assert mixed.columns == df.columns
+    assert Counter(r["text"] for r in mixed.collect()) == Counter(2 * [t for _, t in rows if t != "short"])
+    one = spark.createDataFrame([(1, clean[0]), (1, "short text"), (None, clean[1])], "doc_id bigint, text string").withColumn("source", F.lit("s"))
+    assert Counter(r["text"] for r in mixing.apply_mix(one, budget=2.0).collect()) == Counter(2 * [clean[0], "short text", clean[1]])
+
+
+def test_redaction_by_row(spark, monkeypatch):
+    texts = ["call 555-867-5309 now", "a text with no number in it at all", "ask at 555-867-5309"]
+    df = spark.createDataFrame(list(zip([1, 1, None], texts)), "doc_id bigint, text string")
+
+    def found(base, **options):  # every loose phone is added
+        spans = F.transform(pii.places(F.col("_text"), pii.LOOSE["phone"]), lambda x: F.struct(F.lit(3).alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
+        return base.where("_id is not null").select(F.col("_id").alias("_x"), spans.alias("_extra")).where(F.size("_extra") > 0)
+
+    monkeypatch.setattr(pii, "added_spans", found)
+    assert sorted(r["text"] for r in pii.redact_documents(df).collect()) == sorted(["call <phone> now", texts[1], "ask at <phone>"])
+
+
 def test_hash_order_matches_sql():
     assert hashlib.md5(b"17,5").hexdigest()[:13] == "%013x" % int(hashlib.md5(b"17,5").hexdigest()[:13], 16)
