@@ -8,6 +8,8 @@ into columns. The walk keeps its own stack, so depth is no limit.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -18,9 +20,11 @@ from pyspark.sql import types as T
 from stratalens.llm.common import field
 
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
-HIDDEN = set("head script style template noscript title meta link datalist object iframe svg math canvas audio video dialog".split())
+HIDDEN = set("head script style template noscript title meta link datalist object iframe canvas audio video".split())
+#: Parts of drawings and formulas that are not drawn where they stand, or at all.
+UNDRAWN = set("desc metadata defs symbol clippath mask pattern marker annotation annotation-xml".split())
 SPACED = set("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr".split())
-BLOCKS = SPACED | set("address article aside body div dd dt details fieldset figcaption footer form header html legend li main menu nav option section summary tr caption thead tbody tfoot".split())
+BLOCKS = SPACED | set("address article aside body dialog div dd dt details fieldset figcaption footer form header html legend li main menu nav option section summary tr caption thead tbody tfoot".split())
 #: A start tag of the key ends open elements of these kinds, up to the nearest of the stops.
 IMPLIED = {
     "li": ({"li", "p"}, {"ul", "ol", "menu"}),
@@ -34,6 +38,7 @@ IMPLIED = {
     "body": ({"head"}, {"html"}),
 }
 ENDS_P = (SPACED | {"address", "article", "aside", "div", "footer", "form", "header", "main", "nav", "section", "fieldset"}) - {"hr"} | {"hr"}
+CELLS = ("td", "th", "table")
 UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(hidden|collapse)", re.I)
 
 
@@ -44,7 +49,7 @@ class Node:
         self.tag, self.attrs, self.items = tag, dict(attrs), []
 
     def visible(self) -> bool:
-        return not (self.tag in HIDDEN or "hidden" in self.attrs or UNSEEN.search(self.attrs.get("style") or "") or (self.tag == "input" and self.attrs.get("type") == "hidden"))
+        return not (self.tag in HIDDEN or (self.tag == "dialog" and "open" not in self.attrs) or "hidden" in self.attrs or UNSEEN.search(self.attrs.get("style") or "") or (self.tag == "input" and self.attrs.get("type") == "hidden"))
 
 
 class Tree(HTMLParser):
@@ -52,36 +57,48 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root")
         self.open = [self.root]
+        self.at: dict[str, list[int]] = defaultdict(list)  # places of each tag's open elements
+
+    def parse_html_declaration(self, i):
+        try:
+            return super().parse_html_declaration(i)
+        except AssertionError:  # a marked section of no known kind is a comment up to the next >
+            return self.parse_bogus_comment(i)
+
+    def last(self, tags) -> int:
+        return max((self.at[t][-1] for t in tags if self.at[t]), default=0)
+
+    def close_from(self, place: int) -> None:
+        for node in reversed(self.open[place:]):
+            self.at[node.tag].pop()
+        del self.open[place:]
 
     def handle_starttag(self, tag, attrs):
         ends, stops = IMPLIED.get(tag, ({"p"}, {"td", "th", "li", "table", "div", "section", "article", "body", "button"}) if tag in ENDS_P else ((), ()))
-        cut = None
-        for i in range(len(self.open) - 1, max(0, len(self.open) - 64), -1):
-            if self.open[i].tag in stops:
-                break
-            if self.open[i].tag in ends:
-                cut = i
-        if cut:
-            del self.open[cut:]
+        stop = self.last(stops)
+        inside = [places[bisect_right(places, stop)] for places in map(self.at.__getitem__, ends) if places and places[-1] > stop]
+        if inside:
+            self.close_from(min(inside))
         if tag in BLOCKS and tag not in ("html", "head", "body") and self.open[-1].tag == "head":
-            self.open.pop()  # a block cannot stand in the head, so the body has begun
+            self.close_from(len(self.open) - 1)  # a block cannot stand in the head, so the body has begun
         node = Node(tag, attrs)
+        if tag in UNDRAWN and (self.at["svg"] or self.at["math"]):
+            node.attrs["hidden"] = ""
         self.open[-1].items.append(node)
         if tag not in VOID:
+            self.at[tag].append(len(self.open))
             self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID and tag not in BLOCKS:
-            self.open.pop()
+            self.close_from(len(self.open) - 1)
 
     def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, max(0, len(self.open) - 256), -1):
-            if self.open[i].tag == tag:
-                del self.open[i:]
-                return
-            if self.open[i].tag in ("td", "th", "table") and tag not in ("tr", "table", "tbody", "thead", "tfoot", "body", "html"):
-                return  # a stray end tag does not reach out of its cell
+        place = self.last((tag,))
+        if not place or place < self.last(CELLS) and tag not in ("tr", "table", "tbody", "thead", "tfoot", "body", "html"):
+            return  # a stray end tag does not reach out of its cell
+        self.close_from(place)
 
     def handle_data(self, data):
         self.open[-1].items.append(data)
@@ -184,11 +201,8 @@ def render(root: Node) -> str:
 
 def extract(html: str | None) -> str:
     tree = Tree()
-    try:
-        tree.feed(html or "")
-        tree.close()
-    except AssertionError:  # the parser gives up on some malformed declarations; what stands before them is kept
-        pass
+    tree.feed(html or "")
+    tree.close()
     return render(tree.root)
 
 

@@ -405,6 +405,23 @@ def test_html(page, text):
     assert html.extract(page) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<p>a</p><![x]><p>rest of page</p>", "a\n\nrest of page"),
+        ("a<![]>b", "ab"),
+        ("a<![ x='1'>b<![if IE]>c<![endif]>d", "abcd"),
+        ("<div hidden>no" + "<font>" * 300 + "</div>visible", "visible"),
+        ("<p>one" + "<font>" * 100 + "<p hidden>no<p>two", "one\n\ntwo"),
+        ("<svg><title>no</title><defs><text>no</text></defs><text>drawn</text></svg> <math><mi>x</mi><annotation>no</annotation></math>", "drawn x"),
+        ("<dialog open>shown</dialog><dialog>no</dialog>after", "shown\nafter"),
+        ("<table><tr><td><b>x" + "<i>" * 400 + "</b>y</table>z", "xy\n\nz"),
+    ],
+)
+def test_html_whole_page(page, text):
+    assert html.extract(page) == text
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", "<p>a"), (1, "u", "<p>a"), (None, None, None)], "page_id bigint, url string, html string").withColumn("text", F.lit("clash"))
     assert sorted(r["text"] for r in html.visible_text(df).collect()) == ["", "a", "a"]
