@@ -24,9 +24,7 @@ def load(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    return tokenizer
+    return Tokenizer.from_file(path)
 
 
 def _bytes(ids: list[int]) -> bytes:
@@ -51,6 +49,8 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tokenizer, self.known = load(path), Pieces()
+        #: Strings that the tokenizer takes out of a text before it splits it; texts that have one are encoded whole.
+        self.taken = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _raw(self, text: str) -> bytes:
         return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -62,11 +62,12 @@ class Encoder:
         """The ids of each text; texts are taken some at a time, so that new pieces are found and encoded together."""
         for at in range(0, len(texts), at_once):
             part = texts[at : at + at_once]
-            split = [PIECES.findall(t) if t else [] for t in part]
+            whole = [bool(t) and any(x in t for x in self.taken) for t in part]
+            split = [PIECES.findall(t) if t and not w else [] for t, w in zip(part, whole)]
             odd = self._learn(set().union(*split))
             ids = self.known.__getitem__
-            for text, pieces in zip(part, split):
-                if odd and not odd.isdisjoint(pieces):
+            for text, pieces, w in zip(part, split, whole):
+                if w or odd and not odd.isdisjoint(pieces):
                     yield self._raw(text)
                 else:
                     yield b"".join(map(ids, pieces))

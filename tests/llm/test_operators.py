@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import tokenizers
 import xxhash
 from pyspark.sql import functions as F
 
@@ -196,7 +197,7 @@ def slow_windows(rows, n=50):
     for i, t, *_ in rows:
         w = (t or "").encode().split()
         if i is not None:
-            seen.update({tuple(w[k : k + n]): 1 for k in ()} or Counter(tuple(w[k : k + n]) for k in range(len(w) - n + 1)))
+            seen.update(tuple(w[k : k + n]) for k in range(len(w) - n + 1))
     out = set()
     for i, t, *_ in rows:
         w = (t or "").encode().split()
@@ -224,13 +225,24 @@ def test_passages_empty(empty):
 # ---- 3 and 7 ------------------------------------------------------------------------------------------------
 
 
+UNTOUCHED = tokenizers.Tokenizer.from_file(tokens.default_path())  # as it comes, apart from the operator's own
+
+
 def slow_ids(text):
-    return tokens.load(tokens.default_path()).encode(text or "", add_special_tokens=False).ids
+    return UNTOUCHED.encode(text or "", add_special_tokens=False).ids
+
+
+def test_special_token_text(spark):
+    assert slow_ids("x <|endoftext|> y") == [87, 220, 50256, 331]
+    df = spark.createDataFrame([(1, "x <|endoftext|> y"), (2, "<|endoftext|>"), (3, "x < |endoftext| > y")], "doc_id bigint, text string")
+    crc = lambda t: zlib.crc32(np.array([*slow_ids(t), 0], "<u4").tobytes())
+    assert {r["id"]: r["crc"] for r in packing.pack(df).collect()} == {r["doc_id"]: crc(r["text"]) for r in df.collect()}
+    assert {r["length"]: r["n_docs"] for r in lengths.histogram(df).collect()} == Counter(len(slow_ids(r["text"])) for r in df.collect())
 
 
 def test_encoder(rows):
     own = tokens.Encoder(tokens.default_path())
-    odd = ["a  b\n\n  c \t d", "  x", "x  ", "\n", "don't we'll", "a\x85b c   d", "<|endoftext|> y", "12 345,6", "\x1c \x1d z", "日本 語 　x"]
+    odd = ["a  b\n\n  c \t d", "  x", "x  ", "\n", "don't we'll", "a\x85b c   d", "<|endoftext|> y", "a<|endoftext|>", "12 345,6", "\x1c \x1d z", "日本 語 　x"]
     for t in [*odd, *(r[1] for r in rows)]:
         assert np.frombuffer(own.encode(t), "<u4").tolist() == slow_ids(t)
 
@@ -345,6 +357,44 @@ def test_banned_host(spark):
     assert quality.keep_good(df).count() == 201
 
 
+def test_hosts_decide_and_sql_agrees(spark, tmp_path):
+    import duckdb
+
+    rng, rows = random.Random(21), []
+    for host in range(40):
+        bad = 0.6 if host < 2 else 0.02 + 0.03 * rng.random()  # two hosts that fail most of the time
+        spam = 0.5 if host in (2, 3) else 0.02  # two that are full of symbols, and two of lines said again
+        again = 0.5 if host in (4, 5) else 0.02
+        for _ in range(60):
+            words = [f"word{rng.randint(0, 5000)}" for _ in range(rng.choice((11, 40, 60)))]
+            if rng.random() < bad:
+                words = words[:5]
+            if rng.random() < spam:
+                words = [w + "##" for w in words]
+            text = " ".join(words)
+            rows.append((len(rows), text + ("\nsame line\nsame line" * 2 if rng.random() < again else ""), f"host{host}"))
+    rows += [(len(rows), None, "host7"), (len(rows) + 1, rows[-1][1], None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    df.toPandas().to_parquet(tmp_path / "documents.parquet")
+    found = {r["id"]: (r["failed"], r["kept"]) for r in quality.host_verdicts(df).collect()}
+    duck = duckdb.connect()
+    duck.sql(f"create view documents as select * from '{tmp_path}/documents.parquet'")
+    expected = {r[0]: r[-2:] for r in duck.sql(quality.ORACLE).fetchall()}
+    assert found == expected
+    host = {i: h for i, _, h in rows}
+    lost = Counter(host[i] for i, (failed, kept) in found.items() if not failed and not kept)
+    whole = Counter(host[i] for i, (failed, _) in found.items() if not failed)
+    assert lost["host0"] == whole["host0"] > 0 and lost["host1"] == whole["host1"]  # banned
+    assert all(10 < lost[f"host{h}"] < 40 for h in (2, 3, 4, 5)) and not any(lost[f"host{h}"] for h in range(6, 40))
+
+
+def test_repeated_words_of_a_long_text():
+    rng = random.Random(22)
+    words = [rng.choice("ab").encode() for _ in range(300)]
+    assert quality.in_repeated_windows(words) == slow_measure(b" ".join(words).decode())[-1]
+    assert quality.in_repeated_windows([str(i).encode() for i in range(400_000)] + [b"1", b"2", b"3", b"4", b"5"]) == 10
+
+
 # ---- 5 ------------------------------------------------------------------------------------------------------
 
 
