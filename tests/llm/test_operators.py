@@ -568,10 +568,10 @@ def test_elias_fano():
 def test_top_k(spark):
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in rng.normal(size=8).round(1)]) for i in range(300)]
-    rows += [(300, None), (400, [1.0] * 7 + [float("nan")]), (500, [1.0] * 7 + [None]), (600, []), (200, rows[5][1]), (700, [1.0, 2.0]), (701, [3.0, 4.0]), (None, rows[0][1])]
+    rows += [(300, None), (400, [1.0] * 7 + [float("nan")]), (500, [1.0] * 7 + [None]), (600, []), (601, []), (200, rows[5][1]), (700, [1.0, 2.0]), (701, [3.0, 4.0]), (None, rows[0][1])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").withColumn("id", F.lit("clash"))
-    found = topk.top_k(df, block=32).collect()
-    fine = [(n, i, np.floor(1024 * np.array(v, np.float32).astype(float)).astype(int)) for n, (i, v) in enumerate(rows) if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    found = topk.top_k(df, block=8, group=2).collect()
+    fine = [(n, i, np.floor(1024 * np.array(v, np.float32).astype(float)).astype(int)) for n, (i, v) in enumerate(rows) if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     expected = []
     for n, i, v in fine:
         if i % 100 == 0:
@@ -579,6 +579,20 @@ def test_top_k(spark):
             expected += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
     assert sorted(map(tuple, found)) == sorted(expected)
     assert topk.top_k(df.limit(0)).count() == 0
+    assert sorted(map(tuple, topk.top_k(df).collect())) == sorted(expected)
+
+
+def test_top_k_of_large_components(spark):
+    rng = random.Random(9)
+    rows = [(i, [rng.choice((1.0, -1.0)) * rng.choice((3e6, 2.5, 1e9, 0.0)) for _ in range(4)]) for i in range(120)] + [(200, [3e6, 1.0, 0.0, 0.0]), (201, [1e300, 0.0, 0.0, 0.0]), (300, [0.0, 1e-9, 0.0, 0.0])]
+    found = topk.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), block=16).collect()
+    whole = [(i, [math.floor(1024 * x) if abs(x) < 1e300 else 1024 * int(x) for x in v]) for i, v in rows]
+    score = lambda a, b: max(topk.LEAST, min(topk.MOST, sum(x * y for x, y in zip(a, b))))
+    expected = []
+    for i, v in whole:
+        if i % 100 == 0:
+            expected += [(i, r + 1, j, -s) for r, (s, j) in enumerate(sorted((-score(v, w), j) for j, w in whole if j != i)[:10])]
+    assert sorted(map(tuple, found)) == sorted(expected)
 
 
 # ---- queries and pipeline -----------------------------------------------------------------------------------
