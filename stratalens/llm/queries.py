@@ -49,8 +49,8 @@ def op7_token_counts(spark, sf_dir):
 def op8_personal_data(spark, sf_dir):
     found = pii.personal_data(_table(spark, sf_dir, "documents"))
     count = lambda i: F.size(F.filter("base", lambda x: x["kind"] == i)).cast("long")
-    counts = [count(i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
-    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(pii.as_text(F.col("base")), 256).alias("base_sha256"), pii.as_text(F.col("spans")).alias("spans"))
+    counts = [count(i).alias(f"n_{k}") for i, k in enumerate(pii.RULED)]
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(pii.as_text(F.col("base")), 256).alias("base_sha256"), pii.as_text(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op9_lm_scoring(spark, sf_dir):
