@@ -3,6 +3,9 @@
 A tree is built from the page's tags, with the end tags that HTML lets authors leave out. Walking it, hidden parts are
 passed over, blocks stand on lines of their own, list items get their bullets or numbers, and table cells are padded
 into columns. The walk keeps its own stack, so depth is no limit.
+
+Padding is bounded: a cell's line of over WIDEST characters does not widen its column, and a table row that would be padded to
+over PADDING times its own text stands with its cells one below another. So a page's text is at most some times as long as the page.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratalens.llm.common import field
+from stratalens.llm.common import field, slices
 
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 HIDDEN = set("head script style template noscript title meta link datalist object iframe canvas audio video".split())
@@ -39,7 +42,9 @@ IMPLIED = {
 }
 ENDS_P = (SPACED | {"address", "article", "aside", "div", "footer", "form", "header", "main", "nav", "section", "fieldset"}) - {"hr"} | {"hr"}
 CELLS = ("td", "th", "table")
-UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(hidden|collapse)", re.I)
+UNSEEN = re.compile(r"display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"visibility\s*:\s*(visible|hidden|collapse)", re.I)
+WIDEST, PADDING = 60, 8
 
 
 class Node:
@@ -52,6 +57,16 @@ class Node:
         return not (self.tag in HIDDEN or (self.tag == "dialog" and "open" not in self.attrs) or "hidden" in self.attrs or UNSEEN.search(self.attrs.get("style") or "") or (self.tag == "input" and self.attrs.get("type") == "hidden"))
 
 
+    def shows(self, inherited: bool) -> bool:
+        """Whether text is drawn here; unlike a part that is taken out, one that is only not drawn may hold parts that are."""
+        found = VISIBILITY.search(self.attrs.get("style") or "")
+        return inherited if found is None else found[1].lower() == "visible"
+
+    def span(self, name: str, most: int) -> int:
+        given = (self.attrs.get(name) or "1").strip()
+        return max(1, min(int(given), most)) if given.isascii() and given.isdigit() and len(given) < 9 else 1
+
+
 class Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -129,46 +144,85 @@ class Page:
         return "".join(self.parts).strip("\n")
 
 
-def _grid(rows: list[list[str]]) -> str:
+def _placed(rows: list[list[tuple[str, int, int]]]) -> list[list[tuple[int, int, str]]]:
+    """Cells (text, columns, rows) as (column, columns, text); a cell that spans rows keeps its columns in those below."""
+    out, kept = [], []  # kept: (first column, column after the last, rows to come)
+    for row in rows:
+        kept.sort()
+        at, i, cells, new = 0, 0, [], []
+        for text, wide, tall in row:
+            while i < len(kept) and kept[i][0] <= at:
+                at, i = max(at, kept[i][1]), i + 1
+            cells.append((at, wide, text))
+            if tall > 1:
+                new.append((at, at + wide, tall - 1))
+            at += wide
+        kept = [(a, b, n - 1) for a, b, n in kept if n > 1] + new
+        out.append(cells)
+    return out
+
+
+def _grid(rows: list[list[tuple[str, int, int]]]) -> str:
     """Cells in columns; a cell of several lines makes its row as tall."""
-    cells = [[c.split("\n") for c in r] for r in rows if any(r)]
-    widths = [max((len(x) for r in cells if i < len(r) for x in r[i]), default=0) for i in range(max(map(len, cells), default=0))]
+    placed = [[(at, wide, text.split("\n")) for at, wide, text in r] for r in _placed(rows)]
+    widths: dict[int, int] = {}  # of columns in which a cell starts
+    for r in placed:
+        for at, wide, lines in r:
+            widths[at] = max([widths.get(at, 0), *(len(x) for x in lines if wide == 1 and len(x) <= WIDEST)])
+    starts, end = {}, 0
+    for at in sorted(widths):
+        starts[at] = end
+        end += widths[at] + 2 if widths[at] else 0
     lines = []
-    for r in cells:
-        for k in range(max(map(len, r))):
-            lines.append("  ".join((c[k] if k < len(c) else "").ljust(w) for c, w in zip(r, widths)).rstrip())
+    for r in placed:
+        cells = [(starts[at], x) for at, _, x in r if any(x)]
+        tall = max((len(x) for _, x in cells), default=0)
+        text = sum(len(y) for _, x in cells for y in x)
+        if cells and tall * (cells[-1][0] + len(cells)) > PADDING * text + 8 * WIDEST:
+            lines += [y for _, x in cells for y in x]
+            continue
+        for k in range(tall):
+            line = ""
+            for start, x in cells:
+                if k < len(x) and x[k]:
+                    line = (line.ljust(max(start, len(line) + 2)) if line else " " * start) + x[k]
+            lines.append(line)
     return "\n".join(lines)
 
 
 def render(root: Node) -> str:
     pages, tables, lists = [Page()], [], []
-    stack: list = [(root, False)]
+    stack: list = [(root, False, True)]
     pre = 0
     while stack:
-        item, leaving = stack.pop()
+        item, leaving, drawn = stack.pop()
         page = pages[-1]
         if isinstance(item, str):
-            page.text(item.strip("\n") if pre else item, bool(pre) and bool(item.strip()))
+            if drawn:
+                page.text(item.strip("\n") if pre else item, bool(pre) and bool(item.strip()))
             continue
         tag = item.tag
         if not leaving:
             if not item.visible():
                 continue
+            drawn = item.shows(drawn)
             if tag == "br":
                 page.end(1 if not page.gap else page.gap)
                 continue
             if tag == "img":
-                page.text(item.attrs.get("alt") or "")
+                if drawn:
+                    page.text(item.attrs.get("alt") or "")
                 continue
             if tag in BLOCKS:
                 page.end(2 if tag in SPACED and not lists and not tables else 1)
             if tag in ("ul", "ol", "menu"):
                 start = item.attrs.get("start") or "1"
-                lists.append(int(start) if tag == "ol" and start.isdigit() else (1 if tag == "ol" else None))
+                lists.append(int(start) if tag == "ol" and start.isascii() and start.isdigit() else (1 if tag == "ol" else None))
             elif tag == "li":
                 n = lists[-1] if lists else None
-                page.text(("  " * (len(lists) - 1) if lists else "") + ("-" if n is None else f"{n}."), keep=True)
-                page.space = True
+                if drawn:
+                    page.text(("  " * (len(lists) - 1) if lists else "") + ("-" if n is None else f"{n}."), keep=True)
+                    page.space = True
                 if n is not None:
                     lists[-1] = n + 1
             elif tag == "table":
@@ -178,8 +232,8 @@ def render(root: Node) -> str:
             elif tag in ("td", "th") and tables:
                 pages.append(Page())
             pre += tag == "pre"
-            stack.append((item, True))
-            stack.extend((x, False) for x in reversed(item.items))
+            stack.append((item, True, drawn))
+            stack.extend((x, False, drawn) for x in reversed(item.items))
             continue
         pre -= tag == "pre"
         if tag in ("ul", "ol", "menu") and lists:
@@ -188,7 +242,7 @@ def render(root: Node) -> str:
             cell = pages.pop().done()
             if not tables[-1]:
                 tables[-1].append([])
-            tables[-1][-1].append(cell)
+            tables[-1][-1].append((cell, item.span("colspan", 1000), item.span("rowspan", 65534)))
             page = pages[-1]
         elif tag == "table" and tables:
             grid = _grid(tables.pop())
@@ -207,7 +261,7 @@ def extract(html: str | None) -> str:
 
 
 def _extract(batches):
-    for batch in batches:
+    for batch in slices(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([extract(x) for x in batch.column(batch.num_columns - 1).to_pylist()], pa.string())], ["id", "url", "text"])
 
 

@@ -466,12 +466,64 @@ def test_html(page, text):
         ("<svg><title>no</title><defs><text>no</text></defs><text>drawn</text></svg> <math><mi>x</mi><annotation>no</annotation></math>", "drawn x"),
         ("<dialog open>shown</dialog><dialog>no</dialog>after", "shown\nafter"),
         ("<table><tr><td><b>x" + "<i>" * 400 + "</b>y</table>z", "xy\n\nz"),
+        ("<table><tr><td>a" + "<b>" * 70 + "b<td>c<tr><td>1<td>2</table>", "ab  c\n1   2"),
+        ("<div>" + "<span>" * 300 + "in</div>after", "in\nafter"),
+        ("<p>before</p><![foo bar<p>after text</p>", "before\n\nafter text"),
+        ("<table><tr><td colspan=2>ab<td>z<tr><td>1<td>22<td>333</table>", "ab     z\n1  22  333"),
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a  b\n   c\nd  e"),
+        ("<p style='visibility:hidden'>no <b style='visibility: visible'>shown</b> no</p>", "shown"),
+        ("<table><tr><td>" + "w" * 100 + "<td>x<tr><td>1<td>2</table>", "w" * 100 + "  x\n1  2"),
     ],
 )
 def test_html_whole_page(page, text):
     assert html.extract(page) == text
 
 
+def html_case(rng, depth=0):
+    """Markup made at random, and the lines of words that a reader sees of it, known without parsing."""
+    page, lines = "", []
+    for _ in range(rng.randint(1, 4)):
+        kind = rng.choice(["p", "hidden", "list", "table", "div", "unclosed"] if depth < 3 else ["p", "hidden"])
+        words = [f"w{rng.randint(0, 999)}" for _ in range(rng.randint(1, 6))]
+        marked = " ".join(rng.choice(["{}", "<b>{}</b>", "<a href=x>{}</a>", "<i><span>{}</span></i>", "{}<!-- no -->"]).format(w) for w in words)
+        if kind == "p":
+            page, lines = page + f"<p>{marked}</p>", [*lines, words]
+        elif kind == "unclosed":
+            page, lines = page + f"<p>{marked}<div>x</div>", [*lines, words, ["x"]]
+        elif kind == "hidden":
+            page += rng.choice(["<div hidden>{}</div>", "<script>{}</script>", "<p style='display:none'>{}</p>", "<template>{}</template>"]).format("no")
+        elif kind == "list":
+            tag, end = rng.choice(["ul", "ol"]), rng.choice(["", "</li>"])
+            page += f"<{tag}>" + "".join(f"<li>{w}{end}" for w in words) + f"</{tag}>"
+            lines += [["-" if tag == "ul" else f"{i + 1}.", w] for i, w in enumerate(words)]
+        elif kind == "table":
+            end = rng.choice([("", ""), ("</td>", "</tr>")])
+            page += "<table>" + "".join(f"<tr><td>{w}{end[0]}<td>c{i}{end[0]}{end[1]}" for i, w in enumerate(words)) + "</table>"
+            lines += [[w, f"c{i}"] for i, w in enumerate(words)]
+        else:
+            inner, more = html_case(rng, depth + 1)
+            page, lines = page + f"<div>{inner}</div>", lines + more
+    return page, lines
+
+
+def test_html_of_known_structure():
+    rng = random.Random(41)
+    for _ in range(400):
+        page, lines = html_case(rng)
+        assert [x.split() for x in html.extract(page).split("\n") if x.strip()] == lines, page
+
+
+def test_html_is_bounded():
+    wide = "<table>" + "".join(f"<tr><td>{'w' * (20_000 if i == 0 else 1)}<td>x" for i in range(2000)) + "</table>"
+    empty = "<table>" + "<tr>" + "<td>" * 20_000 + "<tr>" + "<td>a" * 3000 + "</table>"
+    tall = "<table><tr>" + "<td>side" * 100 + "<td>" + "x<br>" * 2000 + "</table>"
+    spans = "<table>" + "<tr><td rowspan=65534 colspan=1000>a" * 300 + "</table>"
+    for page in (wide, empty, tall, spans):
+        text = html.extract(page)
+        assert len(text) < 10 * len(page)
+        assert Counter(re.findall("[a-z]+", text)) == Counter(re.findall("[a-z]+", re.sub("<[^>]*>", " ", page)))
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", "<p>a"), (1, "u", "<p>a"), (None, None, None)], "page_id bigint, url string, html string").withColumn("text", F.lit("clash"))
     assert sorted(r["text"] for r in html.visible_text(df).collect()) == ["", "a", "a"]
