@@ -89,12 +89,21 @@ def dependency_measures(groups: DataFrame, by: list[str] = ()) -> DataFrame:
 
 
 def distinct_groups(frame: DataFrame, sets: list[tuple[str, ...]]) -> list[int]:
-    """How many distinct value combinations each set of columns has, missing being a value; one job for all sets."""
-    out: list[int] = []
-    for at in range(0, len(sets), 40):  # each distinct count repeats the rows once
-        chosen = [F.count_distinct(F.struct(*map(quoted, s))).alias(f"c{i}") for i, s in enumerate(sets[at : at + 40])]
-        out += list(frame.agg(*chosen).first())
-    return out
+    """How many distinct value combinations each set of columns has, missing being a value.
+
+    The rows are brought together once, as the distinct combinations of all the columns in question. Every set is then
+    counted by an aggregation of its own over these (the plan reuses their one exchange), so no row is repeated for each set.
+    """
+    found: dict[int, int] = {}
+    for at in range(0, len(sets), 40):  # sets in one job
+        part = sets[at : at + 40]
+        rows = frame.select(*(quoted(c) for c in sorted({c for s in part for c in s}))).distinct()
+        counts = None
+        for i, s in enumerate(part, at):
+            one = rows.select(*map(quoted, s)).distinct().agg(F.lit(i).alias("i"), rows_().alias("n"))
+            counts = one if counts is None else counts.unionByName(one)
+        found |= {r["i"]: r["n"] for r in counts.collect()}
+    return [found[i] for i in range(len(sets))]
 
 
 def impurity(frame: DataFrame, sets: list[tuple[str, ...]], label: Column) -> list[float]:

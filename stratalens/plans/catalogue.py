@@ -459,17 +459,17 @@ NEST_SQL = f"WITH {SALES}, c AS (SELECT " + ", ".join(f"count(DISTINCT ({a},)) A
 def _nesting(spark, d):
     frame, _ = normalise(sales(spark, d))
     sizes = dict(zip(NESTED, distinct_groups(frame, [(c,) for c in NESTED])))
-    return pt.nesting(frame, NESTED, NESTED_PAIRS, sizes)
+    return pt.Lattice.measure(frame, NESTED, NESTED_PAIRS, sizes)
 
 
 @query(NEST_SQL + " SELECT CASE WHEN x THEN b ELSE a END AS coarse, CASE WHEN x THEN a ELSE b END AS fine FROM f WHERE x <> y")
 def nesting_edges(spark, d):
-    return spark.createDataFrame(sorted(_nesting(spark, d)[0]), "coarse string, fine string")
+    return spark.createDataFrame([tuple(e) for e in _nesting(spark, d).edges()], "coarse string, fine string")
 
 
 @query(NEST_SQL + " SELECT a, b FROM f WHERE x AND y")
 def value_aliases(spark, d):
-    return spark.createDataFrame([tuple(x) for x in _nesting(spark, d)[1]], "a string, b string")
+    return spark.createDataFrame([tuple(x) for x in _nesting(spark, d).aliases(NESTED)], "a string, b string")
 
 
 PREFIXES = [("n_regionkey",), ("n_regionkey", "c_nationkey"), ("n_regionkey", "c_nationkey", "c_mktsegment")]
