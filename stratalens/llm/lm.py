@@ -36,7 +36,7 @@ COUNT_TOKENS = 1 << 19
 ROWS = 256  # texts that are turned into Python objects at a time
 SHARD_BYTES = 12 << 20
 FOLD, HELD = 7, 2
-TAIL = 32  # bits by which the predecessors of one word are told apart
+TAIL = 40  # bits by which the predecessors of one word are told apart
 #: White space cannot be part of a word, so these two are nobody's.
 START, END = (xxhash.xxh64_intdigest(x) for x in (b"\n<s>", b"\n</s>"))
 
@@ -53,7 +53,7 @@ class EliasFano:
         bits[high + np.arange(self.n)] = 1
         packed = np.packbits(bits, bitorder="little").reshape(-1, 8)
         zeros = 64 - np.unpackbits(packed, axis=1).sum(axis=1, dtype=np.int64)
-        self.low, self.unary, self.zeros = store(low), store(packed), store(np.concatenate(([0], np.cumsum(zeros))).astype(np.uint32))
+        self.low, self.unary, self.zeros = store(low), store(packed), store(np.concatenate(([0], np.cumsum(zeros))).astype(np.int64))
 
     def _after(self, k: np.ndarray) -> np.ndarray:
         """How many members have a high part below k (k from 0 to top + 1): ones before the zero number k - 1."""
@@ -101,7 +101,7 @@ class Trie:
 
     def __init__(self, words, counts, heads, tails, pairs, total: int, distinct: int, mu: float):
         self.file = tempfile.TemporaryFile()  # noqa: SIM115  closed with the trie; it has no name, so nothing is left behind
-        self.counts = self._store(counts.astype(np.uint32))
+        self.counts = self._store(counts.astype(np.uint64))
         n = max(1, len(words))
         wide = max(1, int(np.ceil(max(0.0, 64 - np.log2(n)) / 8)))
         self.words = EliasFano(words, min(wide, 7), self._store)
@@ -194,6 +194,15 @@ def _shard(words: np.ndarray, shards: int) -> np.ndarray:
     return ((words >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
+def _small(counts: np.ndarray) -> bytes:
+    """Counts of a block, by a byte each if all of them fit."""
+    return counts.astype("<u1" if counts.max(initial=0) < 256 else "<u4").tobytes()
+
+
+def _unsmall(blob: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(blob, "<u1" if len(blob) == n else "<u4")
+
+
 def _pack_tails(tails: np.ndarray) -> bytes:
     return tails.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : TAIL // 8].tobytes()
 
@@ -225,7 +234,7 @@ def _count(batches, shards: int):
         rows = []
         for s in np.flatnonzero(np.diff(edge)):
             w, p = slice(edge[s], edge[s + 1]), slice(below[s], below[s + 1])
-            rows.append((int(s), words[w].tobytes(), counts[w].astype("<u4").tobytes(), fan[w].astype("<u4").tobytes(), _pack_tails(tail[p]), n[p].astype("<u4").tobytes()))
+            rows.append((int(s), words[w].tobytes(), counts[w].astype("<u4").tobytes(), fan[w].astype("<u4").tobytes(), _pack_tails(tail[p]), _small(n[p])))
         yield _batch(rows, ["shard", "words", "counts", "fan", "tails", "pairs"])
 
 
@@ -243,7 +252,8 @@ def _merge(rows: pd.DataFrame) -> pd.DataFrame:
     heads = np.repeat(at.astype(np.uint64), np.concatenate(fans))
     keys = heads << np.uint64(TAIL) | np.concatenate([_unpack_tails(b) for b in rows["tails"]])
     keys, where = np.unique(keys, return_inverse=True)
-    pairs = np.bincount(where, np.concatenate([np.frombuffer(b, "<u4") for b in rows["pairs"]]), len(keys)).astype("<i8")
+    seen = [_unsmall(n, len(t) // (TAIL // 8)) for n, t in zip(rows["pairs"], rows["tails"])]
+    pairs = np.bincount(where, np.concatenate(seen), len(keys)).astype("<i8")
     fan = np.bincount((keys >> np.uint64(TAIL)).astype(np.int64), minlength=len(every)).astype("<u4")
     tails = _pack_tails(keys & np.uint64((1 << TAIL) - 1))
     starts = int(counts[every == np.uint64(END)].sum())  # each text has one end, and so one start
@@ -331,7 +341,7 @@ def _ask(batches, shards: int, heavy):
         rows = [(block % shards, block, None, None, None, None, None, [None if i is None else str(i) for i in ids], np.array([held_out(i) for i in ids]).tobytes(), sizes.astype("<i8").tobytes(), base.tobytes(), lm.tobytes(), known.tobytes())]
         for s in np.flatnonzero(np.diff(edge)):
             w, t, d = slice(edge[s], edge[s + 1]), slice(below[s], below[s + 1]), slice(at[s], at[s + 1])
-            rows.append((int(s), block, words[w].tobytes(), fan[w].astype("<u4").tobytes(), _pack_tails(tail[t]), times[t].astype("<u4").tobytes(), doc[d].astype("<u2").tobytes(), None, None, None, None, None, None))
+            rows.append((int(s), block, words[w].tobytes(), fan[w].astype("<u4").tobytes(), _pack_tails(tail[t]), _small(times[t]), doc[d].astype("<u2").tobytes(), None, None, None, None, None, None))
         kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 5, pa.list_(pa.string()), *[pa.binary()] * 5]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], _ASKED)
 
@@ -351,7 +361,7 @@ def _answer(asked: pd.DataFrame, shard: pd.DataFrame, total: int, distinct: int,
         if r.words is None:
             out.append((r.block, None, r.ids, r.held, r.sizes, r.base, r.lm, r.known))
             continue
-        words, fan, times = np.frombuffer(r.words, "<u8"), np.frombuffer(r.fan, "<u4"), np.frombuffer(r.times, "<u4")
+        words, fan, times = np.frombuffer(r.words, "<u8"), np.frombuffer(r.fan, "<u4"), _unsmall(r.times, len(r.tails) // (TAIL // 8))
         heads = np.repeat(np.arange(len(words)), fan)
         count, logp, logb, loga = trie.look_up(words, heads, _unpack_tails(r.tails))
         docs, doc = np.unique(np.frombuffer(r.docs, "<u2"), return_inverse=True)
