@@ -32,6 +32,10 @@ def _semi(frame: DataFrame, kept: DataFrame, on: list[str]) -> DataFrame:
     return frame.join(kept, match, "left_semi")
 
 
+#: Values that a pre-selection lists per column, at least; the rest is counted.
+KEPT_VALUES = 10_000
+
+
 def preselect(frame: DataFrame, dims: list[str], top_n: int, per_parent: bool) -> DataFrame:
     """Rows all of whose levels are among the top ones, overall or within their parents."""
     if per_parent:
@@ -90,11 +94,10 @@ def tree_table(frame: DataFrame, dims: list[str], *, top_n=None, per_parent: boo
     every = tables[0]
     for t in tables[1:]:
         every = every.unionByName(t)
-    # Only shown prefixes are numbered, of which max_levels leaves few; the rest keep a null number.
-    nodes = every.where("_allowed").withColumn("number", F.row_number().over(Window.orderBy("depth", "_ranks")) - 1)
-    if max_nodes is not None:
-        nodes = nodes.where(F.col("number") < max_nodes)
-    return every, nodes
+    nodes = every.where("_allowed")
+    if max_nodes is not None:  # every task keeps its first max_nodes, so that only so many meet in the window
+        nodes = nodes.orderBy("depth", "_ranks").limit(max_nodes)
+    return every, nodes.withColumn("number", F.row_number().over(Window.orderBy("depth", "_ranks")) - 1)
 
 
 @operation("census")
@@ -128,8 +131,12 @@ def census(df: DataFrame, dimensions, *, top_n=None, top_n_mode: str = "post", t
         if before and rows / before < min_retained_fraction:
             warnings.append({"code": "LOW_RETAINED_FRACTION", "retained_rows": rows, "rows": before})
         for i, c in enumerate(active):
-            values = frame.groupBy(quoted(c).alias("v")).agg(rows_().alias("n")).orderBy(F.desc("n"), F.col("v").asc_nulls_last()).limit(10_000).collect()
-            kept_levels.append({"depth": i + 1, "column": c, "values": [json_value(r["v"]) for r in values]})
+            values = frame.groupBy(quoted(c).alias("v")).agg(rows_().alias("n"))
+            # without parents there are at most top_n; with them what is not listed is counted
+            most = max(top_n, KEPT_VALUES) if top_n_per_parent else top_n
+            first = values.orderBy(F.desc("n"), F.col("v").asc_nulls_last()).limit(most).collect()
+            omitted = values.count() - len(first) if len(first) == most else 0
+            kept_levels.append({"depth": i + 1, "column": c, "values": [json_value(r["v"]) for r in first], "omitted_values": omitted})
     with phase("census tree"):
         every, kept = tree_table(frame, active, top_n=None if pre else top_n, per_parent=top_n_per_parent, max_levels=max_levels, max_nodes=max_nodes, min_count=min_count)
         shown = kept.orderBy("number").collect()

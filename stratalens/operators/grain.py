@@ -104,36 +104,30 @@ def _with_pairs(specs) -> list[set]:
 
 
 def target_summaries(counts: GroupCounts, names, specs, tests, dropna: bool) -> list[dict]:
-    """For each column the keys that determine it, and which of those are the coarsest, equal or not comparable.
+    """For each tested column the keys that determine it, and which of those are the coarsest, equal or not comparable.
 
-    Keys are compared on the target's own rows. With dropna that needs all tests of the target to have used the same
-    rows, which they did iff each used as many as have every column of all its keys.
+    Keys are compared on the target's own rows. With dropna that needs the tests of all its keys to have used the same
+    rows, which they did iff each used as many as have every column of all these keys.
     """
-    by_target: dict[str, list] = {}
-    for t in tests:
-        by_target.setdefault(t["target"], []).append(t)
     spec, out = {s.name: s for s in specs}, []
     for target in names:
-        own = by_target.get(target, [])
+        own = [t for t in tests if t["target"] == target]
+        if not own:
+            continue
         holding = [t["key_name"] for t in own if t["holds"]]
-        record = {"target": target, "determining_keys": holding, "cross_key_comparison": "computed", "coarsest_candidates": [], "equivalent_determinants": [], "incomparable_candidates": []}
+        rows_of = {target, *(c for t in own for c in spec[t["key_name"]].columns)} if dropna else set()
+        comparable = not dropna or len({counts.size(rows_of), *(t["evaluated_rows"] for t in own)}) == 1
+        record = {"target": target, "determining_keys": holding, "cross_key_comparison": "comparable" if comparable else "not_comparable", "coarsest_candidates": [], "equivalent_determinants": [], "incomparable_candidates": []}
         out.append(record)
-        if len(holding) < 2:
-            record["coarsest_candidates"] = list(holding)
-            record["cross_key_comparison"] = "not_needed"
+        if not comparable or not holding:
             continue
         used = [spec[n] for n in holding]
-        needed = {c for s in used for c in s.columns} | {target} if dropna else set()
-        if dropna and any(t["evaluated_rows"] != counts.size(needed) for t in own if t["holds"]):
-            record["cross_key_comparison"] = "different_populations"
-            continue
-        groups = counts.ask(_with_pairs(used), needed)
-        det = {(a.name, b.name): finer(groups, a.columns, b.columns) for a in used for b in used}
+        groups = counts.ask(_with_pairs(used), rows_of)
+        fixes = {(a.name, b.name): finer(groups, a.columns, b.columns) for a in used for b in used}
         # A key is coarsest if every determining key that it determines also determines it.
-        coarsest = [a for a in holding if all(det[b, a] for b in holding if det[a, b])]
-        record["coarsest_candidates"] = coarsest
-        record["equivalent_determinants"] = [[a, b] for i, a in enumerate(holding) for b in holding[i + 1 :] if det[a, b] and det[b, a]]
-        record["incomparable_candidates"] = [[a, b] for i, a in enumerate(coarsest) for b in coarsest[i + 1 :] if not det[a, b] and not det[b, a]]
+        record["coarsest_candidates"] = [a for a in holding if all(fixes[b, a] for b in holding if fixes[a, b])]
+        for kind, both in (("equivalent_determinants", True), ("incomparable_candidates", False)):
+            record[kind] = [[a, b] for i, a in enumerate(holding) for b in holding[i + 1 :] if fixes[a, b] == fixes[b, a] == both]
     return out
 
 
@@ -165,20 +159,20 @@ def grain_graph(counts: GroupCounts, names, specs, tests, dropna: bool) -> dict:
         homes = [n[0] for n in nodes if any(fits.get((k, c)) for k in n)]
         coarsest = [a for a in homes if not any((b, a) in below for b in homes)]
         if coarsest:
-            assignments.append({"column": c, "nodes": [ids[a] for a in coarsest]})
+            assignments.append({"target": c, "nodes": [ids[a] for a in coarsest]})
         else:
             own = [t for t in tested if t["target"] == c]
             apart = bool(own) and any(not t["compatible"] for t in own)
-            unplaced.append({"column": c, "reason": "different_target_population" if apart else "no_supported_key"})
+            unplaced.append({"target": c, "reason": "different_target_population" if apart else "no_supported_key"})
     size_of = {s.name: groups[frozenset(s.columns)] for s in specs}
     return {
         "status": "computed" if size else "empty",
         "evaluated_rows": size,
         "missing_excluded_rows": rows - size,
-        "missingness": "complete_key_cases" if dropna else "missing_as_category",
+        "missingness": "complete_candidate_keys" if dropna else "missing_as_level",
         "nodes": [{"id": ids[n[0]], "keys": n, "columns": [list(s.columns) for s in specs if s.name in n], "groups": size_of[n[0]], "unique": size > 0 and size_of[n[0]] == size} for n in nodes],
-        "edges": [{"coarse": ids[a], "fine": ids[b], "relation": "finer_grouping"} for a, b in edges],
-        "key_relationships": [{"a": a.name, "b": b.name, "a_determines_b": det[a.name, b.name], "b_determines_a": det[b.name, a.name]} for i, a in enumerate(specs) for b in specs[i + 1 :]],
+        "edges": [{"source": ids[a], "target": ids[b], "relation": "finer_grouping"} for a, b in edges],
+        "key_relationships": [{"determinant": a.name, "dependent": b.name, "holds": det[a.name, b.name]} for a in specs for b in specs if a is not b],
         "tests": tested,
         "assignments": assignments,
         "unplaced": unplaced,

@@ -15,7 +15,7 @@ from stratalens.operators.levels import check_roles, pair_table
 from stratalens.result import Result
 from stratalens.runtime import operation, phase
 
-LIMITS = {"max_pairs": 15, "max_contexts": 32, "max_absence_cells": 1000}
+LIMITS = {"max_pairs": 15, "max_contexts": 32, "max_absence_cells": 1000, "max_marginal_levels": 10_000}
 
 
 def association_table(cells: DataFrame) -> DataFrame:
@@ -49,15 +49,26 @@ def relation_table(cells: DataFrame) -> DataFrame:
     return t.select("rows", "cells", "levels_a", "levels_b", relation.alias("relation"), v.alias("cramers_v"))
 
 
-def absent_table(cells: DataFrame, domain_a: DataFrame, domain_b: DataFrame) -> DataFrame:
-    """(a, b, reason) of the combinations of two declared, bounded domains that are never observed."""
-    seen_a, seen_b = cells.select(F.col("a").alias("sa")).distinct(), cells.select(F.col("b").alias("sb")).distinct()
+def margin_table(cells: DataFrame, side: str) -> DataFrame:
+    """(v, n): every level of one side of the pair counts with its rows."""
+    return cells.groupBy(F.col(side).alias("v")).agg(F.sum("n").alias("n"))
+
+
+def absent_table(cells: DataFrame, domain_a: DataFrame, domain_b: DataFrame, whole: DataFrame | None = None) -> DataFrame:
+    """(a, b, reason) of the combinations of two declared, bounded domains that are never observed.
+
+    whole holds the pair counts of the whole population when cells are those of a context: levels that are found there
+    but not here are absent under their parent.
+    """
     grid = domain_a.join(F.broadcast(domain_b), F.lit(True), "inner")  # both sides are domains that the caller lists
     found = cells.select(F.col("a").alias("ca"), F.col("b").alias("cb"))
     grid = grid.join(found, F.col("a").eqNullSafe(F.col("ca")) & F.col("b").eqNullSafe(F.col("cb")), "left_anti")
-    grid = grid.join(seen_a.withColumn("_a", F.lit(True)), F.col("a").eqNullSafe(F.col("sa")), "left").join(seen_b.withColumn("_b", F.lit(True)), F.col("b").eqNullSafe(F.col("sb")), "left")
-    within = F.col("_a").isNotNull() & F.col("_b").isNotNull()
-    return grid.select("a", "b", F.when(within, "within_observed_margins").otherwise("zero_support").alias("reason"))
+    for mark, among in (("here", cells), ("ever", whole if whole is not None else cells)):
+        for side in "ab":
+            seen = among.select(F.col(side).alias("_seen")).distinct().withColumn(f"_{mark}_{side}", F.lit(True))
+            grid = grid.join(seen, F.col(side).eqNullSafe(F.col("_seen")), "left").drop("_seen")
+    here, ever = (F.col(f"_{m}_a").isNotNull() & F.col(f"_{m}_b").isNotNull() for m in ("here", "ever"))
+    return grid.select("a", "b", F.when(here, "within_observed_margins").when(ever, "level_absent_under_parent").otherwise("zero_support").alias("reason"))
 
 
 @operation("pairs")
@@ -83,7 +94,7 @@ def pairs(df: DataFrame, dimensions, *, dropna: bool = False, include_absence: b
             for context in used:
                 if set(context) & {a, b}:
                     raise ValueError("a context column cannot be part of the pair")
-                record, left = _pair(p, a, b, context, dropna, include_absence, domains, left)
+                record, left = _pair(p, a, b, context, dropna, include_absence, domains, left, limit["max_marginal_levels"])
                 p.base["pairs"].append(record)
                 step()
     p.base["coverage"] = {"pair_candidates": len(asked), "pairs_evaluated": len(chosen), "contexts_requested": len(ordered), "contexts_evaluated": len(used)}
@@ -92,7 +103,7 @@ def pairs(df: DataFrame, dimensions, *, dropna: bool = False, include_absence: b
     return Result("pairs", p.base)
 
 
-def _pair(p: Prepared, a, b, context, dropna, include_absence, domains, left):
+def _pair(p: Prepared, a, b, context, dropna, include_absence, domains, left, most_levels):
     inside = p.frame
     for c, v in context.items():
         inside = inside.where(quoted(c).eqNullSafe(F.lit(v)))
@@ -100,7 +111,7 @@ def _pair(p: Prepared, a, b, context, dropna, include_absence, domains, left):
     try:
         rows = inside.count() if context else p.rows
         r = relation_table(cells).first()
-        sides = [[(json_value(x["v"]), x["n"]) for x in cells.groupBy(F.col(s).alias("v")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), F.col("v").asc_nulls_last()).limit(100).collect()] for s in ("a", "b")]
+        sides = [[(json_value(x["v"]), x["n"]) for x in margin_table(cells, s).orderBy(F.desc("n"), F.col("v").asc_nulls_last()).limit(most_levels).collect()] for s in ("a", "b")]
         n, v = r["rows"], r["cramers_v"]
         record = {
             "columns": [a, b],
@@ -113,31 +124,37 @@ def _pair(p: Prepared, a, b, context, dropna, include_absence, domains, left):
             "cramers_v": v,
             "cramers_v_reason": None if v is not None else "constant_dimension" if n else "empty_population",
             "marginals": {c: [{"value": x, "count": k} for x, k in s] for c, s in zip((a, b), sides)},
+            "omitted_marginal_levels": {a: r["levels_a"] - len(sides[0]), b: r["levels_b"] - len(sides[1])},
             "observed_cells": r["cells"],
             "domains": {a: r["levels_a"], b: r["levels_b"]},
         }
         if include_absence:
-            sizes, frames = [], []
+            # Domains that are not declared, and the levels' support, are those of the whole population.
+            whole = pair_table(p.frame, a, b, dropna=dropna) if context else cells
+            sizes, frames, ever = [], [], 1
             spark = p.frame.sparkSession
-            for c, s, levels in ((a, "a", r["levels_a"]), (b, "b", r["levels_b"])):
+            for c, s in ((a, "a"), (b, "b")):
                 t = p.frame.schema[c].dataType.simpleString()
-                seen = cells.select(s).distinct()
+                seen = whole.select(s).distinct()
+                levels = seen.count() if context else r[f"levels_{s}"]
+                ever *= levels
                 if c in domains:
                     seen = spark.createDataFrame([(x,) for x in domains[c]], f"{s} {t}").union(seen).distinct()
                     levels = seen.count()
                 sizes.append(levels)
                 frames.append(seen)
             total = sizes[0] * sizes[1] - r["cells"]
-            inner = r["levels_a"] * r["levels_b"] - r["cells"]
+            here = r["levels_a"] * r["levels_b"]
+            inner = here - r["cells"]
             sampled = []
             if left and total:
                 # Enough values of each side that `left` absent cells are among their combinations.
                 most = max(1000, 20 * left)
                 small = [f.orderBy(F.col(s).asc_nulls_last()).limit(most) for f, s in zip(frames, "ab")]
-                absent = absent_table(cells, *small).orderBy(F.col("a").asc_nulls_last(), F.col("b").asc_nulls_last()).limit(left)
+                absent = absent_table(cells, *small, whole).orderBy(F.col("a").asc_nulls_last(), F.col("b").asc_nulls_last()).limit(left)
                 sampled = [{"a": json_value(x["a"]), "b": json_value(x["b"]), "reason": x["reason"]} for x in absent.collect()]
                 left -= len(sampled)
-            record["absence"] = {"absent_cells": total, "zero_support_cells": total - inner, "within_observed_margins_cells": inner, "sample": sampled, "omitted_cells": total - len(sampled)}
+            record["absence"] = {"absent_cells": total, "zero_support_cells": sizes[0] * sizes[1] - ever, "level_absent_under_parent_cells": ever - here, "within_observed_margins_cells": inner, "sample": sampled, "omitted_cells": total - len(sampled)}
         return record, left
     finally:
         cells.unpersist()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations, permutations
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +42,7 @@ def sales(spark: SparkSession, d: str) -> DataFrame:
     return j.select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "o_custkey", "o_orderstatus", "o_orderpriority", "c_nationkey", "c_mktsegment", "n_regionkey", "n_name")
 
 
+SALES_COLUMNS = ["l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "o_custkey", "o_orderstatus", "o_orderpriority", "c_nationkey", "c_mktsegment", "n_regionkey", "n_name"]
 SALES = """sales AS (SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus, o_custkey, o_orderstatus, o_orderpriority, c_nationkey, c_mktsegment, n_regionkey, n_name
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
 
@@ -193,13 +196,32 @@ def grain_relationships(spark, d):
     return spark.createDataFrame(rows, "a string, b string, a_determines_b boolean")
 
 
-@query()
+def _placement_sql() -> str:
+    """Keys that determine each other are one node; edges without shortcuts; each other column at its coarsest nodes."""
+    groups = lambda *cols: f"(SELECT count(*) FROM (SELECT DISTINCT {', '.join(dict.fromkeys(cols))} FROM sales))"
+    det = " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, {groups(*a)} = {groups(*a, *b)} AS fixes" for i, a in enumerate(KEYS.values()) for j, b in enumerate(KEYS.values()))
+    inside = {c for cols in KEYS.values() for c in cols}
+    others = [c for c in SALES_COLUMNS if c not in inside]
+    fits = " UNION ALL ".join(f"SELECT {i} AS i, '{c}' AS col, {groups(*a)} = {groups(*a, c)} AS holds" for i, a in enumerate(KEYS.values()) for c in others)
+    return f"""WITH {SALES}, name AS (SELECT unnest({list(KEYS)}) AS name, unnest(range({len(KEYS)})) AS i), det AS ({det}),
+home AS (SELECT a.i, min(a.j) AS node FROM det a JOIN det b ON a.i = b.j AND a.j = b.i WHERE a.fixes AND b.fixes GROUP BY a.i),
+node AS (SELECT node, string_agg(name, '+' ORDER BY name.i) AS label FROM home JOIN name ON home.i = name.i GROUP BY node),
+below AS (SELECT det.j AS coarse, det.i AS fine FROM det JOIN node a ON a.node = det.i JOIN node b ON b.node = det.j WHERE fixes AND det.i <> det.j),
+edge AS (SELECT * FROM below x WHERE NOT EXISTS (SELECT 1 FROM below y JOIN below z ON y.fine = z.coarse WHERE y.coarse = x.coarse AND z.fine = x.fine)),
+fits AS ({fits}), homes AS (SELECT DISTINCT col, node FROM fits JOIN home ON fits.i = home.i WHERE holds),
+coarsest AS (SELECT * FROM homes h WHERE NOT EXISTS (SELECT 1 FROM homes o JOIN below ON o.node = coarse AND h.node = fine WHERE o.col = h.col))
+SELECT 'edge' AS what, a.label AS a, b.label AS b FROM edge JOIN node a ON a.node = coarse JOIN node b ON b.node = fine
+UNION ALL SELECT 'column', col, string_agg(label, ',' ORDER BY coarsest.node) FROM coarsest JOIN node ON coarsest.node = node.node GROUP BY col
+UNION ALL SELECT DISTINCT 'unplaced', col, 'no_supported_key' FROM fits WHERE col NOT IN (SELECT col FROM homes)"""
+
+
+@query(_placement_sql())
 def grain_placement(spark, d):
     found = gr.grain(sales(spark, d), KEYS, identify=False)["graph"]
     node = {n["id"]: "+".join(n["keys"]) for n in found["nodes"]}
-    rows = [("edge", node[e["coarse"]], node[e["fine"]]) for e in found["edges"]]
-    rows += [("column", a["column"], ",".join(node[n] for n in a["nodes"])) for a in found["assignments"]]
-    rows += [("unplaced", u["column"], u["reason"]) for u in found["unplaced"]]
+    rows = [("edge", node[e["source"]], node[e["target"]]) for e in found["edges"]]
+    rows += [("column", a["target"], ",".join(node[n] for n in a["nodes"])) for a in found["assignments"]]
+    rows += [("unplaced", u["target"], u["reason"]) for u in found["unplaced"]]
     return spark.createDataFrame(rows, "what string, a string, b string")
 
 
@@ -244,6 +266,18 @@ def pairs_absence(spark, d):
     return pa.absent_table(cells, a, spark.range(27).select(F.col("id").cast("int").alias("b")))
 
 
+@query("""WITH w AS (SELECT DISTINCT c_mktsegment AS a, c_nationkey AS b FROM customer), p AS (SELECT DISTINCT c_mktsegment AS a, c_nationkey AS b FROM customer WHERE c_nationkey = 3),
+da AS (SELECT unnest(['BUILDING', 'MACHINERY', 'NOWHERE']) AS a), db AS (SELECT unnest(range(0, 27)) AS b)
+SELECT da.a, CAST(db.b AS INTEGER) AS b, CASE WHEN da.a IN (SELECT a FROM p) AND db.b IN (SELECT b FROM p) THEN 'within_observed_margins' WHEN da.a IN (SELECT a FROM w) AND db.b IN (SELECT b FROM w) THEN 'level_absent_under_parent' ELSE 'zero_support' END AS reason
+FROM da, db WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.a = da.a AND p.b = db.b)""")
+def pairs_context_absence(spark, d):
+    frame, _ = normalise(table(spark, d, "customer"))
+    whole = le.pair_table(frame, "c_mktsegment", "c_nationkey")
+    inside = le.pair_table(frame.where("c_nationkey = 3"), "c_mktsegment", "c_nationkey")
+    a = spark.createDataFrame([("BUILDING",), ("MACHINERY",), ("NOWHERE",)], "a string")
+    return pa.absent_table(inside, a, spark.range(27).select(F.col("id").cast("int").alias("b")), whole)
+
+
 @query("SELECT l_returnflag AS a, l_linestatus AS b, count(*) AS n FROM lineitem GROUP BY 1, 2")
 def joint_counts(spark, d):
     return le.pair_table(normalise(table(spark, d, "lineitem"))[0], "l_returnflag", "l_linestatus")
@@ -333,9 +367,27 @@ def implications(spark, d):
     return r.where((F.col("antecedent_populated") > 0) & ~F.col("same") & (F.col("t") < F.col("everything")) & (rate >= 0.9)).select("source", "target", "antecedent_populated", F.round(rate, 6).alias("conditional_presence"))
 
 
-@query(f"WITH {LABELLED} SELECT a, b FROM ({PAIR_SQL}) WHERE together = 0 AND first > 0 AND second > 0")
+STATES = {"finished": "F", "opened": "O", "partial": "P"}
+
+
+@query(
+    "WITH o AS (SELECT " + ", ".join(f"CASE WHEN o_orderstatus = '{v}' THEN o_totalprice END AS {k}" for k, v in STATES.items()) + ", o_custkey AS customer FROM orders) "
+    + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b FROM o HAVING count(*) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL) = 0 AND count({a}) > 0 AND count({b}) > 0" for a, b in combinations([*STATES, "customer"], 2))
+)
 def mutually_exclusive(spark, d):
-    return _pairs_frame(spark, d).where("together = 0 and first > 0 and second > 0").select("a", "b")
+    orders = table(spark, d, "orders")
+    orders = orders.select("o_orderkey", F.col("o_custkey").alias("customer"), *(F.when(F.col("o_orderstatus") == v, F.col("o_totalprice")).alias(k) for k, v in STATES.items()))
+    names = [*STATES, "customer"]
+    numbers = list(combinations(range(len(names)), 2))
+    counted = av.pair_counts(av.signature_table(positioned(normalise(orders)[0], "o_orderkey"), names), names, numbers)
+    rows = [(names[i], names[j]) for (i, j), (together, first, second, _) in zip(numbers, counted) if not together and first and second]
+    return spark.createDataFrame(rows, "a string, b string")
+
+
+@query(f"WITH {LABELLED} SELECT a, b, round(together / (together + first + second), 6) AS presence_jaccard FROM ({PAIR_SQL}) WHERE together > 0 AND first + second > 0 AND together / (together + first + second) >= 0.5")
+def similar_availability(spark, d):
+    share = F.try_divide(F.col("together"), F.col("together") + F.col("first") + F.col("second"))
+    return _pairs_frame(spark, d).where((F.col("together") > 0) & (F.col("first") + F.col("second") > 0) & (share >= 0.5)).select("a", "b", F.round(share, 6).alias("presence_jaccard"))
 
 
 @query(f"WITH {LABELLED} SELECT lang, count(*) AS rows, min(doc_id) AS first, {', '.join(f'count({c}) AS {c}' for c in MARKED)} FROM lab GROUP BY lang")
@@ -499,7 +551,35 @@ def path_impurity_availability(spark, d):
     return _impurities(spark, normalise(labelled(spark, d))[0], [("lang",), ("lang", "source")], av.signature(MARKED))
 
 
-@query()
+def _path_sql(budget: int = 40, shown: int = 3) -> str:
+    """The search's levels: the best order of every set of two columns, its extensions, and the best of those by set."""
+    n = lambda cols: "n_" + "_".join(sorted(cols))
+    fixes = lambda a, b: f"({n((a, b))} = {n((a,))})"
+
+    def score(order):
+        sizes = [n(order[: i + 1]) for i in range(len(order))]
+        terms = [f"{x} / {budget}.0 + greatest(0, {x} - {budget}) / {budget}.0" for x in sizes]
+        terms += [f"CASE WHEN {x} = {y} THEN 2 ELSE 0 END" for x, y in zip(["1", *sizes], sizes)]
+        for i, a in enumerate(order):
+            for b in order[:i]:  # b stands before a
+                terms.append(f"CASE WHEN {fixes(a, b)} AND {fixes(b, a)} THEN 3 WHEN {fixes(b, a)} THEN 8 ELSE 0 END")
+        return " + ".join(terms)
+
+    def level(size):
+        rows = [f"SELECT {list(o)} AS path, {list(o[:-1])} AS start, {sorted(o)} AS members, {score(o)} AS score FROM c" for o in permutations(NESTED, size)]
+        return " UNION ALL ".join(rows)
+
+    counts = ", ".join(f"(SELECT count(*) FROM (SELECT DISTINCT {', '.join(s)} FROM sales)) AS {n(s)}" for k in (1, 2, 3) for s in combinations(NESTED, k))
+    family = " ".join(f"WHEN x = '{a}' THEN least('{a}', " + ", ".join(f"CASE WHEN {fixes(a, b)} AND {fixes(b, a)} THEN '{b}' END" for b in NESTED if b != a) + ")" for a in NESTED)
+    return f"""WITH {SALES}, c AS (SELECT {counts}),
+two AS (SELECT * FROM ({level(2)}) QUALIFY row_number() OVER (PARTITION BY members ORDER BY score, path) = 1),
+three AS (SELECT * FROM ({level(3)}) WHERE start IN (SELECT path FROM two) QUALIFY row_number() OVER (PARTITION BY members ORDER BY score, path) = 1),
+f AS (SELECT path, score, (SELECT list_sort(list_distinct(list(CASE {family} END))) FROM (SELECT unnest(path) AS x), c) AS family FROM three),
+kept AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY family ORDER BY score, path) = 1)
+SELECT array_to_string(path, '/') AS path, round(score, 6) AS score FROM kept ORDER BY score, path LIMIT {shown}"""
+
+
+@query(_path_sql())
 def path_scores(spark, d):
     found = pt.suggest_paths(sales(spark, d), features=NESTED, max_dimensions=3, identify=False)
     return spark.createDataFrame([("/".join(x["dimensions"]), round(x["measurements"]["score"], 6)) for x in found["paths"]], "path string, score double")

@@ -38,7 +38,7 @@ def _ranks(nodes, edges) -> dict[str, int]:
     rank = {n["id"]: 0 for n in nodes}
     for _ in nodes:
         for e in edges:
-            rank[e["fine"]] = max(rank[e["fine"]], rank[e["coarse"]] + 1)
+            rank[e["target"]] = max(rank[e["target"]], rank[e["source"]] + 1)
     return rank
 
 
@@ -52,7 +52,7 @@ def _map(d, width) -> str:
         for i, n in enumerate(nodes):
             at[n["id"]] = ((i + 0.5) * width / len(nodes), 40 + r * 90)
     for e in d["edges"]:
-        (x1, y1), (x2, y2) = at[e["coarse"]], at[e["fine"]]
+        (x1, y1), (x2, y2) = at[e["source"]], at[e["target"]]
         parts.append(f'<line x1="{x1:.0f}" y1="{y1 + 14:.0f}" x2="{x2:.0f}" y2="{y2 - 16:.0f}" stroke="{LINE}"/>')
     for n in d["nodes"]:
         x, y = at[n["id"]]
@@ -60,7 +60,7 @@ def _map(d, width) -> str:
         w = len(label) * CHAR + 16
         parts.append(f'<rect x="{x - w / 2:.0f}" y="{y - 16:.0f}" width="{w}" height="30" rx="4" fill="{SHADES[0]}" stroke="{LINE}"/>')
         parts.append(_text(x, y + 3, label, anchor="middle"))
-        placed = [a["column"] for a in d["assignments"] if n["id"] in a["nodes"]]
+        placed = [a["target"] for a in d["assignments"] if n["id"] in a["nodes"]]
         if placed:
             parts.append(_text(x, y + 30, clip(", ".join(placed), 40), 10, "middle"))
     return _svg(width, 90 * (max(rows, default=0) + 1) + 30, parts, "grain map")
