@@ -13,6 +13,9 @@ from pyspark.sql.window import Window
 #: A word is a run of anything but these six ASCII white-space characters.
 WORD_SEPARATORS = "\\x20\\x09-\\x0D"
 
+#: Texts that a Python worker turns into objects of its own at a time.
+ROWS = 256
+
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -59,6 +62,13 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.length(F.regexp_replace(marks, f"[{WORD_SEPARATORS}]++", "")), F.lit(0)).cast("long")
 
 
+def slices(batches, rows: int = ROWS):
+    """The Arrow batches in slices, so that what a worker holds besides the batch does not grow with the batch."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def field(name: str, kind: T.DataType | str) -> T.StructField:
     return T.StructField(name, T._parse_datatype_string(kind) if isinstance(kind, str) else kind)
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratalens.llm import tokens
-from stratalens.llm.common import cut, field, running_sums, unit_hash
+from stratalens.llm.common import cut, field, running_sums, slices, unit_hash
 
 CAPACITY = 2048
 
@@ -163,7 +163,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> dict[str, np.ndarr
 
 def _pieces(batches, path: str, capacity: int):
     """Documents to pieces; whatever is longer than a sequence is cut, its first piece taking what is left over."""
-    for batch in batches:
+    for batch in slices(batches):
         ids, out = [], {"piece": [], "start": [], "length": [], "crc": []}
         for row, blob in enumerate(tokens.encoder(path).encode_many(batch.column(1).to_pylist())):
             blob += b"\0\0\0\0"

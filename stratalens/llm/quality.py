@@ -18,12 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratalens.llm.common import cut, field
+from stratalens.llm.common import cut, field, slices
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SPACE, SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
 WINDOW = 5
-ROWS = 256  # texts that are Python objects at a time
 TAIL = 2.0  # standard deviations of the prior from which on a host is suspect
 #: So many hosts with something held against them may be broadcast (some tens of MB); more are joined by a shuffle.
 BROADCAST_HOSTS = 200_000
@@ -59,7 +58,7 @@ def measure(text: str | None) -> tuple[int, int, int, int, int]:
 
 
 def _measure(batches, at: int, carried: list[str]):
-    for part in (b.slice(i, ROWS) for b in batches for i in range(0, len(b), ROWS)):
+    for part in slices(batches):
         counts = zip(*map(measure, part.column(at).to_pylist()))
         yield pa.RecordBatch.from_arrays([*part.select(carried).columns, *(pa.array(c, pa.int64()) for c in counts)], [*carried, *MEASURES])
 
