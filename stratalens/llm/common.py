@@ -31,13 +31,31 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Scratch tables that stand: a weak reference to the table's list of files in the JVM, and the table's path.
+_standing: list[tuple] = []
+
+
+def sweep() -> None:
+    """Remove the scratch tables that no plan reads any more.
+
+    Every DataFrame that is derived from a table, and every query that runs on it, holds the table's list of files; once the JVM
+    has collected that list, nobody can ask for the table again.
+    """
+    for entry in list(_standing):
+        files, path, delete = entry
+        if files.get() is None:
+            _standing.remove(entry)
+            delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared scratch folder and read it back.
 
     This cuts the lineage, so a lost executor costs a reread and not the work before it. Once the table stands
-    nothing needs the shuffles that made it, so Spark is told to remove their files. The table goes when the
-    driver's JVM ends.
+    nothing needs the shuffles that made it, so Spark is told to remove their files. The table goes at some later cut() when
+    nothing refers to it any more, at the latest when the driver's JVM ends.
     """
+    sweep()
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/scratch-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEAN_UP, "false")
@@ -47,8 +65,12 @@ def cut(df: DataFrame) -> DataFrame:
     finally:
         spark.conf.set(CLEAN_UP, before)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    folder.deleteOnExit(where)
+    table = spark.read.schema(df.schema).parquet(path)
+    files = table._jdf.queryExecution().analyzed().relation().location()
+    _standing.append((spark._jvm.java.lang.ref.WeakReference(files), where, folder.delete))
+    return table
 
 
 def keyed(docs: DataFrame) -> DataFrame:
