@@ -10,8 +10,11 @@ sequences in Elias-Fano form: the low bytes in a plain array, the high parts in
 a word to its predecessors. A pair is found by searching the range that belongs to its word, by an identifier that need
 only tell that word's predecessors apart. Probabilities are quantised. The trie is cut into shards by word; a shard is
 built in a memory-mapped file without a name in one task and asked by blocks of documents, which send their distinct
-pairs with lists of the documents that hold them and get back sums. Words and pairs with more than HEAVY of all tokens,
-of which there are at most 1 / HEAVY each, are broadcast and looked up by the blocks themselves.
+pairs with lists of the documents that hold them and get back sums.
+
+A word with more than HEAVY of all tokens is frequent. There are at most 2 / HEAVY frequent words; they are found before anything is
+counted, their counts are broadcast, and their pairs are dealt to all shards by both words, so that no shard holds all
+that goes before a common word. Pairs of more than HEAVY of all tokens are broadcast too and looked up by the blocks themselves.
 """
 
 from __future__ import annotations
@@ -127,13 +130,14 @@ class Trie:
     def _value(codes, i):
         return codes[1] + codes[2] * codes[0][i]
 
-    def look_up(self, words: np.ndarray, heads: np.ndarray, tails: np.ndarray):
-        """For words: count, log p, log B; for pairs (index into words, predecessor): log A."""
+    def look_up(self, words: np.ndarray, heads: np.ndarray, tails: np.ndarray, given: np.ndarray):
+        """For words: count, log p (given for frequent words, else not a number), log B; for pairs (index into words, predecessor): log A."""
         at = self.words.find(words)
         count, logp, logb = np.zeros(len(words), np.int64), np.full(len(words), self.unseen), np.zeros(len(words))
         seen = at >= 0
         if seen.any():
             count[seen], logp[seen], logb[seen] = self.counts[at[seen]], self._value(self.p, at[seen]), self._value(self.b, at[seen])
+        logp = np.where(np.isnan(given), logp, given)
         loga = logp[heads]
         may = np.flatnonzero(seen[heads])
         pair = self.pairs.find(at[heads[may]].astype(np.uint64) << np.uint64(TAIL) | tails[may])
@@ -214,22 +218,71 @@ def _unpack_tails(blob: bytes) -> np.ndarray:
     return out.view("<u8")[:, 0]
 
 
-_COUNTS = "shard int, words binary, counts binary, fan binary, tails binary, pairs binary"
+def _among(sorted_words: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The place of each word among sorted ones, or -1."""
+    if not len(sorted_words):
+        return np.full(len(words), -1)
+    at = np.minimum(np.searchsorted(sorted_words, words), len(sorted_words) - 1)
+    return np.where(sorted_words[at] == words, at, -1)
 
 
-def _count(batches, shards: int):
-    """Per block and shard: the training tokens' words and pairs with their counts."""
+def _frequent(batches, share: float):
+    """Per block the training words that make up at least `share` of its tokens, with their counts, and under word 0 all tokens."""
     hashes = Hashes()
+    for ids, sizes, tokens in _blocks(batches, hashes, COUNT_TOKENS):
+        words, n = np.unique(tokens[np.repeat([not held_out(i) for i in ids], sizes)], return_counts=True)
+        often = n >= share * n.sum()
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(words[often], np.uint64(0)).view(np.int64)), pa.array(np.append(n[often], n.sum()))], ["w", "n"])
+
+
+def frequent_words(base: DataFrame, share: float) -> np.ndarray:
+    """All words that make up `share` of the training tokens, and none of under half as many, sorted; at most 2 / share.
+
+    A block leaves out words of less than half the share, so what is left out of a word that reaches the share is less than
+    half of its count.
+    """
+    sums = cut(base.mapInArrow(partial(_frequent, share=share / 2), "w bigint, n bigint").groupBy("w").agg(F.sum("n").alias("n")))
+    total = (sums.where("w = 0").first() or [0, 0])[1]
+    rows = sums.where((F.col("w") != 0) & (F.col("n") >= share / 2 * total)).select("w").collect()
+    return np.sort(np.array([r["w"] for r in rows], np.int64).view(np.uint64))
+
+
+def _routes(words, head, previous, routed, shards: int):
+    """The shard of each pair (places of word and predecessor): the word's own, or for frequent words one by both words."""
+    own = _shard(words, shards)[head]
+    both = (words[head] ^ (words[previous] << np.uint64(1) | np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
+    return np.where((_among(routed, words) >= 0)[head], _shard(both ^ both >> np.uint64(32), shards), own)
+
+
+def _entries(shard, head, also_shard=(), also_head=()):
+    """Keys (shard, head), sorted, of pairs and of further words; the pairs' order by them; pairs per key; the further words' places."""
+    key = shard << 32 | head
+    more = np.asarray(also_shard, np.int64) << 32 | np.asarray(also_head, np.int64)
+    keys = np.unique(np.concatenate((key, more)))
+    order = np.argsort(key, kind="stable")
+    fan = np.bincount(np.searchsorted(keys, key), minlength=len(keys))
+    return keys, order, fan, np.searchsorted(keys, more)
+
+
+_COUNTS = "shard int, words binary, counts binary, fan binary, tails binary, pairs binary"
+
+
+def _count(batches, shards: int, routed):
+    """Per block and shard: the training tokens' words and pairs with their counts. A word is counted in its own shard alone."""
+    hashes, routed = Hashes(), routed.value
     for ids, sizes, tokens in _blocks(batches, hashes, COUNT_TOKENS):
         train = np.repeat([not held_out(i) for i in ids], sizes)
         words, place, previous = _paired(sizes, tokens)
         place, previous = place[train], previous[train]
         pairs, n = np.unique(place.astype(np.int64) << 32 | previous, return_counts=True)
-        head, tail = pairs >> 32, _tail(words[pairs & 0xFFFFFFFF])
-        used, fan = np.unique(head, return_counts=True)
-        counts = np.bincount(place, minlength=len(words))[used]
-        words, shard = words[used], _shard(words[used], shards)
-        edge = np.searchsorted(shard, np.arange(shards + 1))
+        head, before = pairs >> 32, pairs & 0xFFFFFFFF
+        single = np.bincount(place, minlength=len(words))
+        found = np.flatnonzero(single)
+        keys, order, fan, at = _entries(_routes(words, head, before, routed, shards), head, _shard(words, shards)[found], found)
+        counts = np.zeros(len(keys), np.int64)
+        counts[at] = single[found]
+        tail, n = _tail(words[before[order]]), n[order]
+        words, edge = words[keys & 0xFFFFFFFF], np.searchsorted(keys >> 32, np.arange(shards + 1))
         below = np.concatenate(([0], np.cumsum(fan)))[edge]
         rows = []
         for s in np.flatnonzero(np.diff(edge)):
@@ -257,7 +310,7 @@ def _merge(rows: pd.DataFrame) -> pd.DataFrame:
     fan = np.bincount((keys >> np.uint64(TAIL)).astype(np.int64), minlength=len(every)).astype("<u4")
     tails = _pack_tails(keys & np.uint64((1 << TAIL) - 1))
     starts = int(counts[every == np.uint64(END)].sum())  # each text has one end, and so one start
-    out = {"shard": rows["shard"].iloc[0], "words": every.tobytes(), "counts": counts.tobytes(), "fan": fan.tobytes(), "tails": tails, "pairs": pairs.tobytes(), "total": int(counts.sum()), "distinct": len(every), "starts": starts}
+    out = {"shard": rows["shard"].iloc[0], "words": every.tobytes(), "counts": counts.tobytes(), "fan": fan.tobytes(), "tails": tails, "pairs": pairs.tobytes(), "total": int(counts.sum()), "distinct": int((counts > 0).sum()), "starts": starts}
     return pd.DataFrame([out])
 
 
@@ -269,11 +322,12 @@ def _arrays(r):
     return words, counts, np.repeat(np.arange(len(words)), fan), _unpack_tails(r["tails"]), np.frombuffer(r["pairs"], "<i8")
 
 
-def _heavy(batches, least: float):
+def _heavy(batches, least: float, routed):
+    """The frequent words' counts and all pairs that are as frequent."""
     for batch in batches:
         for r in batch.to_pylist():
             words, counts, heads, tails, pairs = _arrays(r)
-            w, p = np.flatnonzero(counts >= least), np.flatnonzero(pairs >= least)
+            w, p = np.flatnonzero((_among(routed.value, words) >= 0) & (counts > 0)), np.flatnonzero(pairs >= least)
             cols = [np.concatenate((words[w], words[heads[p]])), np.concatenate((np.zeros(len(w), np.uint64), tails[p])), np.concatenate((counts[w], pairs[p])), np.repeat([False, True], [len(w), len(p)])]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0].astype("<i8", copy=False).view("<i8")), pa.array(cols[1].astype("<i8")), pa.array(cols[2]), pa.array(cols[3])], ["w", "tail", "n", "pair"])
 
@@ -289,12 +343,7 @@ class Heavy:
         pairs = sorted(((place[r["w"] % (1 << 64)] << TAIL) | r["tail"], r["n"]) for r in rows if r["pair"])
         self.pairs, self.pair_counts = np.array([k for k, _ in pairs], np.uint64), np.array([n for _, n in pairs], np.int64)
 
-    @staticmethod
-    def find(among, values):
-        if not len(among):
-            return np.full(len(values), -1)
-        at = np.minimum(np.searchsorted(among, values), len(among) - 1)
-        return np.where(among[at] == values, at, -1)
+    find = staticmethod(_among)
 
 
 _ASKED = ["shard", "block", "words", "fan", "tails", "times", "docs", "ids", "held", "sizes", "base", "lm", "known"]
@@ -332,10 +381,12 @@ def _ask(batches, shards: int, heavy):
             loga = np.log10(h.pair_counts[pair.clip(0)] / h.mu + p[head])
             lm += np.bincount(doc[own], np.repeat(loga, times)[own], n)
         asked = pair < 0
-        head, tail, times, doc = head[asked], tail[asked], times[asked], doc[~own]
-        used, fan = np.unique(head, return_counts=True)
-        words = words[used]
-        edge = np.searchsorted(_shard(words, shards), np.arange(shards + 1))
+        head, before, times, doc = head[asked], previous[new][asked], times[asked], doc[~own]
+        keys, order, fan, _ = _entries(_routes(words, head, before, h.words, shards), head.astype(np.int64))
+        start = (np.cumsum(times) - times)[order]  # a pair's documents move along with it
+        tail, times = _tail(words[before[order]]), times[order]
+        doc = doc[np.repeat(start - (np.cumsum(times) - times), times) + np.arange(len(doc))]
+        words, edge = words[keys & 0xFFFFFFFF], np.searchsorted(keys >> 32, np.arange(shards + 1))
         below = np.concatenate(([0], np.cumsum(fan)))[edge]
         at = np.concatenate(([0], np.cumsum(times)))[below]
         rows = [(block % shards, block, None, None, None, None, None, [None if i is None else str(i) for i in ids], np.array([held_out(i) for i in ids]).tobytes(), sizes.astype("<i8").tobytes(), base.tobytes(), lm.tobytes(), known.tobytes())]
@@ -349,10 +400,13 @@ def _ask(batches, shards: int, heavy):
 _ANSWER = "block bigint, docs binary, ids array<string>, held binary, sizes binary, base binary, lm binary, known binary"
 
 
-def _answer(asked: pd.DataFrame, shard: pd.DataFrame, total: int, distinct: int, least: float, mu: float) -> pd.DataFrame:
+def _answer(asked: pd.DataFrame, shard: pd.DataFrame, total: int, distinct: int, heavy, mu: float) -> pd.DataFrame:
     """One shard: build its trie and answer the blocks' questions with sums by document."""
+    h = heavy.value
     if len(shard):
-        trie = Trie(*_arrays(shard.iloc[0]), total, distinct, mu)
+        words, counts, *pairs = _arrays(shard.iloc[0])
+        known = _among(h.words, words)
+        trie = Trie(words, np.where(known >= 0, h.counts[known], counts) if len(h.words) else counts, *pairs, total, distinct, mu)
     else:
         none = np.array([], np.int64)
         trie = Trie(none.astype(np.uint64), none, none, none.astype(np.uint64), none, total, distinct, mu)
@@ -363,15 +417,17 @@ def _answer(asked: pd.DataFrame, shard: pd.DataFrame, total: int, distinct: int,
             continue
         words, fan, times = np.frombuffer(r.words, "<u8"), np.frombuffer(r.fan, "<u4"), _unsmall(r.times, len(r.tails) // (TAIL // 8))
         heads = np.repeat(np.arange(len(words)), fan)
-        count, logp, logb, loga = trie.look_up(words, heads, _unpack_tails(r.tails))
+        known = _among(h.words, words)
+        given = np.where(known >= 0, np.log10((h.counts[known] + 1) / (total + distinct + 1)), np.nan) if len(h.words) else np.full(len(words), np.nan)
+        count, logp, logb, loga = trie.look_up(words, heads, _unpack_tails(r.tails), given)
         docs, doc = np.unique(np.frombuffer(r.docs, "<u2"), return_inverse=True)
         word = np.repeat(heads, times)
-        light = count < least  # what is heavy was added by the block
+        light = known < 0  # what is frequent was added by the block
         follows = light & (words != END)
         base = np.bincount(doc, np.where(light, np.log10((count + 1) / (total + distinct + 1)), 0)[word], len(docs))
-        known = np.bincount(doc, (light & (count > 0)).astype(float)[word], len(docs))
+        seen = np.bincount(doc, (light & (count > 0)).astype(float)[word], len(docs))
         lm = np.bincount(doc, np.repeat(loga, times) + np.where(follows, logb, 0)[word], len(docs))
-        out.append((r.block, docs.astype("<u2").tobytes(), None, None, None, base.tobytes(), lm.astype("<f4").tobytes(), known.astype("<u4").tobytes()))
+        out.append((r.block, docs.astype("<u2").tobytes(), None, None, None, base.tobytes(), lm.astype("<f4").tobytes(), seen.astype("<u4").tobytes()))
     return pd.DataFrame(out, columns=["block", "docs", "ids", "held", "sizes", "base", "lm", "known"])
 
 
@@ -386,7 +442,7 @@ def _gather(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": own["ids"], "held_out": np.frombuffer(own["held"], bool), "n_tokens": np.frombuffer(own["sizes"], "<i8"), "n_known": np.rint(sums["known"]).astype(np.int64), "base_score": sums["base"], "score": sums["lm"]})
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: float = MU) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: float = MU, heavy_share: float = HEAVY) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Null text is empty and has its end token alone. A null id is scored like any other and counts as training text;
@@ -398,14 +454,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: f
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     volume = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(4, volume // SHARD_BYTES)
-    merged = base.mapInArrow(partial(_count, shards=shards), _COUNTS).groupBy("shard").applyInPandas(_merge, _MERGED)
+    routed = spark.sparkContext.broadcast(frequent_words(base, heavy_share))
+    merged = base.mapInArrow(partial(_count, shards=shards, routed=routed), _COUNTS).groupBy("shard").applyInPandas(_merge, _MERGED)
     merged = cut(merged)
     total, distinct, starts = (x or 0 for x in merged.agg(F.sum("total"), F.sum("distinct"), F.sum("starts")).first())
-    least = max(2.0, HEAVY * total)
-    # No more than total / least words and as many pairs can be heavy.
-    heavy = merged.mapInArrow(partial(_heavy, least=least), "w bigint, tail bigint, n bigint, pair boolean").collect()
+    least = max(2.0, heavy_share * total)
+    # No more than total / least pairs can be as frequent, and twice as many words are routed.
+    heavy = merged.mapInArrow(partial(_heavy, least=least, routed=routed), "w bigint, tail bigint, n bigint, pair boolean").collect()
     shared = spark.sparkContext.broadcast(Heavy(heavy, total, distinct, starts, mu))
     asked = base.mapInArrow(partial(_ask, shards=shards, heavy=shared), _ASKED_TYPES)
-    answers = asked.groupBy("shard").cogroup(merged.groupBy("shard")).applyInPandas(partial(_answer, total=total, distinct=distinct, least=least, mu=mu), _ANSWER)
+    answers = asked.groupBy("shard").cogroup(merged.groupBy("shard")).applyInPandas(partial(_answer, total=total, distinct=distinct, heavy=shared, mu=mu), _ANSWER)
     scored = answers.groupBy("block").applyInPandas(_gather, "id string, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return scored.select(F.col("id").cast(kind).alias("id"), "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")

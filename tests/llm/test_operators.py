@@ -196,12 +196,11 @@ def slow_windows(rows, n=50):
     seen = Counter()
     for i, t, *_ in rows:
         w = (t or "").encode().split()
-        if i is not None:
-            seen.update(tuple(w[k : k + n]) for k in range(len(w) - n + 1))
+        seen.update(tuple(w[k : k + n]) for k in range(len(w) - n + 1))
     out = set()
     for i, t, *_ in rows:
         w = (t or "").encode().split()
-        for k in range(len(w) - n + 1) if i is not None else ():
+        for k in range(len(w) - n + 1):
             if seen[tuple(w[k : k + n])] > 1:
                 out.update((i, j) for j in range(k, k + n))
     return out
@@ -215,7 +214,19 @@ def test_repeated_passages(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)
     found = suffixes.repeated_passages(df).collect()
     assert {(r["id"], j) for r in found for j in range(r["start"], r["end"])} == slow_windows(rows)
-    assert not any(r["first"] for r in found if r["id"] == 102)  # document 3 is the earlier copy
+    assert not any(r["first"] for r in found if r["id"] in (102, None))  # document 3 is the earlier copy
+
+
+def test_passages_by_row(spark):
+    rng = random.Random(12)
+    shared, own = prose(rng, 60, 5000), [prose(rng, 80, 5000) for _ in range(3)]
+    rows = [(1, f"{shared} {own[0]}"), (1, f"{own[1]} {shared}"), (2, own[2]), (2, own[2]), (None, f"{own[0]} tail")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    found = {(r["id"], r["text_hash"], at, r["first"]) for r in suffixes.repeated_passages(df).collect() for at in range(r["start"], r["end"])}
+    h = [n for (n,) in spark.createDataFrame(rows, df.schema).coalesce(1).select(F.xxhash64(F.col("text").cast("binary"))).collect()]
+    spans = [(1, h[i], at, at + 60, h[i] == min(h[:2])) for i, at in ((0, 0), (1, 80))]
+    spans += [(1, h[0], 60, 140, True), (None, h[4], 0, 80, False), (2, h[2], 0, 80, True), (2, h[2], 0, 80, False)]
+    assert found == {(i, x, at, first) for i, x, start, end, first in spans for at in range(start, end)}
 
 
 def test_passages_empty(empty):
@@ -634,8 +645,8 @@ def test_language_model(docs, rows, empty):
     for i, t, *_ in rows:
         w = words(t)
         expected.append((str(i), held(i), len(w), sum(c[x] > 0 for x in w), n, sum(math.log10(p(x)) for x in w), sum(math.log10(q(a, x)) for a, x in zip([" ", *w], w))))
-    found = sorted(tuple([str(r["id"]), *r[1:]]) for r in lm.score(docs).collect())
-    for a, b in zip(found, sorted(expected), strict=True):
+    runs = [sorted(tuple([str(r["id"]), *r[1:]]) for r in lm.score(docs, heavy_share=h).collect()) for h in (lm.HEAVY, 0.005)]
+    for a, b in zip(runs[0] + runs[1], sorted(expected) * 2, strict=True):
         assert a[:5] == b[:5] and a[5] == pytest.approx(b[5], rel=1e-9) and a[6] == pytest.approx(b[6], abs=1e-3 * b[2])
     assert lm.score(empty).count() == 0
 
