@@ -13,6 +13,8 @@ from stratalens.functions.values import json_value, kind_of, normalised, quoted,
 from stratalens.runtime import phase, session
 
 POSITION = "_pos"
+#: Positions of a scope that a result saves; of a larger one it saves how many there are, and the caller passes it again.
+SAVED_POSITIONS = 100_000
 
 
 def positioned(df: DataFrame, position: str | None = None) -> DataFrame:
@@ -24,6 +26,11 @@ def positioned(df: DataFrame, position: str | None = None) -> DataFrame:
 
 def fingerprint(df: DataFrame, position: str | None = None) -> str:
     """SHA-256 over the schema, the row count and a sum of row hashes that cover positions, null flags and values."""
+    return identity(df, position)[0]
+
+
+def identity(df: DataFrame, position: str | None = None) -> tuple[str, int]:
+    """The fingerprint and the number of rows, from one pass."""
     rows = positioned(df, position)
     cells = []
     for f in df.schema.fields:
@@ -34,7 +41,7 @@ def fingerprint(df: DataFrame, position: str | None = None) -> str:
             value = value.cast("string")
         cells += [value.isNull(), value]
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(POSITION, *cells).cast("decimal(38,0)")).alias("h")).first()
-    return hashlib.sha256(f"{df.schema.json()}|{total['n']}|{total['h']}".encode()).hexdigest()
+    return hashlib.sha256(f"{df.schema.json()}|{total['n']}|{total['h']}".encode()).hexdigest(), total["n"]
 
 
 @dataclass(frozen=True)
@@ -63,6 +70,11 @@ class Scope:
     def positions(self) -> tuple[int, ...]:
         return tuple(r[0] for r in self.rows.orderBy(POSITION).collect())
 
+    def saved(self) -> list[int] | None:
+        """The positions for a result, None if there are more than it saves."""
+        first = [r[0] for r in self.rows.orderBy(POSITION).limit(SAVED_POSITIONS + 1).collect()]
+        return first if len(first) <= SAVED_POSITIONS else None
+
     def refine(self, positions: Iterable[int] | DataFrame, *, name: str = "refinement") -> Scope:
         """The rows of this scope that are also among the given positions."""
         spark = self.rows.sparkSession
@@ -142,24 +154,24 @@ def prepare(df: DataFrame, features: Iterable[str] | None = None, *, optional: I
     with phase("source identity"):
         key = id(df)
         if key not in own.identities:
-            name = fingerprint(df, own.position) if own.identify or scope is not None else None
-            own.identities[key] = (name, df.count(), df)
-        identity, total, _ = own.identities[key]
-    if scope is not None and scope.dataset_id != identity:
+            found = identity(df, own.position) if own.identify or scope is not None else (None, df.count())
+            own.identities[key] = (*found, df)
+        name, total, _ = own.identities[key]
+    if scope is not None and scope.dataset_id != name:
         raise ValueError("Scope belongs to a different ordered dataset")
     sentinels = {c: list((missing or {}).get(c, ())) for c in kinds}
     frame = _shared(own, df, scope, sentinels, types, kinds)
     n = total if scope is None else frame.count()
     base = {
         "status": "computed" if n else "empty",
-        "source": {"dataset_id": identity, "table_id": table_id, "rows": total, "columns": len(every)},
+        "source": {"dataset_id": name, "table_id": table_id, "rows": total, "columns": len(every)},
         "scope": {
             "name": scope.name if scope else "input",
             "parent": scope.parent if scope else None,
             "input_rows": total,
             "evaluated_rows": n,
             "restriction_excluded_rows": total - n,
-            "selection_positions": list(scope.positions) if scope else None,
+            "selection_positions": scope.saved() if scope else None,
         },
         "missing_convention": {"sentinels": {c: [v for _, v in sorted({sentinel_key(x) for x in s}, key=str)] for c, s in sentinels.items() if s}},
         "skipped_features": skipped,

@@ -18,6 +18,8 @@ WHOLE_SCOPE = ("census_path", "value_alias", "indexed_family")
 def saved_scope(df: DataFrame, payload) -> Scope | None:
     saved = payload["scope"]["selection_positions"]
     if saved is None:
+        if payload["scope"]["restriction_excluded_rows"]:
+            raise ValueError("the scope has more rows than a result saves; run the analysis with the scope again")
         return None
     rows = df.sparkSession.createDataFrame([(int(x),) for x in saved], f"{POSITION} bigint")
     return Scope(payload["source"]["dataset_id"], rows, payload["scope"]["name"], payload["scope"]["parent"])

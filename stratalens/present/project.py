@@ -7,7 +7,7 @@ canonical order, without any count, share, value of a cell, or position.
 from __future__ import annotations
 
 from bisect import bisect_right
-from math import log10
+from math import ceil, floor, log10
 
 from stratalens.result import Result
 
@@ -50,28 +50,44 @@ def visualization_data(result, *, detail: str = "full", shading=None) -> dict:
     return out
 
 
+# The leading figures that cut-offs of counts on a log scale are rounded to.
+NICE = (1, 1.5, 2, 2.5, 3, 4, 5, 6, 8, 10)
+
+
 def cutoffs(values, rule, counts: bool = False) -> list[float]:
-    """Three increasing values that cut the four shades."""
+    """Three increasing values that cut the four shades; nothing without values.
+
+    A log scale runs from 1 for counts, else from a thousandth of the largest value. Cut-offs of counts are whole numbers
+    that still increase, others have two places.
+    """
     if not isinstance(rule, str):
         given = [float(x) for x in rule]
         if len(given) != 3 or not given[0] < given[1] < given[2]:
             raise ValueError("fixed shading takes three increasing numbers")
         return given
-    found = sorted(values)
+    if rule not in ("equal", "log", "quantile"):
+        raise ValueError("shading rules are 'equal', 'log', 'quantile' or three numbers")
+    found = sorted(v for v in values if v is not None)
     if not found:
         return []
     low, high = found[0], found[-1]
-    if rule == "equal":
-        return [low + (high - low) * i / 4 for i in (1, 2, 3)]
-    if rule == "quantile":
-        return [found[min(len(found) - 1, len(found) * i // 4)] for i in (1, 2, 3)]
-    if rule == "log":
-        start = 1 if counts else max(low, 1e-9)
-        if high <= start:
-            return [high] * 3
-        marks = [10 ** (log10(start) + (log10(high) - log10(start)) * i / 4) for i in (1, 2, 3)]
-        return [float(round(m)) for m in marks] if counts else marks
-    raise ValueError("shading rules are 'equal', 'log', 'quantile' or three numbers")
+    top = max(high, 1e-12)
+    start = 1.0 if counts else top / 1000
+    scales = {
+        "equal": lambda part: low + (high - low) * part,
+        "log": lambda part: start * (max(top, start) / start) ** part,
+        "quantile": lambda part: found[min(len(found) - 1, ceil(len(found) * part))],
+    }
+    marks = [scales[rule](part) for part in (0.25, 0.5, 0.75)]
+    if not counts:
+        return [round(m, 2) for m in marks]
+    out: list[float] = []
+    for m in marks:
+        if rule == "log":
+            power = 10 ** floor(log10(m))
+            m = round(power * min(NICE, key=lambda x: abs(x * power - m)))
+        out.append(float(max(ceil(m), 1, out[-1] + 1 if out else 1)))
+    return out
 
 
 def shade(value, marks) -> int:
