@@ -440,7 +440,7 @@ def test_mix(docs, rows, empty):
     for s in sizes:
         assert abs(taken[s] - target[s]) <= max(2, target[s] / mixing.PACKETS * 2)
     assert sum(taken.values()) == int(1.5 * sum(sizes.values()))
-    assert sorted(map(str, found)) == sorted(map(str, mixing.mix_sources(docs.repartition(5)).collect()))
+    assert sorted(map(str, found)) == sorted(map(str, mixing.mix_sources(docs.repartition(5)).collect())) == sorted(map(str, mixing.mix_sources(docs, slice_rows=30, sorted_rows=1).collect()))
     assert mixing.mix_sources(empty).count() == 0
 
 
