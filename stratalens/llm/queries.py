@@ -20,7 +20,7 @@ def op1_simhash_near_dedup(spark, sf_dir):
 
 def op2_suffix_array_dedup(spark, sf_dir):
     found = suffixes.repeated_passages(_table(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), F.col("start").alias("start_word"), F.col("end").alias("end_word"), F.col("first").alias("first_copy"))
+    return found.select(F.col("id").alias("doc_id"), F.col("start").alias("start_word"), F.col("end").alias("end_word"), F.col("first").alias("first_copy"), "text_hash")
 
 
 def op3_best_fit_packing(spark, sf_dir):

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from stratalens.llm.common import cut, field
+from stratalens.llm.common import cut, field, slices
 
 PASSAGE, GRAM, NEIGHBOURS = 50, 8, 26
 PREFIX = PASSAGE - NEIGHBOURS + 1
@@ -71,7 +71,7 @@ def minimisers(grams: np.ndarray, neighbours: int = NEIGHBOURS) -> np.ndarray:
 
 def _suffixes(batches):
     known = _Words()
-    for batch in batches:
+    for batch in slices(batches):
         rows, hashes, places = [], [], []
         for row, text in enumerate(batch.column(1).to_pylist()):
             roll = Rolling(text, known)
@@ -89,7 +89,7 @@ def _suffixes(batches):
 def _windows(batches):
     """All 50-word windows around the candidates of a document."""
     known = _Words()
-    for batch in batches:
+    for batch in slices(batches):
         rows, hashes, places = [], [], []
         for row, (text, found) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
             whole = Rolling(text, known).windows(PASSAGE)
@@ -145,9 +145,9 @@ def repeated(rows: DataFrame) -> DataFrame:
     """(id, at, lead) of the rows (hash, id, at) whose hash is found again; lead marks the first of them in order of id and at.
 
     Sorted by ranges of (hash, id, at), so equal hashes may spread over many partitions; what meets at the partitions'
-    ends is settled from their first and last rows alone.
+    ends is settled from their first and last rows alone. The rows are cut first, as the sort by ranges reads them twice.
     """
-    ordered = rows.repartitionByRange("hash", "id", "at").sortWithinPartitions("hash", "id", "at")
+    ordered = cut(rows).repartitionByRange("hash", "id", "at").sortWithinPartitions("hash", "id", "at")
     schema = T.StructType([*rows.schema.fields, field("twin", "boolean"), field("lead", "boolean"), field("part", "int"), field("end", "boolean")])
     seen = cut(ordered.mapInArrow(_neighbours, schema))
     ends = seen.where("end").groupBy(F.col("hash").alias("h")).agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("p")).where("n > 1")
@@ -159,14 +159,17 @@ def repeated(rows: DataFrame) -> DataFrame:
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, start, end, first): spans of words (end exclusive) that lie in passages of 50 words or more found twice or more.
+    """(id, text_hash, start, end, first): spans of words (end exclusive) that lie in passages of 50 words or more found twice or more.
 
     Words are runs of non-white-space (ASCII) and are compared exactly. first tells the spans that are the earliest copy, by id
-    and place, from those that can be removed. Null and short texts have no passages; rows with a null id take no
-    part; rows that repeat an id are further copies. Other columns are not read.
+    (null last), text_hash and place, from those that can be removed. text_hash tells texts that share an id; rows equal in both are
+    copies of each other, and their spans are given once as first and once as not first. Null and short texts have no passages.
+    Other columns are not read.
     """
-    kind = docs.schema[id_col].dataType
-    base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    text = F.col(text_col).cast("binary")
+    known = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"))
+    base = docs.select(known.alias("id"), text.alias("text"))
+    kind = base.schema["id"].dataType
     schema = T.StructType([field("hash", "bigint"), field("id", kind), field("at", "int")])
     found = repeated(base.mapInArrow(_suffixes, schema))
     places = found.groupBy(F.col("id").alias("_id")).agg(F.collect_list("at").alias("places"))
@@ -176,4 +179,4 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     copies = copies.distinct().withColumn("_new", (F.col("at") - F.lag("at").over(by_place) > PASSAGE).cast("int"))
     spans = copies.withColumn("_span", F.sum(F.coalesce("_new", F.lit(0))).over(by_place))
     spans = spans.groupBy("id", "lead", "_span").agg(F.min("at").alias("start"), (F.max("at") + PASSAGE).alias("end"))
-    return spans.select("id", "start", "end", F.col("lead").alias("first"))
+    return spans.select("id.id", "id.text_hash", "start", "end", F.col("lead").alias("first"))
