@@ -16,6 +16,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -110,60 +111,67 @@ def _rows(ids, rows, hashes, places):
     return pa.RecordBatch.from_arrays([pa.array(join(hashes, np.uint64).view(np.int64)), ids, pa.array(join(places, np.int32))], ["hash", "id", "at"])
 
 
-def _neighbours(batches):
-    """Rows that agree with a neighbour, and the first and last row of the partition, whose other neighbour is elsewhere."""
-    from pyspark import TaskContext
+def _equal_ids(ids: pa.StructArray) -> np.ndarray:
+    """Whether each id equals the one before it, for all but the first; nulls are equal."""
+    same = np.ones(len(ids) - 1, bool)
+    for part in ids.flatten():
+        x, y = part[1:], part[:-1]
+        equal = pc.or_(pc.fill_null(pc.equal(x, y), False), pc.and_(pc.is_null(x), pc.is_null(y)))
+        same &= equal.to_numpy(zero_copy_only=False)
+    return same
+
 
-    part, tail, first = TaskContext.get().partitionId(), None, True
-    names = ["hash", "id", "at", "twin", "lead", "part", "end"]
+def _neighbours(batches):
+    """Rows whose hash is found in another text too, and each batch's first and last run, whose other neighbour is elsewhere.
 
-    def emit(rows, twin, lead, end):
-        n = len(rows)
-        return pa.RecordBatch.from_arrays([*rows.columns, pa.array(twin), pa.array(lead), pa.array(np.full(n, part, np.int32)), pa.array(end)], names)
+    A run is a text's rows of one hash; all its rows share the verdict. A neighbour is in another text if its id differs, or
+    if it is at the same place of a text with the same id, as only the rows of a repeated document are.
+    """
+    from pyspark import TaskContext
 
-    for batch in batches:
-        if not len(batch):
+    before = TaskContext.get().partitionId() << 32
+    for number, rows in enumerate(batches):
+        if not len(rows):
             continue
-        rows = pa.Table.from_batches([tail[0], batch] if tail else [batch]).combine_chunks().to_batches()[0]
-        h = rows.column(0).to_numpy()
-        same = h[1:] == h[:-1]
-        before, after = np.concatenate(([False], same)), np.concatenate((same, [False]))
-        if tail:
-            before[0] = tail[1]
-        twin, end = before | after, np.zeros(len(h), bool)
-        end[0] = first
-        keep = np.flatnonzero((twin | end)[:-1])
-        if len(keep):
-            yield emit(rows.take(pa.array(keep)), twin[keep], ~before[keep], end[keep])
-        first = first and len(h) == 1
-        tail = (rows.slice(len(h) - 1), bool(before[-1]))
-    if tail:
-        yield emit(tail[0], np.array([tail[1]]), np.array([not tail[1]]), np.array([True]))
+        h, at = rows.column(0).to_numpy(), rows.column(2).to_numpy()
+        near = h[1:] == h[:-1]
+        joined = near & _equal_ids(rows.column(1))  # in one run with the row before
+        run = np.concatenate(([0], np.cumsum(~joined)))
+        starts = np.flatnonzero(np.concatenate(([True], ~joined)))
+        linked = near[starts[1:] - 1]  # a run with the one before
+        twin = np.concatenate(([False], linked)) | np.concatenate((linked, [False]))
+        twin |= np.bincount(run[1:][joined & (at[1:] == at[:-1])], minlength=len(starts)) > 0
+        end = np.zeros(len(starts), bool)
+        end[[0, -1]] = True
+        keep = np.flatnonzero((twin | end)[run])
+        marks = [twin[run], np.concatenate(([True], ~near)), np.full(len(h), before + number), end[run]]
+        yield pa.RecordBatch.from_arrays([*rows.take(pa.array(keep)).columns, *(pa.array(m[keep]) for m in marks)], ["hash", "id", "at", "twin", "lead", "part", "end"])
 
 
 def repeated(rows: DataFrame) -> DataFrame:
-    """(id, at, lead) of the rows (hash, id, at) whose hash is found again; lead marks the first of them in order of id and at.
+    """(id, at, lead) of the rows (hash, id, at) whose hash is found in another text too; lead marks the first of them in order of id and at.
 
-    Sorted by ranges of (hash, id, at), so equal hashes may spread over many partitions; what meets at the partitions'
-    ends is settled from their first and last rows alone. The rows are cut first, as the sort by ranges reads them twice.
+    Sorted by ranges of (hash, id, at), so equal hashes may spread over many partitions; what meets at the ends of
+    their batches is settled from the first and last runs alone. The rows are cut first, as the sort by ranges reads them twice.
     """
     ordered = cut(rows).repartitionByRange("hash", "id", "at").sortWithinPartitions("hash", "id", "at")
-    schema = T.StructType([*rows.schema.fields, field("twin", "boolean"), field("lead", "boolean"), field("part", "int"), field("end", "boolean")])
+    schema = T.StructType([*rows.schema.fields, field("twin", "boolean"), field("lead", "boolean"), field("part", "bigint"), field("end", "boolean")])
     seen = cut(ordered.mapInArrow(_neighbours, schema))
-    ends = seen.where("end").groupBy(F.col("hash").alias("h")).agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("p")).where("n > 1")
-    met = seen.where("end").join(ends, F.col("hash") == F.col("h"))
-    met = met.select("id", "at", (F.col("lead") & (F.col("part") == F.col("p"))).alias("lead"))
-    # An end that has a twin in its partition and meets nothing elsewhere stands as it is.
-    alone = seen.where("end and twin").join(ends, F.col("hash") == F.col("h"), "left_anti").select("id", "at", "lead")
-    return seen.where("twin and not end").select("id", "at", "lead").unionByName(met).unionByName(alone)
+    ends = seen.where("end")
+    met = ends.groupBy("hash", "id", "at").agg(F.count(F.lit(1)).alias("n"), F.bool_or("twin").alias("twin"), F.min("part").alias("part"))
+    others = (F.min("id") != F.max("id")) | (F.max("n") > 1) | F.bool_or("twin")
+    met = met.groupBy(F.col("hash").alias("h")).agg(others.alias("others"), F.min("part").alias("p")).where("others")
+    settled = ends.join(met, F.col("hash") == F.col("h")).select("id", "at", (F.col("lead") & (F.col("part") == F.col("p"))).alias("lead"))
+    return seen.where("twin and not end").select("id", "at", "lead").unionByName(settled)
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text_hash, start, end, first): spans of words (end exclusive) that lie in passages of 50 words or more found twice or more.
+    """(id, text_hash, start, end, first): spans of words (end exclusive) that lie in passages of 50 words or more found in two or more texts.
 
     Words are runs of non-white-space (ASCII) and are compared exactly. first tells the spans that are the earliest copy, by id
     (null last), text_hash and place, from those that can be removed. text_hash tells texts that share an id; rows equal in both are
-    copies of each other, and their spans are given once as first and once as not first. Null and short texts have no passages.
+    copies of each other, and their spans are given once as first and once as not first. What only repeats within one text is left
+    alone. Null and short texts have no passages.
     Other columns are not read.
     """
     text = F.col(text_col).cast("binary")

@@ -193,15 +193,15 @@ def test_simhash_empty(empty):
 
 
 def slow_windows(rows, n=50):
-    seen = Counter()
-    for i, t, *_ in rows:
+    seen, out = {}, set()
+    for row, (_, t, *_) in enumerate(rows):
         w = (t or "").encode().split()
-        seen.update(tuple(w[k : k + n]) for k in range(len(w) - n + 1))
-    out = set()
+        for k in range(len(w) - n + 1):
+            seen.setdefault(tuple(w[k : k + n]), set()).add(row)
     for i, t, *_ in rows:
         w = (t or "").encode().split()
         for k in range(len(w) - n + 1):
-            if seen[tuple(w[k : k + n])] > 1:
+            if len(seen[tuple(w[k : k + n])]) > 1:
                 out.update((i, j) for j in range(k, k + n))
     return out
 
@@ -211,8 +211,14 @@ def test_repeated_passages(spark):
     passages = [prose(rng, n, 5000) for n in (49, 50, 51, 70, 130)]
     rows = [(i, prose(rng, rng.randint(20, 200), 5000) + " " + rng.choice(passages) + " " + prose(rng, rng.randint(0, 60), 5000)) for i in range(60)]
     rows += [(100, None), (101, ""), (102, rows[3][1]), (103, "same " * 300), (None, rows[3][1])]
+    rows += [(104, rows[4][1] + " " + "again " * 120), (105, "x " + "again " * 90), (106, rows[5][1]), (106, rows[5][1])]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)
     found = suffixes.repeated_passages(df).collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)  # so that runs and groups are cut by batches
+    try:
+        assert set(suffixes.repeated_passages(df).collect()) == set(found)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert {(r["id"], j) for r in found for j in range(r["start"], r["end"])} == slow_windows(rows)
     assert not any(r["first"] for r in found if r["id"] in (102, None))  # document 3 is the earlier copy
 
