@@ -17,7 +17,7 @@ from stratalens.context import POSITION, Prepared, add_finding, analysable, budg
 from stratalens.functions.counts import complete, rows_
 from stratalens.functions.values import json_value, quoted
 from stratalens.result import Result
-from stratalens.runtime import operation, phase
+from stratalens.runtime import operation, phase, session
 
 LIMITS = {"max_pairs": 200, "max_signatures": 50, "max_contexts": 32, "example_limit": 5}
 WORD = 62  # presence bits in one number
@@ -137,7 +137,7 @@ def missingness(df: DataFrame, *, features=None, by=None, entity=None, unit: str
     names = analysable(names, p)
     by_entity = unit == "entities"
     units = unit_frame(p.frame, names, entity, entity_presence) if by_entity else p.frame
-    sigs = signature_table(units, names).persist()
+    sigs = session().keep(signature_table(units, names))
     take = limit["example_limit"]
     # Findings wait here for their samples: (arguments, examples predicate, exceptions predicate) over rows.
     waiting: list = []

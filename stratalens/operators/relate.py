@@ -12,7 +12,7 @@ from stratalens.context import POSITION, Prepared, bounded, budgets, columns, pr
 from stratalens.functions.counts import rows_
 from stratalens.functions.values import quoted
 from stratalens.result import Result
-from stratalens.runtime import operation, phase
+from stratalens.runtime import operation, phase, session
 
 SIDES = ("left", "right")
 LIMITS = {"example_limit": 5}
@@ -166,7 +166,7 @@ def relate(left: DataFrame, right: DataFrame | None = None, *, on, compare=None,
     on, compare, take = dict(on), dict(compare or {}), limit["example_limit"]
     rel = Relation(left, right, on, compare, match, dropna, scopes, missing, table_ids)
     with phase("key counts"):
-        s = relation_sums(rel.joined.persist(), len(rel.compare)).first()
+        s = relation_sums(session().keep(rel.joined), len(rel.compare)).first()
     base = dict(rel.prepared[0].base)
     used = [p.rows for p in rel.prepared]
     base |= {"status": "computed" if any(used) else "empty", "self_reference": rel.self_reference, "sides": {}, "warnings": rel.warnings, "findings": []}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import textwrap
+from unicodedata import combining, east_asian_width
 
 from stratalens.present.project import visualization_data
 
@@ -28,8 +29,22 @@ def _number(text: str) -> bool:
         return False
 
 
+def cells(text: str) -> int:
+    """Columns of a terminal that the text takes: wide characters two, marks that join the one before none."""
+    return sum(0 if combining(c) else 2 if east_asian_width(c) in "WF" else 1 for c in text)
+
+
 def clip(text: str, width: int) -> str:
-    return text if len(text) <= width else text[: max(1, width - 1)] + "…"
+    """text cut to `width` columns, the last of them telling that something was cut; marks stay with their character."""
+    if cells(text) <= width:
+        return text
+    used = end = 0
+    for c in text:
+        used += cells(c)
+        if used > max(1, width - 1):
+            break
+        end += 1
+    return text[:end] + "…"
 
 
 def render_plaintext(result, *, detail: str = "full", width: int = 100, max_lines: int | None = 200, max_nodes: int | None = None, missing_label: str = "(missing)", unicode_mode: bool = True) -> str:
@@ -74,11 +89,11 @@ def _lines(d: dict, missing: str, most):
         yield "grain " + " ≡ ".join(n["keys"]) + (f": {n['groups']} groups{', unique' if n['unique'] else ''}" if full else "")
     names = {n["id"]: " ≡ ".join(n["keys"]) for n in d.get("nodes", []) if kind == "grain"}
     for e in d.get("edges", []):
-        yield f"  {names[e['coarse']]} → {names[e['fine']]}"
+        yield f"  {names[e['source']]} → {names[e['target']]}"
     for a in d.get("assignments", []):
-        yield f"  {a['column']} at {', '.join(names[n] for n in a['nodes'])}"
+        yield f"  {a['target']} at {', '.join(names[n] for n in a['nodes'])}"
     for u in d.get("unplaced", []):
-        yield f"  {u['column']} unplaced: {u['reason'].replace('_', ' ')}"
+        yield f"  {u['target']} unplaced: {u['reason'].replace('_', ' ')}"
     for p in d.get("pairs", []):
         where = "".join(f" | {c}={show(v)}" for c, v in p.get("context", {}).items())
         strength = f", V {p['cramers_v']:.3f}" if p.get("cramers_v") is not None else ""
