@@ -12,8 +12,6 @@ rows as it has copies.
 
 from __future__ import annotations
 
-from functools import partial
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc

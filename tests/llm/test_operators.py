@@ -741,6 +741,25 @@ def test_pipeline(spark, tmp_path):
     assert Counter(packed[packed.piece == 0].doc_id) == copies
 
 
+def test_stages_on_an_empty_table_and_a_long_text(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(15)
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    long = " ".join(f"w{rng.randint(0, 400_000)}" for _ in range(700_000)) + " joe@mail.example.com"
+    for rows in ([], [(1, long, "en", "s", len(long)), (None, prose(rng, 60, 4000), "en", None, 1), (1, None, "en", "s", None), (2, "", None, "s", 0)]):
+        docs = spark.createDataFrame(rows, schema)
+        for name, stage in corpus_pipeline.STAGES:
+            before, docs = docs, stage(spark, docs, str(tmp_path))
+            folder = f"{tmp_path}/{len(rows)}-{name}"
+            docs.write.parquet(folder)
+            docs = spark.read.parquet(folder)
+            assert name == "pack" or docs.columns == before.columns
+            if rows and name == "personal_data":
+                assert docs.where("doc_id = 1").first()["text"].endswith(" <email>") and docs.count() == 2
+    assert docs.where("doc_id = 1").count() > 700 and docs.where("doc_id is null").count() > 0
+
+
 def test_stages_judge_rows_not_ids(spark):
     rng = random.Random(12)
     clean = [prose(rng, 40, 4000) for _ in range(6)]
