@@ -708,22 +708,47 @@ def self_reference(spark, d):
 # ---- overview and selection ---------------------------------------------------------------------------------
 
 
-@query()
-def lead_ranking(spark, d):
+RANKED = ["lang", "source", "quality", "toxic", "calm", "bad"]
+
+
+def _leads_sql() -> str:
+    """The dependency tests as findings, in order of candidate and target, with what they score as leads."""
+    tests = " UNION ALL ".join(
+        f"SELECT {i * len(RANKED) + j} AS i, '{k}' AS determinant, '{t}' AS target, (SELECT count(DISTINCT {t}) <= 1 FROM lab) AS flat, * FROM {_groups_sql('lab', k, t, f'{k} IS NOT NULL AND {t} IS NOT NULL')}"
+        for i, k in enumerate(RANKED)
+        for j, t in enumerate(RANKED)
+        if k != t
+    )
+    return f"""WITH RECURSIVE {LABELLED}, tests AS ({tests}),
+found AS (SELECT *, CASE WHEN violating_groups = 0 THEN 'exact_dependency' ELSE 'approximate_dependency' END AS pattern FROM tests WHERE evaluated_rows > 0 AND 1 - repair_rows / evaluated_rows >= 0.95),
+named AS (SELECT *, CASE WHEN violating_groups > 0 THEN CASE WHEN repeated_rows = 0 THEN 'near-rule supported only by singleton groups'
+    WHEN repeated_rows / evaluated_rows >= 0.25 AND 1 - repair_rows / repeated_rows >= 0.9 THEN 'near-rule with exceptions' ELSE 'near-rule with sparse repeated support' END
+  WHEN flat THEN 'target is constant' WHEN repeated_rows = 0 THEN 'determinant is unique here' ELSE 'rule with repeated support' END AS reason FROM found),
+scored AS (SELECT *, CASE reason WHEN 'near-rule supported only by singleton groups' THEN 0.2 WHEN 'near-rule with exceptions' THEN 0.9 WHEN 'near-rule with sparse repeated support' THEN 0.3
+  WHEN 'target is constant' THEN 0.05 WHEN 'determinant is unique here' THEN 0.1 ELSE 0.5 END::DOUBLE / CASE WHEN row_number() OVER (PARTITION BY pattern, determinant ORDER BY i) = 1 THEN 1 ELSE 2 END AS score FROM named),
+links AS (SELECT pattern AS kind, determinant, target FROM scored WHERE reason NOT IN ('target is constant', 'determinant is unique here')),
+near AS (SELECT determinant AS a, target AS b FROM links UNION SELECT target, determinant FROM links),
+reach AS (SELECT a, a AS b FROM near UNION SELECT reach.a, near.b FROM reach JOIN near ON reach.b = near.a)"""
+
+
+def _ranked(spark, d):
     from stratalens.operators.overview import explore
 
-    found = explore(labelled(spark, d).drop("n_chars"), position="doc_id")
-    rows = [(f["id"], f["pattern"], f["lead"]["reason"], f["lead"]["score"]) for f in found.findings]
-    return spark.createDataFrame(rows, "id string, pattern string, reason string, score double")
+    return explore(labelled(spark, d), sections=["dependencies"], options={"dependencies": {"features": RANKED, "include_grain": False}}, position="doc_id")
 
 
-@query()
-def feature_network(spark, d):
-    from stratalens.operators.overview import explore
+@query(_leads_sql() + " SELECT pattern, determinant, target, reason, score, CAST(row_number() OVER (ORDER BY score DESC, i) AS INTEGER) AS place FROM scored")
+def lead_ranking(spark, d):
+    rows = [(f["pattern"], f["measurements"]["determinant"][0], f["measurements"]["target"], f["lead"]["reason"], f["lead"]["score"], i + 1) for i, f in enumerate(_ranked(spark, d).findings)]
+    return spark.createDataFrame(rows, "pattern string, determinant string, target string, reason string, score double, place int")
+
 
-    found = explore(labelled(spark, d).drop("n_chars"), sections=["missingness", "dependencies"], position="doc_id")["feature_network"]
-    rows = [(r["kind"], ",".join(f["column"] for f in r["features"])) for r in found["relationships"]]
-    return spark.createDataFrame(rows, "kind string, features string")
+@query(_leads_sql() + ", part AS (SELECT a, min(b) AS part FROM reach GROUP BY a) SELECT kind, determinant || ',' || target AS features, part FROM links JOIN part ON a = determinant")
+def feature_network(spark, d):
+    found = _ranked(spark, d)["feature_network"]
+    part = {c: names[0] for names in found["components"] for c in names}
+    rows = [(r["kind"], ",".join(f["column"] for f in r["features"]), part[r["features"][0]["column"]]) for r in found["relationships"]]
+    return spark.createDataFrame(rows, "kind string, features string, part string")
 
 
 @query(f"WITH {LABELLED} SELECT doc_id FROM lab WHERE quality IS NOT NULL AND calm IS NULL")
