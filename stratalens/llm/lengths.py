@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stratalens.llm import tokens
+from stratalens.llm.common import cut, slices
 
 RANGE = 256  # lengths whose running sums one window works out
 
 
 def _lengths(batches, path: str):
-    for batch in batches:
+    for batch in slices(batches):
         ids = tokens.encoder(path).encode_many(batch.column(0).to_pylist())
         yield pa.RecordBatch.from_arrays([pa.array([len(x) // 4 for x in ids], pa.int64())], ["length"])
 
@@ -32,8 +33,10 @@ def limits(counts: DataFrame) -> DataFrame:
     n_docs documents have this length, n_longer more tokens than that, with longer_tokens in all; kept_tokens is the
     corpus cut to the limit; share is the part of documents that fit whole, so the quantile q is the first limit with
     share >= q. Between two limits kept_tokens grows by n_longer a token, so these rows answer every limit.
-    Sums run over ranges of lengths and then inside each, so no window sees all lengths.
+    Sums run over ranges of lengths and then inside each, so no window sees all lengths. The histogram is read twice
+    and is cut first, so the documents are encoded once.
     """
+    counts = cut(counts)
     counts = counts.withColumn("tokens", F.col("length") * F.col("n_docs")).withColumn("_range", F.floor(F.col("length") / RANGE))
     after = lambda by: by.rowsBetween(1, Window.unboundedFollowing)
     ranges = counts.groupBy(F.col("_range").alias("_r")).agg(F.sum("n_docs").alias("_n"), F.sum("tokens").alias("_t"))
