@@ -31,19 +31,21 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder
 
 
-#: Scratch tables that stand: a weak reference to the table's list of files in the JVM, and the table's path.
+#: Scratch tables that stand: the JVM, a weak reference to the table's list of files in it, the table's path, and how to delete it.
 _standing: list[tuple] = []
 
 
-def sweep() -> None:
+def sweep(spark: SparkSession) -> None:
     """Remove the scratch tables that no plan reads any more.
 
     Every DataFrame that is derived from a table, and every query that runs on it, holds the table's list of files; once the JVM
     has collected that list, nobody can ask for the table again.
     """
     for entry in list(_standing):
-        files, path, delete = entry
-        if files.get() is None:
+        jvm, files, path, delete = entry
+        if jvm is not spark.sparkContext._gateway:  # of a JVM that has ended, which removed its tables
+            _standing.remove(entry)
+        elif files.get() is None:
             _standing.remove(entry)
             delete(path, True)
 
@@ -55,8 +57,8 @@ def cut(df: DataFrame) -> DataFrame:
     nothing needs the shuffles that made it, so Spark is told to remove their files. The table goes at some later cut() when
     nothing refers to it any more, at the latest when the driver's JVM ends.
     """
-    sweep()
     spark = df.sparkSession
+    sweep(spark)
     path = f"{scratch_dir(spark)}/scratch-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEAN_UP, "false")
     spark.conf.set(CLEAN_UP, "true")
@@ -69,7 +71,7 @@ def cut(df: DataFrame) -> DataFrame:
     folder.deleteOnExit(where)
     table = spark.read.schema(df.schema).parquet(path)
     files = table._jdf.queryExecution().analyzed().relation().location()
-    _standing.append((spark._jvm.java.lang.ref.WeakReference(files), where, folder.delete))
+    _standing.append((spark.sparkContext._gateway, spark._jvm.java.lang.ref.WeakReference(files), where, folder.delete))
     return table
 
 

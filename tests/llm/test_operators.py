@@ -14,7 +14,7 @@ import tokenizers
 import xxhash
 from pyspark.sql import functions as F
 
-from stratalens.llm import html, lengths, lm, mixing, packing, pii, quality, queries, shingles, simhash, suffixes, tokens, topk
+from stratalens.llm import common, html, lengths, lm, mixing, packing, pii, quality, queries, shingles, simhash, suffixes, tokens, topk
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -704,6 +704,33 @@ def test_top_k_of_large_components(spark):
 # ---- queries and pipeline -----------------------------------------------------------------------------------
 
 
+def test_scratch_tables_go_when_nothing_reads_them(spark):
+    import gc
+    import time
+
+    def swept(known):
+        for _ in range(30):
+            gc.collect()
+            spark._jvm.System.gc()
+            common.sweep(spark)
+            if known not in common._standing:
+                return True
+            time.sleep(0.2)
+        return False
+
+    table = common.cut(spark.range(1000).toDF("a"))
+    known, path = common._standing[-1], common._standing[-1][2]
+    there = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    derived = table.groupBy((F.col("a") % 10).alias("b")).count()
+    del table
+    gc.collect()
+    spark._jvm.System.gc()
+    common.sweep(spark)
+    assert known in common._standing and derived.count() == 10
+    del derived
+    assert swept(known) and not there.exists(path)
+
+
 def test_queries_are_registered():
     import __spark_entry__ as entry
 
