@@ -12,9 +12,9 @@ only tell that word's predecessors apart. Probabilities are quantised. The trie
 built in a memory-mapped file without a name in one task and asked by blocks of documents, which send their distinct
 pairs with lists of the documents that hold them and get back sums.
 
-A word with more than HEAVY of all tokens is frequent. There are at most 2 / HEAVY frequent words; they are found before anything is
-counted, their counts are broadcast, and their pairs are dealt to all shards by both words, so that no shard holds all
-that goes before a common word. Pairs of more than HEAVY of all tokens are broadcast too and looked up by the blocks themselves.
+A word with more than HEAVY of all tokens is frequent, at many shards one with more than a shard's tokens or RAREST of all. There are at
+most 2 / RAREST frequent words; they are found before anything is counted, their counts are broadcast, and the pairs of a word that would
+fill a good part of a shard are dealt to several by both words, so that no shard holds all that goes before a common word. Pairs of more than HEAVY of all tokens are broadcast too and looked up by the blocks themselves.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from stratalens.llm.common import cut
 
 MU = 300.0
-HEAVY = 2e-5
+HEAVY, RAREST = 2e-5, 1e-6
 BLOCK_TOKENS = 3 << 17
 COUNT_TOKENS = 1 << 19
 ROWS = 256  # texts that are turned into Python objects at a time
@@ -235,23 +235,29 @@ def _frequent(batches, share: float):
         yield pa.RecordBatch.from_arrays([pa.array(np.append(words[often], np.uint64(0)).view(np.int64)), pa.array(np.append(n[often], n.sum()))], ["w", "n"])
 
 
-def frequent_words(base: DataFrame, share: float) -> np.ndarray:
-    """All words that make up `share` of the training tokens, and none of under half as many, sorted; at most 2 / share.
+def frequent_words(base: DataFrame, share: float, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """All words that make up `share` of the training tokens, and none of under half as many, sorted; over how many shards each is dealt.
 
     A block leaves out words of less than half the share, so what is left out of a word that reaches the share is less than
-    half of its count.
+    half of its count. There are at most 2 / share such words. A word is dealt to four times as many shards as
+    its tokens would fill, so that it adds little to any of them, and small tables have few pieces.
     """
     sums = cut(base.mapInArrow(partial(_frequent, share=share / 2), "w bigint, n bigint").groupBy("w").agg(F.sum("n").alias("n")))
     total = (sums.where("w = 0").first() or [0, 0])[1]
-    rows = sums.where((F.col("w") != 0) & (F.col("n") >= share / 2 * total)).select("w").collect()
-    return np.sort(np.array([r["w"] for r in rows], np.int64).view(np.uint64))
+    rows = sums.where((F.col("w") != 0) & (F.col("n") >= share / 2 * total)).collect()
+    words, n = np.array([r["w"] for r in rows], np.int64).view(np.uint64), np.array([r["n"] for r in rows], np.int64)
+    order = np.argsort(words)
+    return words[order], np.clip(np.ceil(4 * shards * n[order] / max(1, total)), 1, shards).astype(np.uint64)
 
 
 def _routes(words, head, previous, routed, shards: int):
-    """The shard of each pair (places of word and predecessor): the word's own, or for frequent words one by both words."""
-    own = _shard(words, shards)[head]
+    """The shard of each pair (places of word and predecessor): the word's own, or for frequent words one of several, by both words."""
+    own, (often, spread) = _shard(words, shards), routed
+    at = _among(often, words)
+    pieces = np.where(at >= 0, spread[at], np.uint64(1)) if len(often) else np.ones(len(words), np.uint64)
     both = (words[head] ^ (words[previous] << np.uint64(1) | np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
-    return np.where((_among(routed, words) >= 0)[head], _shard(both ^ both >> np.uint64(32), shards), own)
+    piece = (both ^ both >> np.uint64(32)) >> np.uint64(32)
+    return (own[head] + (piece * pieces[head] >> np.uint64(32)).astype(np.int64)) % shards
 
 
 def _entries(shard, head, also_shard=(), also_head=()):
@@ -327,7 +333,7 @@ def _heavy(batches, least: float, routed):
     for batch in batches:
         for r in batch.to_pylist():
             words, counts, heads, tails, pairs = _arrays(r)
-            w, p = np.flatnonzero((_among(routed.value, words) >= 0) & (counts > 0)), np.flatnonzero(pairs >= least)
+            w, p = np.flatnonzero((_among(routed.value[0], words) >= 0) & (counts > 0)), np.flatnonzero(pairs >= least)
             cols = [np.concatenate((words[w], words[heads[p]])), np.concatenate((np.zeros(len(w), np.uint64), tails[p])), np.concatenate((counts[w], pairs[p])), np.repeat([False, True], [len(w), len(p)])]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0].astype("<i8", copy=False).view("<i8")), pa.array(cols[1].astype("<i8")), pa.array(cols[2]), pa.array(cols[3])], ["w", "tail", "n", "pair"])
 
@@ -350,7 +356,7 @@ _ASKED = ["shard", "block", "words", "fan", "tails", "times", "docs", "ids", "he
 _ASKED_TYPES = "shard int, block bigint, words binary, fan binary, tails binary, times binary, docs binary, ids array<string>, held binary, sizes binary, base binary, lm binary, known binary"
 
 
-def _ask(batches, shards: int, heavy):
+def _ask(batches, shards: int, heavy, routed):
     """Per block: a row about its documents with the sums over heavy words and pairs, and a row for each shard that it asks."""
     from pyspark import TaskContext
 
@@ -382,7 +388,7 @@ def _ask(batches, shards: int, heavy):
             lm += np.bincount(doc[own], np.repeat(loga, times)[own], n)
         asked = pair < 0
         head, before, times, doc = head[asked], previous[new][asked], times[asked], doc[~own]
-        keys, order, fan, _ = _entries(_routes(words, head, before, h.words, shards), head.astype(np.int64))
+        keys, order, fan, _ = _entries(_routes(words, head, before, routed.value, shards), head.astype(np.int64))
         start = (np.cumsum(times) - times)[order]  # a pair's documents move along with it
         tail, times = _tail(words[before[order]]), times[order]
         doc = doc[np.repeat(start - (np.cumsum(times) - times), times) + np.arange(len(doc))]
@@ -454,7 +460,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: f
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     volume = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(4, volume // SHARD_BYTES)
-    routed = spark.sparkContext.broadcast(frequent_words(base, heavy_share))
+    # At many shards fewer tokens make a word too many for one; at most 2 / RAREST words are broadcast.
+    heavy_share = max(min(heavy_share, RAREST), min(heavy_share, 1 / shards))
+    routed = spark.sparkContext.broadcast(frequent_words(base, heavy_share, shards))
     merged = base.mapInArrow(partial(_count, shards=shards, routed=routed), _COUNTS).groupBy("shard").applyInPandas(_merge, _MERGED)
     merged = cut(merged)
     total, distinct, starts = (x or 0 for x in merged.agg(F.sum("total"), F.sum("distinct"), F.sum("starts")).first())
@@ -462,7 +470,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: f
     # No more than total / least pairs can be as frequent, and twice as many words are routed.
     heavy = merged.mapInArrow(partial(_heavy, least=least, routed=routed), "w bigint, tail bigint, n bigint, pair boolean").collect()
     shared = spark.sparkContext.broadcast(Heavy(heavy, total, distinct, starts, mu))
-    asked = base.mapInArrow(partial(_ask, shards=shards, heavy=shared), _ASKED_TYPES)
+    asked = base.mapInArrow(partial(_ask, shards=shards, heavy=shared, routed=routed), _ASKED_TYPES)
     answers = asked.groupBy("shard").cogroup(merged.groupBy("shard")).applyInPandas(partial(_answer, total=total, distinct=distinct, heavy=shared, mu=mu), _ANSWER)
     scored = answers.groupBy("block").applyInPandas(_gather, "id string, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return scored.select(F.col("id").cast(kind).alias("id"), "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
