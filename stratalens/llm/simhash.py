@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratalens.llm.common import cut, field, keyed
+from stratalens.llm.common import cut, field, keyed, slices
 
 BITS = 64
 SEED = 42
@@ -48,7 +48,7 @@ def simhash(text: bytes | None, words: int = 4) -> int:
 
 
 def _fingerprint(batches, words: int):
-    for batch in batches:
+    for batch in slices(batches):
         prints = [simhash(t, words) for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], ["id", "fp"])
 
@@ -124,7 +124,8 @@ def near_links(prints: DataFrame, k: int = 4) -> DataFrame:
     stars = cut(stars.where((F.col("fp") != F.col("b")) & near(F.col("fp"), F.col("b"))).select(F.col("fp").alias("a"), "b").distinct())
     known = components(stars)
     labelled = prints.join(known, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
-    index = labelled.select("fp", "root", F.explode(_variants(F.col("fp"), k)).alias("sig"))
+    # a scratch table of few files is spread first, as each row becomes as many as there are bits
+    index = labelled.repartition("fp").select("fp", "root", F.explode(_variants(F.col("fp"), k)).alias("sig"))
     left, right = index.select("sig", F.col("fp").alias("a"), F.col("root").alias("ra")), index.select("sig", F.col("fp").alias("b"), F.col("root").alias("rb"))
     diff = F.col("a").bitwiseXOR(F.col("b"))
     joined = left.join(right, (left.sig == right.sig) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (F.bit_count(diff) <= k))
