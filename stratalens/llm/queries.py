@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalens.llm import html, infill, lengths, lm, mixing, packing, pii, quality, resampling, simhash, suffixes, topk
+from stratalens.llm import html, infill, lengths, lm, mixing, packing, pii, quality, resampling, simhash, spotsigs, suffixes, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,12 @@ def op11_importance_resampling(spark, sf_dir):
     return drawn.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
 
 
+def op12_document_fingerprints(spark, sf_dir):
+    found = spotsigs.compared_with_next(_table(spark, sf_dir, "documents"))
+    hexed = [F.lower(F.hex(c)).alias(c) for c in ("fingerprint", "edited_fingerprint")]
+    return found.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", *hexed, "near_edited", "near_next")
+
+
 def op13_fill_in_middle(spark, sf_dir):
     written = infill.fill_in_middle(_table(spark, sf_dir, "documents"))
     chars = [F.length(c).cast("long").alias(f"{c}_chars") for c in ("prefix", "middle")]
@@ -75,5 +81,5 @@ def op13_fill_in_middle(spark, sf_dir):
     return written.select(F.col("id").alias("doc_id"), "n", "form", *chars, F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_suffix_array_dedup, op3_best_fit_packing, op4_quality_rules, op5_mix_sources, op6_html_extraction, op7_token_counts, op8_personal_data, op9_lm_scoring, op10_exact_top_k, op11_importance_resampling, op13_fill_in_middle)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_suffix_array_dedup, op3_best_fit_packing, op4_quality_rules, op5_mix_sources, op6_html_extraction, op7_token_counts, op8_personal_data, op9_lm_scoring, op10_exact_top_k, op11_importance_resampling, op12_document_fingerprints, op13_fill_in_middle)}
 ORACLES = {"op4_quality_rules": quality.ORACLE, "op5_mix_sources": mixing.ORACLE, "op10_exact_top_k": topk.ORACLE, "op11_importance_resampling": resampling.ORACLE, "op13_fill_in_middle": infill.ORACLE}

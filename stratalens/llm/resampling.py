@@ -36,9 +36,12 @@ def runs(words: Column, most: int) -> Column:
     if most == 1:
         return words
     none = F.array().cast("array<string>")
-    size = lambda k: F.size(words) - F.lit(k - 1)
-    of = [F.when(size(k) > 0, F.transform(F.sequence(F.lit(1), size(k)), lambda i, k=k: F.array_join(F.slice(words, i, k), " "))).otherwise(none) for k in range(2, most + 1)]
-    return F.flatten(F.array(words, *of))
+
+    def of(k: int) -> Column:
+        last = F.size(words) - F.lit(k - 1)
+        return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(words, i, k), " "))).otherwise(none)
+
+    return F.flatten(F.array(words, *map(of, range(2, most + 1))))
 
 
 def bucket_numbers(df: DataFrame, text_col: str, ngrams: int, buckets: int, *carried: Column) -> DataFrame:
