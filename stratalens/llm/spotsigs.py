@@ -38,9 +38,11 @@ FIRST, LAST = 1, 2
 def anchor_words(docs: DataFrame, text_col: str = "text", common: float = COMMON) -> frozenset[bytes]:
     """The words that make up at least the share `common` of the words of all texts; at most 1 / common of them exist."""
     counts = docs.select(F.explode(words_of(F.col(text_col))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    counts = cut(counts)
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    return frozenset(r["word"].encode() for r in counts.where(F.col("n") >= common * total).collect())
+    # the most frequent words and the number of all, from one shuffle; no word after these can have such a share
+    most = counts.orderBy(F.desc("n"), "word").limit(int(1 / common) + 1)
+    found = cut(most.unionByName(counts.agg(F.lit(None).cast("string").alias("word"), F.sum("n").alias("n")))).collect()
+    total = next(r["n"] for r in found if r["word"] is None) or 0
+    return frozenset(r["word"].encode() for r in found if r["word"] is not None and r["n"] >= common * total)
 
 
 def signatures(data: bytes, anchors: frozenset[bytes], chain: int = CHAIN) -> np.ndarray:
