@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from stratalens.functions.values import json_value, kind_of, normalised, quoted, sentinel_key
 from stratalens.runtime import phase, session
+from stratalens.sources import files
 
 POSITION = "_pos"
 #: Positions of a scope that a result saves; of a larger one it saves how many there are, and the caller passes it again.
@@ -18,20 +19,25 @@ SAVED_POSITIONS = 100_000
 
 
 def positioned(df: DataFrame, position: str | None = None) -> DataFrame:
-    """df with a position column: the named one, or the order in which Spark reads the partitions."""
+    """df with a position column: the named one; of Parquet sources the rows' number over all files; else Spark's read order."""
     if POSITION in df.columns:
         return df
-    return df.withColumn(POSITION, quoted(position).cast("bigint") if position else F.monotonically_increasing_id())
+    if position:
+        return df.withColumn(POSITION, quoted(position).cast("bigint"))
+    rows = files.numbered(df, POSITION)
+    return df.withColumn(POSITION, F.monotonically_increasing_id()) if rows is None else rows
 
 
-def fingerprint(df: DataFrame, position: str | None = None) -> str:
-    """SHA-256 over the schema, the row count and a sum of row hashes that cover positions, null flags and values."""
-    return identity(df, position)[0]
+def fingerprint(df: DataFrame, position: str | None = None, state: str | None = None) -> str:
+    """SHA-256 over the schema, the row count and a sum of row hashes that cover positions, null flags and values.
+
+    With `state`, a folder, hashes of a Parquet source's files are kept there, and only new files are read the next time.
+    """
+    return identity(df, position, state)[0]
 
 
-def identity(df: DataFrame, position: str | None = None) -> tuple[str, int]:
+def identity(df: DataFrame, position: str | None = None, state: str | None = None) -> tuple[str, int]:
     """The fingerprint and the number of rows, from one pass."""
-    rows = positioned(df, position)
     cells = []
     for f in df.schema.fields:
         value = quoted(f.name)
@@ -40,6 +46,13 @@ def identity(df: DataFrame, position: str | None = None) -> tuple[str, int]:
         elif kind_of(f.dataType) == "timedelta":
             value = value.cast("string")
         cells += [value.isNull(), value]
+    meta = files.metadata(df) if position is None and POSITION not in df.columns else None
+    if meta is not None:
+        total, n, _ = files.source_hash(df, meta, cells, state, hashlib.sha256(df.schema.json().encode()).hexdigest())
+        return hashlib.sha256(f"{df.schema.json()}|{n}|files|{total}".encode()).hexdigest(), n
+    if state is not None:
+        raise ValueError("hashes of files are kept for Parquet sources in their own order")
+    rows = positioned(df, position)
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(POSITION, *cells).cast("decimal(38,0)")).alias("h")).first()
     return hashlib.sha256(f"{df.schema.json()}|{total['n']}|{total['h']}".encode()).hexdigest(), total["n"]
 
@@ -154,7 +167,8 @@ def prepare(df: DataFrame, features: Iterable[str] | None = None, *, optional: I
     with phase("source identity"):
         key = id(df)
         if key not in own.identities:
-            found = identity(df, own.position) if own.identify or scope is not None else (None, df.count())
+            state = own.identify if isinstance(own.identify, str) else None
+            found = identity(df, own.position, state) if own.identify or scope is not None else (None, df.count())
             own.identities[key] = (*found, df)
         name, total, _ = own.identities[key]
     if scope is not None and scope.dataset_id != name:

@@ -71,21 +71,21 @@ def shown(t: DataFrame) -> DataFrame:
 # ---- levels -------------------------------------------------------------------------------------------------
 
 
-def _levels_sql(source: str, cols: list[str], where: str = "", rank: str = "", least: int = 1) -> str:
+def _levels_sql(source: str, cols: list[str], where: str = "", most: int | None = None, least: int = 1) -> str:
     parts = " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST({c} AS VARCHAR) AS value, count(*) AS cnt, row_number() OVER (ORDER BY count(*) DESC, {c} ASC NULLS LAST) AS rank FROM {source} {where.format(c=c)} GROUP BY {c}" for c in cols)
-    return f"SELECT feature, CAST(rank AS INTEGER) AS rank, value, cnt FROM ({parts}) WHERE rank <= {rank or 100} AND cnt >= {least}"
+    return f"SELECT feature, CAST(rank AS INTEGER) AS rank, value, cnt FROM ({parts}) WHERE cnt >= {least}" + (f" AND rank <= {most}" if most else "")
 
 
 @query(_levels_sql("lineitem", ["l_returnflag", "l_linestatus", "l_linenumber", "l_suppkey"]))
 def levels_rank(spark, d):
     frame, kinds = normalise(table(spark, d, "lineitem"))
-    return shown(le.level_table(frame, kinds, ["l_returnflag", "l_linestatus", "l_linenumber", "l_suppkey"]))
+    return shown(le.level_table(frame, kinds, ["l_returnflag", "l_linestatus", "l_linenumber", "l_suppkey"], max_levels=None))
 
 
 @query(_levels_sql("lineitem", ["l_partkey", "l_suppkey"], least=40))
 def levels_min_count(spark, d):
     frame, kinds = normalise(table(spark, d, "lineitem"))
-    return shown(le.level_table(frame, kinds, ["l_partkey", "l_suppkey"], min_count=40))
+    return shown(le.level_table(frame, kinds, ["l_partkey", "l_suppkey"], min_count=40, max_levels=None))
 
 
 @query(_levels_sql("(SELECT nullif(o_orderstatus, 'P') AS o_orderstatus, o_orderpriority FROM orders)", ["o_orderstatus", "o_orderpriority"]))
@@ -94,7 +94,7 @@ def levels_sentinel(spark, d):
     return shown(le.level_table(frame, kinds, ["o_orderstatus", "o_orderpriority"]))
 
 
-@query(f"WITH {LABELLED} " + _levels_sql("lab", ["quality", "toxic", "lang"], "WHERE {c} IS NOT NULL", rank="3"))
+@query(f"WITH {LABELLED} " + _levels_sql("lab", ["quality", "toxic", "lang"], "WHERE {c} IS NOT NULL", most=3))
 def levels_dropna(spark, d):
     frame, kinds = normalise(labelled(spark, d))
     return shown(le.level_table(frame, kinds, ["quality", "toxic", "lang"], dropna=True, top_n=3))
@@ -255,12 +255,12 @@ def pairs_context(spark, d):
     return _relation(le.pair_table(normalise(sales(spark, d))[0], "o_orderpriority", "n_regionkey", context={"o_orderstatus": "F"}))
 
 
-@query("""WITH p AS (SELECT DISTINCT c_mktsegment AS a, c_nationkey AS b FROM customer WHERE c_acctbal > 9000),
+@query("""WITH p AS (SELECT DISTINCT c_mktsegment AS a, c_nationkey AS b FROM customer),
 da AS (SELECT unnest(['BUILDING', 'MACHINERY', 'NOWHERE']) AS a), db AS (SELECT unnest(range(0, 27)) AS b)
 SELECT da.a, CAST(db.b AS INTEGER) AS b, CASE WHEN da.a IN (SELECT a FROM p) AND db.b IN (SELECT b FROM p) THEN 'within_observed_margins' ELSE 'zero_support' END AS reason
 FROM da, db WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.a = da.a AND p.b = db.b)""")
 def pairs_absence(spark, d):
-    frame, _ = normalise(table(spark, d, "customer").where("c_acctbal > 9000"))
+    frame, _ = normalise(table(spark, d, "customer"))
     cells = le.pair_table(frame, "c_mktsegment", "c_nationkey")
     a = spark.createDataFrame([("BUILDING",), ("MACHINERY",), ("NOWHERE",)], "a string")
     return pa.absent_table(cells, a, spark.range(27).select(F.col("id").cast("int").alias("b")))

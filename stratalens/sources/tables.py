@@ -1,11 +1,9 @@
-"""Reading tables and giving their rows positions."""
+"""Reading tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from stratalens.context import POSITION
 from stratalens.functions.values import kind_of, normalised, quoted
 
 
@@ -13,17 +11,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def file_positions(df: DataFrame) -> DataFrame:
-    """Positions of rows of file sources from the readers' own row numbers, within each file.
-
-    For one file these are 0, 1, 2...; of several files each starts at a multiple of 2**33, in order of path hash.
-    """
-    number = F.col("_metadata.row_index")
-    block = F.pmod(F.xxhash64(F.col("_metadata.file_path")), F.lit(1 << 29))
-    files = df.select(F.col("_metadata.file_path").alias("p")).distinct().limit(2).count()
-    return df.select("*", (number if files < 2 else block * F.lit(1 << 33) + number).cast("bigint").alias(POSITION))
-
-
 def normalise(df: DataFrame, missing: dict | None = None) -> tuple[DataFrame, dict[str, str]]:
     """The analysed columns with missing values as nulls, without positions, and their kinds; one lazy projection."""
     fields = [f for f in df.schema.fields if kind_of(f.dataType)]
