@@ -32,6 +32,45 @@ def ranked(counts: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), *order)))
 
 
+#: Ranks up to which Spark keeps the first rows of each partition before a window's exchange (its own default), and shares of a group beyond.
+GROUP_LIMIT, SHARES = 1000, 64
+
+
+def first_ranked(counts: DataFrame, by: list[str], order: list[Column], most: int | None) -> DataFrame:
+    """The first `most` of ranked(), where no task sees more of a group than it needs.
+
+    Without a group every task keeps its own first rows. With many ranks per group, first the first rows of each hash share of a
+    group are kept. None asks for all ranks, which one task per group then has to sort.
+    """
+    if most is None:
+        return ranked(counts, by, order)
+    if not by:
+        return ranked(counts.orderBy(F.desc("n"), *order).limit(most), by, order)
+    if most > GROUP_LIMIT:
+        names = [c for c in counts.columns if c not in by]
+        counts = counts.withColumn("_share", F.pmod(F.xxhash64(*(quoted(c) for c in names)), F.lit(SHARES)))
+        counts = ranked(counts, [*by, "_share"], order).where(F.col("rank") <= most).drop("_share", "rank")
+    return ranked(counts, by, order).where(F.col("rank") <= most)
+
+
+#: Rows whose numbers one task adds up when rows are numbered by blocks.
+BLOCK = 1 << 16
+
+
+def earlier_sum(sizes: DataFrame, number: str, size: str) -> DataFrame:
+    """(number, before): for each of the rows, numbered without gaps to speak of, the sum of size over smaller numbers.
+
+    Sums of blocks of numbers are added up first, then the rows inside each block, so no task sees more than a block or the blocks.
+    """
+    block = F.floor(F.col(number) / BLOCK).alias("_block")
+    blocks = sizes.groupBy(block).agg(F.sum(size).alias("_in_block"))
+    order = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(F.col("_block").alias("_b"), F.coalesce(F.sum("_in_block").over(order), F.lit(0)).alias("_blocks"))
+    inside = Window.partitionBy("_block").orderBy(number).rowsBetween(Window.unboundedPreceding, -1)
+    rows = sizes.select(number, size, block).withColumn("_inside", F.coalesce(F.sum(size).over(inside), F.lit(0)))
+    return rows.join(blocks, F.col("_block") == F.col("_b")).select(number, (F.col("_blocks") + F.col("_inside")).alias("before"))
+
+
 def group_sizes(frame: DataFrame, keys: list[str], targets: list[str], kinds: dict, by: list[str] = ()) -> DataFrame:
     """(_g0.., feature, value, n): rows per group and value of each target, the finest counts of a dependency test.
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stratalens.context import Prepared, columns, prepare, whole
-from stratalens.functions.counts import complete, numbered, ranked, rows_
+from stratalens.functions.counts import complete, earlier_sum, first_ranked, numbered, rows_
 from stratalens.functions.values import json_value, quoted
 from stratalens.operators.levels import _limits, check_roles
 from stratalens.result import Result
@@ -18,17 +18,24 @@ def top_values(frame: DataFrame, column: str, top_n: int, parents: list[str] = (
     """The most frequent values of a column, for each combination of the parent columns if there are any."""
     names = [*parents, column]
     counts = frame.groupBy(*(quoted(c).alias(f"_g{i}") for i, c in enumerate(names))).agg(rows_().alias("n"))
-    order = ranked(counts, numbered(parents), [F.col(f"_g{len(parents)}").asc_nulls_last()])
-    return order.where(F.col("rank") <= top_n).select(*(F.col(f"_g{i}").alias(c) for i, c in enumerate(names)))
+    order = first_ranked(counts, numbered(parents), [F.col(f"_g{len(parents)}").asc_nulls_last()], top_n)
+    return order.select(*(F.col(f"_g{i}").alias(c) for i, c in enumerate(names)))
+
+
+def same(pairs) -> Column:
+    """Whether all the pairs of columns are equal, missing being equal to missing."""
+    out = F.lit(True)
+    for a, b in pairs:
+        out = out & F.col(a).eqNullSafe(F.col(b))
+    return out
 
 
 def _semi(frame: DataFrame, kept: DataFrame, on: list[str]) -> DataFrame:
     """Rows whose values are among the kept ones, missing being equal to missing."""
     kept = kept.select(*(quoted(c).alias(f"_k{i}") for i, c in enumerate(on)))
-    match = None
+    match = F.lit(True)
     for i, c in enumerate(on):
-        one = quoted(c).eqNullSafe(F.col(f"_k{i}"))
-        match = one if match is None else match & one
+        match = match & quoted(c).eqNullSafe(F.col(f"_k{i}"))
     return frame.join(kept, match, "left_semi")
 
 
@@ -48,56 +55,73 @@ def preselect(frame: DataFrame, dims: list[str], top_n: int, per_parent: bool) -
     return frame
 
 
-def tree_table(frame: DataFrame, dims: list[str], *, top_n=None, per_parent: bool = False, max_levels=100, max_nodes=10000, min_count: int = 1) -> DataFrame:
-    """(depth, path, n, number, kept): every observed prefix with its count, and the node number of those that are shown.
+#: Shown parents that may be broadcast to their children.
+BROADCAST_PARENTS = 20_000
+
+
+def tree_table(frame: DataFrame, dims: list[str], *, top_n=None, per_parent: bool = False, max_levels=100, max_nodes=10000, min_count: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(children, nodes): of every observed prefix what its children amount to, and the nodes that are shown.
 
-    Counts of shorter prefixes are sums of the finest ones, so the rows are grouped once. A child is shown if it
-    passes top_n, min_count and max_levels in that order and its parent is shown; numbers follow breadth-first order,
-    which is the order of (depth, ranks along the path), and stop at max_nodes.
+    children has (up, levels, rows, least, allowed): the path of the prefix, how many children it has, their rows, the smallest count among
+    them, and how many the limits allow. nodes has (depth, path, n, value, number).
+
+    Counts of shorter prefixes are sums of the finest ones, so the rows are grouped once. A child is shown if it passes top_n, min_count
+    and max_levels in that order and its parent is shown. All three cut its siblings' ranking short, so only that many ranks of a
+    parent are ever sorted; and as nodes are numbered breadth first, each depth needs max_nodes of them at most. Without
+    max_nodes the numbers come from sums over blocks of parents, so that no task numbers all nodes.
     """
     finest = frame.groupBy(*(quoted(c).alias(f"_g{i}") for i, c in enumerate(dims))).agg(rows_().alias("n"))
     dims = numbered(dims)  # by number, so that a column may have any name
-    shown, tables = None, []
+    most = min((x for x in (top_n if per_parent else None, max_levels, max_nodes) if x is not None), default=None)
+    limit = min((x for x in (top_n if per_parent else None, max_levels) if x is not None), default=None)
     overall = {}
     if top_n is not None and not per_parent:
-        overall = {c: ranked(finest.groupBy(quoted(c)).agg(F.sum("n").alias("n")), [], [quoted(c).asc_nulls_last()]).where(F.col("rank") <= top_n).drop("n", "rank") for c in dims}
-    for depth in range(1, len(dims) + 1):
-        own, parents = dims[depth - 1], dims[: depth - 1]
-        level = finest.groupBy(*map(quoted, dims[:depth])).agg(F.sum("n").alias("n"))
-        level = ranked(level, parents, [quoted(own).asc_nulls_last()])
+        overall = {c: first_ranked(finest.groupBy(c).agg(F.sum("n").alias("n")), [], [F.col(c).asc_nulls_last()], top_n).select(c) for c in dims}
+    shown, tables, sums = None, [], []
+    for depth, own in enumerate(dims, 1):
+        parents = dims[: depth - 1]
+        level = finest.groupBy(*dims[:depth]).agg(F.sum("n").alias("n"))
+        allowed = F.col("n") >= min_count
         if overall:
-            mark = overall[own].select(quoted(own).alias("_v"), F.lit(True).alias("_top"))
-            level = level.join(mark, quoted(own).eqNullSafe(F.col("_v")), "left").drop("_v")
-            allowed = F.coalesce("_top", F.lit(False))
-        elif top_n is not None:
-            allowed = F.col("rank") <= top_n
-        else:
-            allowed = F.lit(True)
-        level = level.withColumn("_allowed", allowed & (F.col("n") >= min_count)).drop("_top")
-        if max_levels is not None:
-            among = Window.partitionBy(*map(quoted, parents)).orderBy("rank")
-            level = level.withColumn("_allowed", F.col("_allowed") & (F.sum(F.col("_allowed").cast("int")).over(among) <= max_levels))
+            mark = overall[own].select(F.col(own).alias("_v"), F.lit(True).alias("_top"))
+            level = level.join(F.broadcast(mark), same([(own, "_v")]), "left").drop("_v")  # top_n rows
+            allowed = allowed & F.coalesce("_top", F.lit(False))
+        up = _path_of(parents)
+        some = F.sum(allowed.cast("bigint"))
+        sums.append(level.groupBy(*parents).agg(rows_().alias("levels"), F.sum("n").alias("rows"), F.min("n").alias("least"), some.alias("_some")).select(up.alias("up"), "levels", "rows", "least", (F.least("_some", F.lit(limit)) if limit is not None else F.col("_some")).alias("allowed")))
+        level = level.where(allowed).select(*dims[:depth], "n")
         if shown is not None:
-            up = shown.select(*(quoted(c).alias(f"_p{i}") for i, c in enumerate(parents)), F.col("_ranks").alias("_above"))
-            match = None
-            for i, c in enumerate(parents):
-                one = quoted(c).eqNullSafe(F.col(f"_p{i}"))
-                match = one if match is None else match & one
-            level = level.join(up, match, "left").drop(*(f"_p{i}" for i in range(len(parents))))
-            level = level.withColumn("_ranks", F.concat("_above", F.array("rank"))).drop("_above")
+            above = shown.select(*(F.col(c).alias(f"_p{i}") for i, c in enumerate(parents)), F.col("_index").alias("_above"))
+            if max_nodes is not None and max_nodes <= BROADCAST_PARENTS:
+                above = F.broadcast(above)
+            level = level.join(above, same(zip(parents, (f"_p{i}" for i in range(len(parents)))))).select(*dims[:depth], "n", "_above")
+        ranks = first_ranked(level, ["_above"] if parents else [], [F.col(own).asc_nulls_last()], most)
+        if not parents:
+            shown = ranks.withColumn("_index", (F.col("rank") - 1).cast("bigint"))
+        elif max_nodes is not None:  # every task keeps its first max_nodes, so that only so many meet in the window
+            first = ranks.orderBy("_above", "rank").limit(max_nodes)
+            shown = first.withColumn("_index", (F.row_number().over(Window.orderBy("_above", "rank")) - 1).cast("bigint"))
         else:
-            level = level.withColumn("_ranks", F.array("rank"))
-        level = level.withColumn("_allowed", F.col("_allowed") & F.col("_ranks").isNotNull())
-        shown = level.where("_allowed")
-        path = F.array(*(F.struct(quoted(c).isNull().alias("absent"), quoted(c).cast("string").alias("text")) for c in dims[:depth]))
-        tables.append(level.select(F.lit(depth).alias("depth"), path.alias("path"), F.col("n"), "_allowed", "_ranks", quoted(own).cast("string").alias("value")))
-    every = tables[0]
-    for t in tables[1:]:
-        every = every.unionByName(t)
-    nodes = every.where("_allowed")
-    if max_nodes is not None:  # every task keeps its first max_nodes, so that only so many meet in the window
-        nodes = nodes.orderBy("depth", "_ranks").limit(max_nodes)
-    return every, nodes.withColumn("number", F.row_number().over(Window.orderBy("depth", "_ranks")) - 1)
+            before = earlier_sum(ranks.groupBy("_above").agg(rows_().alias("_children")), "_above", "_children").withColumnRenamed("_above", "_a")
+            shown = ranks.join(before, F.col("_above") == F.col("_a")).withColumn("_index", F.col("before") + F.col("rank") - 1)
+        tables.append(shown.select(F.lit(depth).alias("depth"), _path_of(dims[:depth]).alias("path"), "n", "_index", F.col(own).cast("string").alias("value")))
+    nodes, children = tables[0], sums[0]
+    for t, c in zip(tables[1:], sums[1:]):
+        nodes, children = nodes.unionByName(t), children.unionByName(c)
+    if max_nodes is not None:
+        nodes = nodes.orderBy("depth", "_index").limit(max_nodes)
+        nodes = nodes.withColumn("number", F.row_number().over(Window.orderBy("depth", "_index")) - 1)
+    else:
+        sizes = nodes.groupBy(F.col("depth").alias("_d")).agg(rows_().alias("_n"))
+        offset = F.coalesce(F.sum("_n").over(Window.orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        nodes = nodes.join(F.broadcast(sizes.select("_d", offset.alias("_first"))), F.col("depth") == F.col("_d"))  # a row per depth
+        nodes = nodes.withColumn("number", F.col("_first") + F.col("_index"))
+    return children, nodes.select("depth", "path", "n", "value", F.col("number").cast("int" if max_nodes is not None else "bigint").alias("number"))
+
+
+def _path_of(dims: list[str]) -> Column:
+    empty = F.array().cast("array<struct<absent:boolean,text:string>>")
+    return F.array(*(F.struct(F.col(c).isNull().alias("absent"), F.col(c).cast("string").alias("text")) for c in dims)) if dims else empty
 
 
 @operation("census")
@@ -138,10 +162,8 @@ def census(df: DataFrame, dimensions, *, top_n=None, top_n_mode: str = "post", t
             omitted = values.count() - len(first) if len(first) == most else 0
             kept_levels.append({"depth": i + 1, "column": c, "values": [json_value(r["v"]) for r in first], "omitted_values": omitted})
     with phase("census tree"):
-        every, kept = tree_table(frame, active, top_n=None if pre else top_n, per_parent=top_n_per_parent, max_levels=max_levels, max_nodes=max_nodes, min_count=min_count)
+        sums, kept = tree_table(frame, active, top_n=None if pre else top_n, per_parent=top_n_per_parent, max_levels=max_levels, max_nodes=max_nodes, min_count=min_count)
         shown = kept.orderBy("number").collect()
-        up = F.slice("path", 1, F.col("depth") - 1)
-        sums = every.groupBy(up.alias("up")).agg(rows_().alias("levels"), F.sum("n").alias("rows"), F.min("n").alias("least"), F.sum(F.col("_allowed").cast("int")).alias("allowed"))
         # Totals of children are only wanted for the nodes that are shown.
         parents = kept.select(F.col("path").alias("up")).where(F.size("up") < len(active))
         totals = {_path(r["up"]): r for r in sums.join(parents.distinct(), "up", "left_semi").collect()}
