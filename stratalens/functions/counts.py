@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stratalens.functions.values import melt, quoted
+from stratalens.functions.cube import FEW_COLUMNS, Cube, sizes_of, union_of
+from stratalens.functions.values import melt, quoted, widened
 
 def rows_() -> Column:
     return F.count(F.lit(1))
@@ -21,10 +22,11 @@ def complete(frame: DataFrame, columns) -> DataFrame:
 
 def value_counts(frame: DataFrame, kinds: dict, columns: list[str], dropna: bool = False) -> DataFrame:
     """(feature, value, n) of all columns in one pass."""
-    cells = melt(frame, kinds, columns)
+    held = {kinds[c] for c in columns}
+    cells = melt(frame, kinds, columns, narrow=held)
     if dropna:
         cells = cells.where(~F.col("value.absent"))
-    return cells.groupBy("feature", "value").agg(rows_().alias("n"))
+    return cells.groupBy("feature", "value").agg(rows_().alias("n")).select("feature", widened(F.col("value"), held).alias("value"), "n")
 
 
 def ranked(counts: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
@@ -71,16 +73,19 @@ def earlier_sum(sizes: DataFrame, number: str, size: str) -> DataFrame:
     return rows.join(blocks, F.col("_block") == F.col("_b")).select(number, (F.col("_blocks") + F.col("_inside")).alias("before"))
 
 
-def group_sizes(frame: DataFrame, keys: list[str], targets: list[str], kinds: dict, by: list[str] = ()) -> DataFrame:
+def group_sizes(frame: DataFrame, keys: list[str], targets: list[str], kinds: dict, by: list[str] = (), weight: str | None = None) -> DataFrame:
     """(_g0.., feature, value, n): rows per group and value of each target, the finest counts of a dependency test.
 
-    The grouping columns go by number, so that a column may have any name.
+    The grouping columns go by number, so that a column may have any name. Each row counts as many times as the column `weight` says.
     """
     keep = list(dict.fromkeys([*by, *keys]))
     wanted = list(targets)
-    named = frame.select(*(quoted(c).alias(f"_g{i}") for i, c in enumerate(keep)), *(quoted(t).alias(f"_t{i}") for i, t in enumerate(wanted)))
-    cells = melt(named, {f"_t{i}": kinds[t] for i, t in enumerate(wanted)}, [f"_t{i}" for i in range(len(wanted))], numbered(keep), labels=wanted)
-    return cells.groupBy(*numbered(keep), "feature", "value").agg(rows_().alias("n"))
+    held = {kinds[t] for t in wanted}
+    extra = [F.lit(1).cast("bigint").alias("_w") if weight is None else quoted(weight).alias("_w")]
+    named = frame.select(*(quoted(c).alias(f"_g{i}") for i, c in enumerate(keep)), *(quoted(t).alias(f"_t{i}") for i, t in enumerate(wanted)), *extra)
+    cells = melt(named, {f"_t{i}": kinds[t] for i, t in enumerate(wanted)}, [f"_t{i}" for i in range(len(wanted))], [*numbered(keep), "_w"], labels=wanted, narrow=held)
+    counts = cells.groupBy(*numbered(keep), "feature", "value").agg(F.sum("_w").alias("n"))
+    return counts.select(*numbered(keep), "feature", widened(F.col("value"), held).alias("value"), "n")
 
 
 def numbered(columns) -> list[str]:
@@ -127,41 +132,61 @@ def dependency_measures(groups: DataFrame, by: list[str] = ()) -> DataFrame:
     return out
 
 
-def distinct_groups(frame: DataFrame, sets: list[tuple[str, ...]]) -> list[int]:
+#: Sets counted in one job.
+SETS = 60
+
+
+def distinct_groups(frame: DataFrame, sets: list[tuple[str, ...]], rows: int | None = None, sizes: dict | None = None) -> list[int]:
     """How many distinct value combinations each set of columns has, missing being a value.
 
-    The rows are brought together once, as the distinct combinations of all the columns in question. Every set is then
-    counted by an aggregation of its own over these (the plan reuses their one exchange), so no row is repeated for each set.
+    rows and sizes are what is expected of the frame, if that is known (see Cube).
     """
     found: dict[int, int] = {}
-    for at in range(0, len(sets), 40):  # sets in one job
-        part = sets[at : at + 40]
-        rows = frame.select(*(quoted(c) for c in sorted({c for s in part for c in s}))).distinct()
-        counts = None
-        for i, s in enumerate(part, at):
-            one = rows.select(*map(quoted, s)).distinct().agg(F.lit(i).alias("i"), rows_().alias("n"))
-            counts = one if counts is None else counts.unionByName(one)
-        found |= {r["i"]: r["n"] for r in counts.collect()}
+    if sizes is None and len(sets) > SETS:
+        rows, sizes = sizes_of(frame, sets)
+    for at in range(0, len(sets), SETS):
+        part = sets[at : at + SETS]
+        cube = Cube(frame, part, rows, sizes, weighed=False)
+        counts = union_of([cube.table(s).agg(F.lit(i).alias("i"), rows_().alias("k")) for i, s in enumerate(part, at)])
+        found |= {r["i"]: r["k"] for r in counts.collect()}
     return [found[i] for i in range(len(sets))]
 
 
 def impurity(frame: DataFrame, sets: list[tuple[str, ...]], label: Column) -> list[float]:
-    """For each set of columns the share of rows without the most common label of their group, as one union of plans."""
+    """For each set of columns the share of rows without the most common label of their group."""
     if not sets:
         return []
-    parts = []
     labelled = frame.withColumn("_label", label)
+    cube = Cube(labelled, [(*s, "_label") for s in sets])
+    parts = []
     for i, s in enumerate(sets):
-        named = labelled.select(*(quoted(c).alias(f"_g{j}") for j, c in enumerate(s)), "_label")
-        pairs = named.groupBy(*named.columns).agg(rows_().alias("n")).groupBy(*numbered(s)).agg(F.sum("n").alias("n"), F.max("n").alias("m"))
-        parts.append(pairs.agg(F.lit(i).alias("i"), F.sum("n").alias("n"), F.sum("m").alias("m")))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    found = {r["i"]: (1 - r["m"] / r["n"] if r["n"] else 0.0) for r in every.collect()}
+        groups = cube.table((*s, "_label")).groupBy(*(cube.number(c) for c in s)).agg(F.sum("n").alias("n"), F.max("n").alias("m"))
+        parts.append(groups.agg(F.lit(i).alias("i"), F.sum("n").alias("n"), F.sum("m").alias("m")))
+    found = {r["i"]: (1 - r["m"] / r["n"] if r["n"] else 0.0) for r in union_of(parts).collect()}
     return [found[i] for i in range(len(sets))]
 
 
+#: Counts in one aggregation.
+SUMS = 200
+
+
+def complete_counts(frame: DataFrame, sets) -> dict[frozenset, int]:
+    """How many rows have all columns of each set, in one pass for some hundred sets."""
+    wanted = sorted({frozenset(s) for s in sets}, key=sorted)
+    found: dict[frozenset, int] = {}
+    for at in range(0, len(wanted), SUMS):
+        part = wanted[at : at + SUMS]
+        each = []
+        for i, s in enumerate(part):
+            held = F.lit(True)
+            for c in sorted(s):
+                held = held & quoted(c).isNotNull()
+            each.append(F.count_if(held).alias(f"_{i}"))
+        row = frame.agg(*each).first()
+        found |= {s: row[f"_{i}"] for i, s in enumerate(part)}
+    return found
+
+
 class GroupCounts:
     """Distinct counts of column sets over populations of complete cases, each asked of Spark once.
 
@@ -173,6 +198,7 @@ class GroupCounts:
         self.known: dict[tuple[frozenset, frozenset], int] = {}
         self.sizes: dict[frozenset, int] = {frozenset(): rows}
         self._gaps: set[str] | None = None
+        self._sizes: tuple[int, dict] | None = None
 
     @property
     def gaps(self) -> set[str]:
@@ -192,6 +218,8 @@ class GroupCounts:
         wanted = [frozenset(s) for s in dict.fromkeys(map(frozenset, sets))]
         new = [s for s in wanted if (where, s) not in self.known]
         if new:
-            found = distinct_groups(complete(self.frame, sorted(where)), [tuple(sorted(s)) for s in new])
+            if self._sizes is None and len(self.columns) > FEW_COLUMNS:  # of all rows, a bound for every population
+                self._sizes = sizes_of(self.frame, [(c,) for c in self.columns])
+            found = distinct_groups(complete(self.frame, sorted(where)), [tuple(sorted(s)) for s in new], *(self._sizes or (None, None)))
             self.known |= {(where, s): n for s, n in zip(new, found)}
         return {s: self.known[where, s] for s in wanted}

@@ -63,11 +63,16 @@ def normalised(column: Column, t: T.DataType, sentinels=()) -> Column:
     return column
 
 
-def typed(column: Column, kind: str) -> Column:
-    """Any analysed value as one struct type, ordered as its kind is, missing last."""
-    own = FIELDS[kind]
-    fields = [(column if k == own else F.lit(None)).cast(t).alias(k) for k, t in _SQL.items()]
-    return F.struct(column.isNull().alias("absent"), *fields)
+def typed(column: Column, kind: str, kinds=KINDS) -> Column:
+    """Any analysed value as one struct type, ordered as its kind is, missing last; with fields for the given kinds only."""
+    own, fields = FIELDS[kind], {FIELDS[k] for k in kinds}
+    return F.struct(column.isNull().alias("absent"), *((column if k == own else F.lit(None)).cast(t).alias(k) for k, t in _SQL.items() if k in fields))
+
+
+def widened(value: Column, kinds) -> Column:
+    """A typed value with fields for the given kinds as one with all fields."""
+    fields = {FIELDS[k] for k in kinds}
+    return F.struct(value["absent"].alias("absent"), *((value[k] if k in fields else F.lit(None)).cast(t).alias(k) for k, t in _SQL.items()))
 
 
 def display(value: Column) -> Column:
@@ -100,9 +105,14 @@ def json_value(value):
     raise TypeError(f"unsupported value type {type(value).__name__}")
 
 
-def melt(frame: DataFrame, kinds: dict[str, str], columns: list[str], keep: list[str] = (), labels: list[str] | None = None) -> DataFrame:
-    """One row per row and column: kept columns, feature (the column's name or label), and value (its typed value)."""
-    cells = [F.struct(F.lit(n).alias("feature"), typed(quoted(c), kinds[c]).alias("value")) for c, n in zip(columns, labels or columns)]
-    empty = F.expr(f"cast(array() as array<struct<feature:string,value:{VALUE_TYPE}>>)")
+def melt(frame: DataFrame, kinds: dict[str, str], columns: list[str], keep: list[str] = (), labels: list[str] | None = None, narrow=None) -> DataFrame:
+    """One row per row and column: kept columns, feature (the column's name or label), and value (its typed value).
+
+    With `narrow`, a collection of kinds, values have fields for those kinds only, which makes rows to be shuffled a good deal smaller.
+    """
+    fields = KINDS if narrow is None else [k for k in KINDS if k in narrow]
+    cells = [F.struct(F.lit(n).alias("feature"), typed(quoted(c), kinds[c], fields).alias("value")) for c, n in zip(columns, labels or columns)]
+    inner = ",".join(f"{FIELDS[k]}:{_SQL[FIELDS[k]]}" for k in fields)
+    empty = F.expr(f"cast(array() as array<struct<feature:string,value:struct<absent:boolean{',' if inner else ''}{inner}>>>)")
     rows = frame.select(*map(quoted, keep), F.explode(F.array(*cells) if cells else empty).alias("_cell"))
     return rows.select(*map(quoted, keep), F.col("_cell")["feature"].alias("feature"), F.col("_cell")["value"].alias("value"))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalens.context import Prepared, analysable, columns, prepare
-from stratalens.functions.counts import GroupCounts, complete, dependency_measures, group_sizes, modal, numbered
-
+from stratalens.functions.counts import GroupCounts, complete, numbered, rows_
+from stratalens.functions.cube import union_of
+from stratalens.functions.values import quoted
 from stratalens.result import Result
 from stratalens.runtime import operation, phase
 
@@ -42,20 +43,61 @@ def key_specs(df: DataFrame, keys) -> list[KeySpec]:
     return specs
 
 
+TEST_MEASURES = ("evaluated_groups", "violating_groups", "affected_rows", "evaluated_rows", "singleton_groups", "repeated_groups")
+#: Targets of a key that one aggregation compares at once.
+TARGETS_AT_ONCE = 24
+
+
+def ends(column: Column, kind: str) -> list[Column]:
+    """Numbers of fixed width that are all equal for two values exactly if the values are; of text, two hashes of 64 bits each."""
+    if kind == "string":
+        return [F.xxhash64(column), F.xxhash64(F.lit("again"), column)]
+    return [column]
+
+
 def grain_tests(frame: DataFrame, kinds: dict, specs: list[KeySpec], targets: list[str], dropna: bool = False) -> DataFrame:
     """(key_name, feature, measures..): every key against every other column, one plan for all.
 
     With dropna each test uses the rows that have all of its columns; else missing is a value.
+
+    Whether a group holds more than one value is told from the target's least and greatest value and how many rows have one,
+    so each key is one aggregation with a row per group and task in its shuffle, however many rows or targets there are.
+    Text is compared by two hashes of 64 bits, as the buffers of such an aggregation have a fixed width.
     """
     parts = []
     for s in specs:
-        rows = complete(frame, s.columns) if dropna else frame
-        groups = modal(group_sizes(rows, list(s.columns), [t for t in targets if t not in s.columns], kinds), numbered(s.columns), dropna, missing_first=False)
-        parts.append(dependency_measures(groups).select(F.lit(s.name).alias("key_name"), "feature", "evaluated_groups", "violating_groups", "affected_rows", "evaluated_rows", "singleton_groups", "repeated_groups"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        others = [t for t in targets if t not in s.columns]
+        for at in range(0, len(others), TARGETS_AT_ONCE):
+            parts.append(_tests_of(frame, kinds, s, others[at : at + TARGETS_AT_ONCE], dropna))
+    if not parts:
+        return frame.sparkSession.createDataFrame([], "key_name string, feature string, " + ", ".join(f"{m} bigint" for m in TEST_MEASURES))
+    return union_of(parts)
+
+
+def _tests_of(frame: DataFrame, kinds: dict, spec: KeySpec, targets: list[str], dropna: bool) -> DataFrame:
+    rows = complete(frame, spec.columns) if dropna else frame
+    keys = [quoted(c).alias(f"_g{i}") for i, c in enumerate(spec.columns)]
+    marks = {t: [F.when(quoted(t).isNotNull(), x) for x in ends(quoted(t), kinds[t])] for t in targets}
+    named = rows.select(*keys, *(m.alias(f"_t{i}_{j}") for i, t in enumerate(targets) for j, m in enumerate(marks[t])))
+    sums = [rows_().alias("_n")]
+    for i, t in enumerate(targets):
+        sums.append(F.count(f"_t{i}_0").alias(f"_h{i}"))
+        sums += [f(f"_t{i}_{j}").alias(f"_{n}{i}_{j}") for j in range(len(marks[t])) for f, n in ((F.min, "a"), (F.max, "z"))]
+    groups = named.groupBy(*numbered(spec.columns)).agg(*sums)
+    some = lambda c, x=1: F.coalesce(F.sum(F.when(c, x)), F.lit(0)).cast("bigint")
+    cells = []
+    for i, t in enumerate(targets):
+        several, held = F.lit(False), F.col(f"_h{i}")
+        for j in range(len(marks[t])):
+            several = several | (F.col(f"_a{i}_{j}") != F.col(f"_z{i}_{j}"))
+        several = F.coalesce(several, F.lit(False))
+        size = held if dropna else F.col("_n")
+        if not dropna:
+            several = several | ((held > 0) & (held < size))
+        found = (some(size > 0), some(several), some(several, size), F.coalesce(F.sum(size), F.lit(0)), some(size == 1), some(size > 1))
+        cells.append(F.struct(F.lit(t).alias("feature"), *(f.alias(m) for f, m in zip(found, TEST_MEASURES))))
+    every = groups.agg(F.array(*cells).alias("_tests")).select(F.explode("_tests").alias("_test"))
+    return every.select(F.lit(spec.name).alias("key_name"), "_test.*")
 
 
 def evaluate(p_frame: DataFrame, kinds: dict, names: list[str], specs: list[KeySpec], dropna: bool, rows: int, counts: GroupCounts | None = None, known: dict | None = None) -> dict:

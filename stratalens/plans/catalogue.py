@@ -492,6 +492,22 @@ def dependency_contexts(spark, d):
     return de.test_table(frame, kinds, ("o_custkey",), ["o_orderstatus"], ["n_regionkey"]).select(F.col("_c0").alias("n_regionkey"), "evaluated_groups", "violating_groups", "repair_rows", "evaluated_rows")
 
 
+LATTICE = ["n_regionkey", "c_nationkey", "n_name", "c_mktsegment", "o_custkey"]
+LATTICE_KEYS = [k for size in (1, 2) for k in combinations(LATTICE, size)]
+
+
+@query(_tests_sql(f"WITH {SALES} ", "sales", LATTICE_KEYS, LATTICE))
+def dependency_lattice(spark, d):
+    """All tests of all keys of one and two columns, of which the search counts only what smaller keys leave open."""
+    frame, kinds = normalise(sales(spark, d).select(*LATTICE))
+    lattice = de.Lattice(frame, kinds, frame.count(), LATTICE)
+    lattice.measure(LATTICE_KEYS)
+    found = lattice.test([(k, [t for t in LATTICE if t not in k]) for k in LATTICE_KEYS])
+    names = {frozenset(k): "+".join(k) for k in LATTICE_KEYS}
+    rows = [(names[k], t, *(m[x] for x in TESTED)) for (k, t), m in found.items()]
+    return spark.createDataFrame(rows, "determinant string, feature string, " + ", ".join(f"{x} bigint" for x in TESTED))
+
+
 @query("""WITH p AS (SELECT o_custkey AS k, o_orderstatus AS t, count(*) AS n FROM orders GROUP BY 1, 2), g AS (SELECT k, CAST(sum(n) AS BIGINT) AS sz, count(*) AS d FROM p GROUP BY 1 HAVING count(*) > 1),
 m AS (SELECT k, t FROM (SELECT k, t, row_number() OVER (PARTITION BY k ORDER BY n DESC, t) AS r FROM p) WHERE r = 1)
 SELECT o_orderkey, g.sz AS size, g.d AS "distinct" FROM orders o JOIN g ON o.o_custkey = g.k JOIN m ON m.k = g.k WHERE o.o_orderstatus <> m.t""")
