@@ -4,15 +4,18 @@ A tree is built from the page's tags, with the end tags that HTML lets authors l
 passed over, blocks stand on lines of their own, list items get their bullets or numbers, and table cells are padded
 into columns. The walk keeps its own stack, so depth is no limit.
 
-Padding is bounded: a cell's line of over WIDEST characters does not widen its column, and a table row that would be padded to
-over PADDING times its own text stands with its cells one below another. So a page's text is at most some times as long as the page.
+Padding is bounded, so that a page's text is at most some times as long as the page: by default a cell's line of over WIDEST
+characters does not widen its column, and a table row that would be padded to over PADDING times its own text stands with its cells
+one below another. Both bounds are options, and with None in their place every table is laid out in full.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_right, insort
 from collections import defaultdict
+from functools import partial
+from heapq import heappop, heappush
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -140,35 +143,97 @@ class Page:
     def end(self, lines: int) -> None:
         self.gap, self.space = max(self.gap, lines), False
 
+    def line(self) -> None:
+        """One more line end, for each time that it is asked for."""
+        self.gap, self.space = self.gap + 1, False
+
+    def trim(self) -> None:
+        """The line end at the end of preformatted text opens no line of its own."""
+        if self.parts and not self.gap and self.parts[-1].endswith("\n"):
+            self.parts[-1] = self.parts[-1][:-1]
+
     def done(self) -> str:
         return "".join(self.parts).strip("\n")
 
 
+class Columns:
+    """The columns that no cell of an earlier row reaches down into, as (first, one after the last) in order; the last one has no end."""
+
+    def __init__(self):
+        self.free: list[tuple[int, float]] = [(0, float("inf"))]
+        self.taken: list[tuple[int, int, int]] = []  # (row from which on it is free again, first column, column after the last)
+        self.shared: list[tuple[int, int, int]] = []  # of cells that lie over earlier ones, as wide cells may
+
+    def next_row(self, row: int) -> None:
+        if self._give_back(row) and self.shared:
+            self.shared = [x for x in self.shared if x[0] > row]
+            for until, a, b in self.shared:
+                self._take(a, b, until)
+
+    def _give_back(self, row: int) -> bool:
+        some = False
+        while self.taken and self.taken[0][0] <= row:
+            some = True
+            _, a, b = heappop(self.taken)
+            at = bisect_right(self.free, (a, b))
+            if at and self.free[at - 1][1] == a:
+                at -= 1
+                a = self.free.pop(at)[0]
+            if self.free[at][0] == b:
+                b = self.free.pop(at)[1]
+            insort(self.free, (a, b))
+        return some
+
+    def take(self, first: int, after: int, until: int) -> None:
+        """These columns go to a cell until a row."""
+        if self._take(first, after, until) < after - first:
+            self.shared.append((until, first, after))
+
+    def _take(self, first: int, after: int, until: int) -> int:
+        """How many of the columns were free; only these are taken."""
+        got = 0
+        at = max(0, bisect_right(self.free, (first, float("inf"))) - 1)
+        while at < len(self.free) and self.free[at][0] < after:
+            a, b = self.free[at]
+            low, high = max(a, first), min(b, after)
+            if low >= high:
+                at += 1
+                continue
+            heappush(self.taken, (until, low, high))
+            got += high - low
+            rest = [x for x in ((a, low), (high, b)) if x[0] < x[1]]
+            self.free[at : at + 1] = rest
+            at += len(rest)
+        return got
+
+
 def _placed(rows: list[list[tuple[str, int, int]]]) -> list[list[tuple[int, int, str]]]:
     """Cells (text, columns, rows) as (column, columns, text); a cell that spans rows keeps its columns in those below."""
-    out, kept = [], []  # kept: (first column, column after the last, rows to come)
-    for row in rows:
-        kept.sort()
-        at, i, cells, new = 0, 0, [], []
+    out, columns = [], Columns()
+    for number, row in enumerate(rows):
+        columns.next_row(number)
+        at, i, cells, new = columns.free[0][0], 0, [], []
         for text, wide, tall in row:
-            while i < len(kept) and kept[i][0] <= at:
-                at, i = max(at, kept[i][1]), i + 1
             cells.append((at, wide, text))
             if tall > 1:
-                new.append((at, at + wide, tall - 1))
+                new.append((at, at + wide, number + tall))
             at += wide
-        kept = [(a, b, n - 1) for a, b, n in kept if n > 1] + new
+            while at >= columns.free[i][1]:
+                i += 1
+            at = max(at, columns.free[i][0])
+        for a, b, until in new:
+            columns.take(a, b, until)
         out.append(cells)
     return out
 
 
-def _grid(rows: list[list[tuple[str, int, int]]]) -> str:
+def _grid(rows: list[list[tuple[str, int, int]]], widest: int | None = WIDEST, padding: int | None = PADDING) -> str:
     """Cells in columns; a cell of several lines makes its row as tall."""
     placed = [[(at, wide, text.split("\n")) for at, wide, text in r] for r in _placed(rows)]
     widths: dict[int, int] = {}  # of columns in which a cell starts
     for r in placed:
         for at, wide, lines in r:
-            widths[at] = max([widths.get(at, 0), *(len(x) for x in lines if wide == 1 and len(x) <= WIDEST)])
+            widths[at] = max([widths.get(at, 0), *(len(x) for x in lines if wide == 1 and (widest is None or len(x) <= widest))])
     starts, end = {}, 0
     for at in sorted(widths):
         starts[at] = end
@@ -178,7 +243,7 @@ def _grid(rows: list[list[tuple[str, int, int]]]) -> str:
         cells = [(starts[at], x) for at, _, x in r if any(x)]
         tall = max((len(x) for _, x in cells), default=0)
         text = sum(len(y) for _, x in cells for y in x)
-        if cells and tall * (cells[-1][0] + len(cells)) > PADDING * text + 8 * WIDEST:
+        if cells and padding is not None and tall * (cells[-1][0] + len(cells)) > padding * text + 8 * WIDEST:
             lines += [y for _, x in cells for y in x]
             continue
         for k in range(tall):
@@ -190,7 +255,30 @@ def _grid(rows: list[list[tuple[str, int, int]]]) -> str:
     return "\n".join(lines)
 
 
-def render(root: Node) -> str:
+def _numbers(item: Node) -> list[int] | None:
+    """[number of the next item, step] of an ordered list."""
+    if item.tag != "ol":
+        return None
+    step = -1 if "reversed" in item.attrs else 1
+    items = sum(not isinstance(x, str) and x.tag == "li" for x in item.items)
+    return [_whole(item.attrs.get("start"), items if step < 0 else 1), step]
+
+
+def _whole(text: str | None, default: int) -> int:
+    text = (text or "").strip()
+    return int(text) if re.fullmatch(r"-?[0-9]{1,9}", text) else default
+
+
+def _shown(item: Node) -> list:
+    """The parts of an element that are laid out: of closed details only the summary, of preformatted text all but a first line end."""
+    if item.tag == "details" and "open" not in item.attrs:
+        return [x for x in item.items if not isinstance(x, str) and x.tag == "summary"][:1]
+    if item.tag == "pre" and item.items and isinstance(item.items[0], str) and item.items[0].startswith("\n"):
+        return [item.items[0][1:], *item.items[1:]]
+    return item.items
+
+
+def render(root: Node, widest: int | None = WIDEST, padding: int | None = PADDING) -> str:
     pages, tables, lists = [Page()], [], []
     stack: list = [(root, False, True)]
     pre = 0
@@ -198,8 +286,8 @@ def render(root: Node) -> str:
         item, leaving, drawn = stack.pop()
         page = pages[-1]
         if isinstance(item, str):
-            if drawn:
-                page.text(item.strip("\n") if pre else item, bool(pre) and bool(item.strip()))
+            if drawn and item:
+                page.text(item, bool(pre))
             continue
         tag = item.tag
         if not leaving:
@@ -207,7 +295,7 @@ def render(root: Node) -> str:
                 continue
             drawn = item.shows(drawn)
             if tag == "br":
-                page.end(1 if not page.gap else page.gap)
+                page.line()
                 continue
             if tag == "img":
                 if drawn:
@@ -216,15 +304,16 @@ def render(root: Node) -> str:
             if tag in BLOCKS:
                 page.end(2 if tag in SPACED and not lists and not tables else 1)
             if tag in ("ul", "ol", "menu"):
-                start = item.attrs.get("start") or "1"
-                lists.append(int(start) if tag == "ol" and start.isascii() and start.isdigit() else (1 if tag == "ol" else None))
+                lists.append(_numbers(item))
             elif tag == "li":
-                n = lists[-1] if lists else None
+                numbers = lists[-1] if lists else None
+                if numbers:
+                    numbers[0] = _whole(item.attrs.get("value"), numbers[0])
                 if drawn:
-                    page.text(("  " * (len(lists) - 1) if lists else "") + ("-" if n is None else f"{n}."), keep=True)
+                    page.text(("  " * (len(lists) - 1) if lists else "") + (f"{numbers[0]}." if numbers else "-"), keep=True)
                     page.space = True
-                if n is not None:
-                    lists[-1] = n + 1
+                if numbers:
+                    numbers[0] += numbers[1]
             elif tag == "table":
                 tables.append([])
             elif tag == "tr" and tables:
@@ -233,9 +322,11 @@ def render(root: Node) -> str:
                 pages.append(Page())
             pre += tag == "pre"
             stack.append((item, True, drawn))
-            stack.extend((x, False, drawn) for x in reversed(item.items))
+            stack.extend((x, False, drawn) for x in reversed(_shown(item)))
             continue
-        pre -= tag == "pre"
+        if tag == "pre":
+            pre -= 1
+            page.trim()
         if tag in ("ul", "ol", "menu") and lists:
             lists.pop()
         elif tag in ("td", "th") and tables and len(pages) > 1:
@@ -245,7 +336,7 @@ def render(root: Node) -> str:
             tables[-1][-1].append((cell, item.span("colspan", 1000), item.span("rowspan", 65534)))
             page = pages[-1]
         elif tag == "table" and tables:
-            grid = _grid(tables.pop())
+            grid = _grid(tables.pop(), widest, padding)
             if grid:
                 page.text(grid, keep=True)
         if tag in BLOCKS:
@@ -253,19 +344,24 @@ def render(root: Node) -> str:
     return pages[0].done()
 
 
-def extract(html: str | None) -> str:
+def extract(html: str | None, widest: int | None = WIDEST, padding: int | None = PADDING) -> str:
     tree = Tree()
     tree.feed(html or "")
     tree.close()
-    return render(tree.root)
+    return render(tree.root, widest, padding)
 
 
-def _extract(batches):
+def _extract(batches, widest, padding):
     for batch in slices(batches):
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([extract(x) for x in batch.column(batch.num_columns - 1).to_pylist()], pa.string())], ["id", "url", "text"])
+        texts = [extract(x, widest, padding) for x in batch.column(batch.num_columns - 1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], ["id", "url", "text"])
+
 
+def visible_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", widest: int | None = WIDEST, padding: int | None = PADDING) -> DataFrame:
+    """(id, url, text) per page; null and empty pages have empty text, repeated rows stay. Other columns are not read.
 
-def visible_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(id, url, text) per page; null and empty pages have empty text, repeated rows stay. Other columns are not read."""
+    widest and padding bound how far tables are padded (see above); None for both lays out every table in full.
+    """
     base = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    return base.mapInArrow(_extract, T.StructType([field("id", base.schema["id"].dataType), field("url", base.schema["url"].dataType), field("text", "string")]))
+    schema = T.StructType([field("id", base.schema["id"].dataType), field("url", base.schema["url"].dataType), field("text", "string")])
+    return base.mapInArrow(partial(_extract, widest=widest, padding=padding), schema)

@@ -816,3 +816,60 @@ def test_redaction_by_row(spark, monkeypatch):
 
 def test_hash_order_matches_sql():
     assert hashlib.md5(b"17,5").hexdigest()[:13] == "%013x" % int(hashlib.md5(b"17,5").hexdigest()[:13], 16)
+
+
+# ---- 6, layout ----------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<pre>a\n<b>b</b>\nc</pre>", "a\nb\nc"),
+        ("<pre><b>a</b>\n<b>b</b></pre>", "a\nb"),
+        ("<p>x<pre>\n  x\n\n  y\n</pre>z", "x\n\n  x\n\n  y\n\nz"),
+        ("<pre><code><span>def</span> <span>f</span>():\n    <span>return</span> 1\n</code></pre><p>after", "def f():\n    return 1\n\nafter"),
+        ("a<br><br>b", "a\n\nb"),
+        ("a<br></p><p>b", "a\n\nb"),
+        ("<ol><li value=5>a<li>b</ol>", "5. a\n6. b"),
+        ("<ol reversed><li>a<li>b<li>c</ol>", "3. a\n2. b\n1. c"),
+        ("<ol reversed start=10><li>a<li value=x>b</ol>", "10. a\n9. b"),
+        ("<details><summary>s</summary>hidden<p>x</details>t", "s\nt"),
+        ("<details open><summary>s</summary>seen</details>t", "s\nseen\nt"),
+    ],
+)
+def test_page_layout(page, text):
+    assert html.extract(page) == text
+
+
+def slow_placement(rows):
+    taken, out = set(), []
+    for r, row in enumerate(rows):
+        at, cells = 0, []
+        for text, wide, tall in row:
+            while (r, at) in taken:
+                at += 1
+            cells.append((at, wide, text))
+            taken |= {(r + k, c) for k in range(1, tall) for c in range(at, at + wide)}
+            at += wide
+        out.append(cells)
+    return out
+
+
+def test_cells_that_span_rows_and_columns():
+    import time
+
+    rng = random.Random(1)
+    for _ in range(1500):
+        rows = [[("x", rng.choice([1, 1, 1, 2, 3]), rng.choice([1, 1, 2, 3, 9])) for _ in range(rng.randint(0, 5))] for _ in range(rng.randint(1, 7))]
+        assert html._placed(rows) == slow_placement(rows)
+    page = "<table><tr>" + "".join(f"<td rowspan={65534 - i % 50}>c</td>" for i in range(20_000)) + "</tr>" + "<tr><td>x</td></tr>" * 20_000 + "</table>"
+    began = time.perf_counter()
+    html.extract(page)
+    assert time.perf_counter() - began < 20  # some 2 seconds; hours if each row looked at all cells above
+
+
+def test_tables_in_full():
+    wide = "<table><tr><td>" + "w" * 100 + "</td><td>b</td></tr><tr><td>a</td><td>c</td></tr></table>"
+    assert html.extract(wide).split("\n")[1] == "a  c" and html.extract(wide, None, None).split("\n")[1] == "a" + " " * 101 + "c"
+    sparse = "<table><tr>" + "<td>some text</td>" * 100 + "</tr><tr>" + "<td></td>" * 99 + "<td>z</td></tr></table>"
+    assert html.extract(sparse).split("\n")[1] == "z" and html.extract(sparse, None, None).split("\n")[1] == " " * 1089 + "z"
