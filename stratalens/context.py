@@ -9,12 +9,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratalens.functions import blocks
 from stratalens.functions.values import json_value, kind_of, normalised, quoted, sentinel_key
 from stratalens.runtime import phase, session
 from stratalens.sources import files
 
 POSITION = "_pos"
-#: Positions of a scope that a result saves; of a larger one it saves how many there are, and the caller passes it again.
+#: Positions of a scope that a result lists. A larger one is kept as a table (Scope.save), whose folder the result names.
 SAVED_POSITIONS = 100_000
 
 
@@ -65,6 +66,7 @@ class Scope:
     rows: DataFrame = field(repr=False, compare=False)  # one column: positions
     name: str = "selection"
     parent: str | None = None
+    folder: str | None = None  # of the table that it was saved to
 
     @classmethod
     def from_positions(cls, df: DataFrame, positions: Iterable[int], *, name: str = "selection", parent: str | None = None, position: str | None = None) -> Scope:
@@ -83,8 +85,28 @@ class Scope:
     def positions(self) -> tuple[int, ...]:
         return tuple(r[0] for r in self.rows.orderBy(POSITION).collect())
 
+    def save(self, folder: str) -> Scope:
+        """Write the scope as a table of blocks of positions; gives the scope that reads them from there."""
+        blocks.compressed(self.rows, POSITION).write.parquet(f"{folder}/blocks")
+        about = [(self.dataset_id, self.name, self.parent)]
+        self.rows.sparkSession.createDataFrame(about, "dataset_id string, name string, parent string").coalesce(1).write.parquet(f"{folder}/scope")
+        return Scope.load(self.rows.sparkSession, folder)
+
+    @classmethod
+    def load(cls, spark, folder: str) -> Scope:
+        """A saved scope; its positions are read when they are needed."""
+        about = spark.read.parquet(f"{folder}/scope").first()
+        rows = blocks.expanded(spark.read.schema(blocks.BLOCKS).parquet(f"{folder}/blocks"), POSITION)
+        return cls(about["dataset_id"], rows, about["name"], about["parent"], folder)
+
+    def within(self, rows: DataFrame) -> DataFrame:
+        """Those of positioned rows that are in the scope."""
+        if self.folder:
+            return blocks.within(rows, rows.sparkSession.read.schema(blocks.BLOCKS).parquet(f"{self.folder}/blocks"), POSITION)
+        return rows.join(self.rows, POSITION, "left_semi")
+
     def saved(self) -> list[int] | None:
-        """The positions for a result, None if there are more than it saves."""
+        """The positions for a result, None if there are more than it lists."""
         first = [r[0] for r in self.rows.orderBy(POSITION).limit(SAVED_POSITIONS + 1).collect()]
         return first if len(first) <= SAVED_POSITIONS else None
 
@@ -186,6 +208,7 @@ def prepare(df: DataFrame, features: Iterable[str] | None = None, *, optional: I
             "evaluated_rows": n,
             "restriction_excluded_rows": total - n,
             "selection_positions": scope.saved() if scope else None,
+            **({"selection_folder": scope.folder} if scope and scope.folder else {}),
         },
         "missing_convention": {"sentinels": {c: [v for _, v in sorted({sentinel_key(x) for x in s}, key=str)] for c, s in sentinels.items() if s}},
         "skipped_features": skipped,
@@ -202,7 +225,7 @@ def _shared(own, df, scope, sentinels, types, kinds) -> DataFrame:
             return frame.select(POSITION, *map(quoted, kinds))
     rows = positioned(df, own.position)
     if scope is not None:
-        rows = rows.join(scope.rows, POSITION, "left_semi")
+        rows = scope.within(rows)
     frame = rows.select(F.col(POSITION), *(normalised(quoted(c), types[c], sentinels[c]).alias(c) for c in kinds))
     frame = own.keep(frame) if own.operation != "call" else frame
     own.identities["frames"].append((frame, asked, sentinels))

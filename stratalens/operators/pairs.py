@@ -54,21 +54,52 @@ def margin_table(cells: DataFrame, side: str) -> DataFrame:
     return cells.groupBy(F.col(side).alias("v")).agg(F.sum("n").alias("n"))
 
 
-def absent_table(cells: DataFrame, domain_a: DataFrame, domain_b: DataFrame, whole: DataFrame | None = None) -> DataFrame:
-    """(a, b, reason) of the combinations of two declared, bounded domains that are never observed.
+def absent_table(cells: DataFrame, domain_a: DataFrame, domain_b: DataFrame, whole: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """(a, b, reason) of the combinations of two domains that are never observed; with most, the first so many by a, then b, missing last.
 
     whole holds the pair counts of the whole population when cells are those of a context: levels that are found there
     but not here are absent under their parent.
+
+    The domains are not multiplied. The levels of b are numbered in order, and what is absent for a level of a are the gaps between the
+    numbers that are observed with it. For the first ones only the first levels of a that have a gap are looked at, and of b as many
+    levels as those can have observed ones and gaps before the last one asked for.
     """
-    grid = domain_a.join(F.broadcast(domain_b), F.lit(True), "inner")  # both sides are domains that the caller lists
-    found = cells.select(F.col("a").alias("ca"), F.col("b").alias("cb"))
-    grid = grid.join(found, F.col("a").eqNullSafe(F.col("ca")) & F.col("b").eqNullSafe(F.col("cb")), "left_anti")
+    in_order = lambda c: F.col(c).asc_nulls_last()
+    levels_b = domain_b.select("b").distinct()
+    size_b = levels_b.agg(rows_().alias("_size"))
+    known = domain_a.select("a").distinct().withColumnRenamed("a", "_da")
+    # the pairs inside both domains; what else is observed is absent from neither
+    inside = cells.select("a", "b").join(levels_b.withColumnRenamed("b", "_db"), F.col("b").eqNullSafe(F.col("_db")), "left_semi")
+    held = inside.groupBy("a").agg(rows_().alias("_held"))
+    rows = known.join(held, F.col("_da").eqNullSafe(F.col("a")), "left").select(F.col("_da").alias("a"), F.coalesce("_held", F.lit(0)).alias("_held"))
+    # the size of b's domain is one number, which a lazy table joins as one row
+    rows = rows.join(F.broadcast(size_b), F.lit(True)) if most is None else rows.withColumn("_size", F.lit(size_b.first()[0]))
+    rows = rows.where(F.col("_held") < F.col("_size"))
+    if most is not None:
+        before = Window.orderBy(in_order("a")).rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.orderBy(in_order("a")).limit(most)  # each has a gap, so no more can be needed
+        rows = rows.withColumn("_before", F.coalesce(F.sum(F.col("_size") - F.col("_held")).over(before), F.lit(0))).where(F.col("_before") < most)
+        furthest = rows.agg(F.max("_held")).first()[0] or 0
+        levels_b = levels_b.orderBy(in_order("b")).limit(most + furthest)
+    numbers = levels_b.select(F.col("b").alias("_db"), F.row_number().over(Window.orderBy(in_order("b"))).alias("_i"))
+    chosen = rows.select(F.col("a").alias("_ca"), *(["_before"] if most is not None else []), F.least("_size", F.lit(most) + F.col("_held") if most is not None else F.col("_size")).alias("_end"))
+    seen = inside.join(chosen, F.col("a").eqNullSafe(F.col("_ca"))).join(numbers, F.col("b").eqNullSafe(F.col("_db"))).where(F.col("_i") <= F.col("_end"))
+    marks = seen.select(*chosen.columns, "_i").unionByName(chosen.withColumn("_i", (F.col("_end") + 1).cast("int")))
+    by_a = Window.partitionBy("_ca").orderBy("_i")
+    gaps = marks.withColumn("_low", F.coalesce(F.lag("_i").over(by_a), F.lit(0)) + 1).where(F.col("_low") < F.col("_i"))
+    last = F.col("_i") - 1
+    if most is not None:
+        earlier = F.coalesce(F.sum(F.col("_i") - F.col("_low")).over(by_a.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        gaps = gaps.withColumn("_room", F.lit(most) - F.col("_before") - earlier).where(F.col("_room") > 0)
+        last = F.least(last, F.col("_low") + F.col("_room") - 1)
+    absent = gaps.select(F.col("_ca").alias("a"), F.explode(F.sequence(F.col("_low").cast("bigint"), last.cast("bigint"))).alias("_at"))
+    absent = absent.join(numbers, F.col("_at") == F.col("_i")).select("a", F.col("_db").alias("b"))
     for mark, among in (("here", cells), ("ever", whole if whole is not None else cells)):
         for side in "ab":
-            seen = among.select(F.col(side).alias("_seen")).distinct().withColumn(f"_{mark}_{side}", F.lit(True))
-            grid = grid.join(seen, F.col(side).eqNullSafe(F.col("_seen")), "left").drop("_seen")
+            found = among.select(F.col(side).alias("_seen")).distinct().withColumn(f"_{mark}_{side}", F.lit(True))
+            absent = absent.join(found, F.col(side).eqNullSafe(F.col("_seen")), "left").drop("_seen")
     here, ever = (F.col(f"_{m}_a").isNotNull() & F.col(f"_{m}_b").isNotNull() for m in ("here", "ever"))
-    return grid.select("a", "b", F.when(here, "within_observed_margins").when(ever, "level_absent_under_parent").otherwise("zero_support").alias("reason"))
+    return absent.select("a", "b", F.when(here, "within_observed_margins").when(ever, "level_absent_under_parent").otherwise("zero_support").alias("reason"))
 
 
 @operation("pairs")
@@ -148,10 +179,7 @@ def _pair(p: Prepared, a, b, context, dropna, include_absence, domains, left, mo
             inner = here - r["cells"]
             sampled = []
             if left and total:
-                # Enough values of each side that `left` absent cells are among their combinations.
-                most = max(1000, 20 * left)
-                small = [f.orderBy(F.col(s).asc_nulls_last()).limit(most) for f, s in zip(frames, "ab")]
-                absent = absent_table(cells, *small, whole).orderBy(F.col("a").asc_nulls_last(), F.col("b").asc_nulls_last()).limit(left)
+                absent = absent_table(cells, *frames, whole, left).orderBy(F.col("a").asc_nulls_last(), F.col("b").asc_nulls_last())
                 sampled = [{"a": json_value(x["a"]), "b": json_value(x["b"]), "reason": x["reason"]} for x in absent.collect()]
                 left -= len(sampled)
             record["absence"] = {"absent_cells": total, "zero_support_cells": sizes[0] * sizes[1] - ever, "level_absent_under_parent_cells": ever - here, "within_observed_margins_cells": inner, "sample": sampled, "omitted_cells": total - len(sampled)}

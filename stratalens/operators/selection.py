@@ -16,10 +16,12 @@ WHOLE_SCOPE = ("census_path", "value_alias", "indexed_family")
 
 
 def saved_scope(df: DataFrame, payload) -> Scope | None:
-    saved = payload["scope"]["selection_positions"]
+    saved, folder = payload["scope"]["selection_positions"], payload["scope"].get("selection_folder")
+    if saved is None and folder:
+        return Scope.load(df.sparkSession, folder)
     if saved is None:
         if payload["scope"]["restriction_excluded_rows"]:
-            raise ValueError("the scope has more rows than a result saves; run the analysis with the scope again")
+            raise ValueError("the scope has more rows than a result lists; save it as a table (Scope.save) and analyse that")
         return None
     rows = df.sparkSession.createDataFrame([(int(x),) for x in saved], f"{POSITION} bigint")
     return Scope(payload["source"]["dataset_id"], rows, payload["scope"]["name"], payload["scope"]["parent"])

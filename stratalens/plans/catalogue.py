@@ -278,6 +278,14 @@ def pairs_context_absence(spark, d):
     return pa.absent_table(inside, a, spark.range(27).select(F.col("id").cast("int").alias("b")), whole)
 
 
+@query("""WITH p AS (SELECT DISTINCT l_partkey AS a, l_suppkey AS b FROM lineitem), da AS (SELECT DISTINCT a FROM p), db AS (SELECT DISTINCT b FROM p)
+SELECT da.a, db.b, 'within_observed_margins' AS reason FROM da, db WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.a = da.a AND p.b = db.b) ORDER BY 1, 2 LIMIT 1000""")
+def pairs_first_absent(spark, d):
+    """The first 1000 combinations (the operation's own bound) of parts and suppliers that no line has."""
+    cells = le.pair_table(normalise(table(spark, d, "lineitem"))[0], "l_partkey", "l_suppkey")
+    return pa.absent_table(cells, cells.select("a"), cells.select("b"), most=pa.LIMITS["max_absence_cells"])
+
+
 @query("SELECT l_returnflag AS a, l_linestatus AS b, count(*) AS n FROM lineitem GROUP BY 1, 2")
 def joint_counts(spark, d):
     return le.pair_table(normalise(table(spark, d, "lineitem"))[0], "l_returnflag", "l_linestatus")
@@ -500,9 +508,13 @@ LATTICE_KEYS = [k for size in (1, 2) for k in combinations(LATTICE, size)]
 def dependency_lattice(spark, d):
     """All tests of all keys of one and two columns, of which the search counts only what smaller keys leave open."""
     frame, kinds = normalise(sales(spark, d).select(*LATTICE))
-    lattice = de.Lattice(frame, kinds, frame.count(), LATTICE)
-    lattice.measure(LATTICE_KEYS)
-    found = lattice.test([(k, [t for t in LATTICE if t not in k]) for k in LATTICE_KEYS])
+    frame = frame.persist()  # as the operation does; gone before this returns
+    try:
+        lattice = de.Lattice(frame, kinds, frame.count(), LATTICE)
+        lattice.measure(LATTICE_KEYS)
+        found = lattice.test([(k, [t for t in LATTICE if t not in k]) for k in LATTICE_KEYS])
+    finally:
+        frame.unpersist()
     names = {frozenset(k): "+".join(k) for k in LATTICE_KEYS}
     rows = [(names[k], t, *(m[x] for x in TESTED)) for (k, t), m in found.items()]
     return spark.createDataFrame(rows, "determinant string, feature string, " + ", ".join(f"{x} bigint" for x in TESTED))
