@@ -36,10 +36,17 @@ def match_key(column: Column, kind: str, mode: str = "typed") -> Column:
 
 
 def side_table(frame: DataFrame, keys: list[Column], values: list[Column], dropna: bool = True) -> DataFrame:
-    """(key, n, d<j>, v<j>) per complete key: its rows, and for each compared column the distinct values and one of them."""
+    """(key, n, d<j>, v<j>) per complete key: its rows, and for each compared column the distinct values and one of them.
+
+    What is asked of the values is whether a key has none, one or more, so d stops at 2: the least and the greatest value tell, and one
+    aggregation with a row per key and task in its shuffle does for all columns, also for a key that a third of all rows have.
+    """
     cells = [F.coalesce(v, F.lit("missing")) if not dropna else v for v in values]
-    aggs = [x for j, v in enumerate(cells) for x in (F.count_distinct(v).alias(f"d{j}"), F.min(v).alias(f"v{j}"))]
-    return frame.select("*", F.array(*keys).alias("_key")).where(~F.exists("_key", lambda k: k.isNull())).groupBy(F.col("_key").alias("key")).agg(rows_().alias("n"), *aggs)
+    aggs = [x for j, v in enumerate(cells) for x in (F.min(v).alias(f"v{j}"), F.max(v).alias(f"_x{j}"))]
+    rows = frame.select("*", F.array(*keys).alias("_key")).where(~F.exists("_key", lambda k: k.isNull()))
+    found = rows.groupBy(F.col("_key").alias("key")).agg(rows_().alias("n"), *aggs)
+    number = lambda j: F.when(F.col(f"v{j}").isNull(), 0).when(F.col(f"v{j}") == F.col(f"_x{j}"), 1).otherwise(2)
+    return found.select("key", "n", *(x for j in range(len(cells)) for x in (number(j).alias(f"d{j}"), F.col(f"v{j}"))))
 
 
 def joined_table(left: DataFrame, right: DataFrame, compared: int) -> DataFrame:
