@@ -73,19 +73,19 @@ def earlier_sum(sizes: DataFrame, number: str, size: str) -> DataFrame:
     return rows.join(blocks, F.col("_block") == F.col("_b")).select(number, (F.col("_blocks") + F.col("_inside")).alias("before"))
 
 
-def group_sizes(frame: DataFrame, keys: list[str], targets: list[str], kinds: dict, by: list[str] = (), weight: str | None = None) -> DataFrame:
+def group_sizes(frame: DataFrame, keys: list[str], targets: list[str], kinds: dict, by: list[str] = (), position: str | None = None) -> DataFrame:
     """(_g0.., feature, value, n): rows per group and value of each target, the finest counts of a dependency test.
 
-    The grouping columns go by number, so that a column may have any name. Each row counts as many times as the column `weight` says.
+    The grouping columns go by number, so that a column may have any name. With position, first is the least position of the rows.
     """
     keep = list(dict.fromkeys([*by, *keys]))
     wanted = list(targets)
     held = {kinds[t] for t in wanted}
-    extra = [F.lit(1).cast("bigint").alias("_w") if weight is None else quoted(weight).alias("_w")]
+    extra = [] if position is None else [quoted(position).alias("_p")]
     named = frame.select(*(quoted(c).alias(f"_g{i}") for i, c in enumerate(keep)), *(quoted(t).alias(f"_t{i}") for i, t in enumerate(wanted)), *extra)
-    cells = melt(named, {f"_t{i}": kinds[t] for i, t in enumerate(wanted)}, [f"_t{i}" for i in range(len(wanted))], [*numbered(keep), "_w"], labels=wanted, narrow=held)
-    counts = cells.groupBy(*numbered(keep), "feature", "value").agg(F.sum("_w").alias("n"))
-    return counts.select(*numbered(keep), "feature", widened(F.col("value"), held).alias("value"), "n")
+    cells = melt(named, {f"_t{i}": kinds[t] for i, t in enumerate(wanted)}, [f"_t{i}" for i in range(len(wanted))], [*numbered(keep), *(["_p"] if extra else [])], labels=wanted, narrow=held)
+    counts = cells.groupBy(*numbered(keep), "feature", "value").agg(rows_().alias("n"), *([F.min("_p").alias("first")] if extra else []))
+    return counts.select(*numbered(keep), "feature", widened(F.col("value"), held).alias("value"), "n", *(["first"] if extra else []))
 
 
 def numbered(columns) -> list[str]:
@@ -93,12 +93,13 @@ def numbered(columns) -> list[str]:
 
 
 def modal(counts: DataFrame, groups: list[str], dropna: bool = True, missing_first: bool = True) -> DataFrame:
-    """Per group and feature: size, rows with a missing target, size of the mode, distinct targets, the mode itself.
+    """Per group and feature: size, rows with a missing target, size of the mode, distinct targets, the mode itself; first if counts have it.
 
     With dropna the missing target is left out of size, mode and distinct. Ties go to the smallest value; a missing
     one counts as the smallest if missing_first, else as the largest.
     """
     absent = F.col("value.absent")
+    first = [F.min(F.when(~absent, F.col("first")) if dropna else F.col("first")).alias("first")] if "first" in counts.columns else []
     counted = F.when(~absent, F.col("n")) if dropna else F.col("n")
     order = F.struct((-counted).alias("n"), (~absent if missing_first else absent).alias("a"), F.col("value").alias("v"))
     best = F.min(F.when(~absent, order) if dropna else order)
@@ -109,6 +110,7 @@ def modal(counts: DataFrame, groups: list[str], dropna: bool = True, missing_fir
         F.coalesce(F.max(counted), F.lit(0)).alias("largest"),
         F.count(counted).alias("distinct"),
         best["v"].alias("mode"),
+        *first,
     )
 
 
