@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stratalens.context import Prepared, budgets, columns, prepare
-from stratalens.functions.counts import rows_
-from stratalens.functions.values import json_value, quoted
-from stratalens.operators.levels import check_roles, pair_table
+from stratalens.functions.counts import first_ranked, rows_
+from stratalens.functions.cube import Cube
+from stratalens.functions.values import json_value, quoted, typed
+from stratalens.operators.dependencies import collected
+from stratalens.operators.levels import check_roles
 from stratalens.result import Result
 from stratalens.runtime import operation, phase
 
@@ -120,69 +122,105 @@ def pairs(df: DataFrame, dimensions, *, dropna: bool = False, include_absence: b
     chosen, used = asked[: limit["max_pairs"]], ordered[: max(1, limit["max_contexts"])]
     left = limit["max_absence_cells"]
     p.base["pairs"] = []
-    with phase("pairs", len(chosen) * len(used)) as step:
-        for a, b in chosen:
-            for context in used:
-                if set(context) & {a, b}:
-                    raise ValueError("a context column cannot be part of the pair")
-                record, left = _pair(p, a, b, context, dropna, include_absence, domains, left, limit["max_marginal_levels"])
-                p.base["pairs"].append(record)
-                step()
+    tasks = [(a, b, context) for a, b in chosen for context in used]  # of each pair first without a context
+    if any(set(context) & {a, b} for a, b, context in tasks):
+        raise ValueError("a context column cannot be part of the pair")
+    with phase("pairs", len(tasks)) as step:
+        tables = cell_tables(p.frame, tasks, dropna)
+        relations = {r["i"]: r for r in collected([relation_table(t).select(F.lit(i).alias("i"), "*") for i, t in enumerate(tables)])}
+        sides: dict = {}
+        for r in collected([_margins(p, t, i, s, tasks[i], limit["max_marginal_levels"]) for i, t in enumerate(tables) for s in "ab"]):
+            sides.setdefault((r["i"], r["side"]), []).append((r["rank"], json_value(r["v"]), r["n"]))
+        counted = _context_rows(p, used)
+        for i, (a, b, context) in enumerate(tasks):
+            k = i % len(used)
+            shown = [[x[1:] for x in sorted(sides.get((i, s), ()), key=lambda x: x[0])] for s in "ab"]
+            record, left = _pair(p, a, b, context, (tables[i], tables[i - k]), relations[i], shown, counted[k], include_absence, domains, left)
+            p.base["pairs"].append(record)
+            step()
     p.base["coverage"] = {"pair_candidates": len(asked), "pairs_evaluated": len(chosen), "contexts_requested": len(ordered), "contexts_evaluated": len(used)}
     p.base["warnings"] = check_roles(schema, columns(df), p.kinds)
     p.base["parameters"] = {"dimensions": names, "dropna": dropna, "include_absence": include_absence, "reference_domains": {c: list(map(json_value, v)) for c, v in domains.items()}, "pair_contexts": [{k: json_value(v) for k, v in g.items()} for g in given], "schema": schema, "limits": limit}
     return Result("pairs", p.base)
 
 
-def _pair(p: Prepared, a, b, context, dropna, include_absence, domains, left, most_levels):
-    inside = p.frame
-    for c, v in context.items():
-        inside = inside.where(quoted(c).eqNullSafe(F.lit(v)))
-    cells = pair_table(p.frame, a, b, context=context, dropna=dropna).persist()
+def cell_tables(frame: DataFrame, tasks: list[tuple[str, str, dict]], dropna: bool) -> list[DataFrame]:
+    """The pair counts (a, b, n) of every pair in every context, all from one cube of their columns."""
+    cube = Cube(frame, [{a, b, *context} for a, b, context in tasks])
+    out = []
+    for a, b, context in tasks:
+        columns = {a, b, *context}
+        cells = cube.complete(columns) if dropna else cube.table(columns)
+        for c, v in context.items():
+            cells = cells.where(F.col(cube.number(c)).eqNullSafe(F.lit(v)))
+        out.append(cells.select(F.col(cube.number(a)).alias("a"), F.col(cube.number(b)).alias("b"), "n"))
+    return out
+
+
+def _margins(p: Prepared, cells: DataFrame, i: int, side: str, task: tuple, most: int) -> DataFrame:
+    first = first_ranked(margin_table(cells, side), [], [F.col("v").asc_nulls_last()], most)
+    kind = p.kinds[task["ab".index(side)]]
+    return first.select(F.lit(i).alias("i"), F.lit(side).alias("side"), "rank", typed(F.col("v"), kind).alias("v"), "n")
+
+
+def _context_rows(p: Prepared, contexts: list[dict]) -> list[int]:
+    """How many rows each context has, in one pass."""
+    if not any(contexts):
+        return [p.rows] * len(contexts)
+    sums = []
+    for i, context in enumerate(contexts):
+        here = F.lit(True)
+        for c, v in context.items():
+            here = here & quoted(c).eqNullSafe(F.lit(v))
+        sums.append(F.count_if(here).alias(f"_{i}"))
+    return list(p.frame.agg(*sums).first())
+
+
+def _pair(p: Prepared, a, b, context, tables, r, sides, rows, include_absence, domains, left):
+    cells, everywhere = tables
+    n, v = r["rows"], r["cramers_v"]
+    record = {
+        "columns": [a, b],
+        "context": {c: json_value(x) for c, x in context.items()},
+        "evaluated_rows": n,
+        "missing_excluded_rows": rows - n,
+        "restriction_excluded_rows": p.rows - rows,
+        "relation": r["relation"],
+        "relation_reason": None if n else "empty_population",
+        "cramers_v": v,
+        "cramers_v_reason": None if v is not None else "constant_dimension" if n else "empty_population",
+        "marginals": {c: [{"value": x, "count": k} for x, k in s] for c, s in zip((a, b), sides)},
+        "omitted_marginal_levels": {a: r["levels_a"] - len(sides[0]), b: r["levels_b"] - len(sides[1])},
+        "observed_cells": r["cells"],
+        "domains": {a: r["levels_a"], b: r["levels_b"]},
+    }
+    if not include_absence:
+        return record, left
+    cells = cells.persist()  # for the jobs of this pair
     try:
-        rows = inside.count() if context else p.rows
-        r = relation_table(cells).first()
-        sides = [[(json_value(x["v"]), x["n"]) for x in margin_table(cells, s).orderBy(F.desc("n"), F.col("v").asc_nulls_last()).limit(most_levels).collect()] for s in ("a", "b")]
-        n, v = r["rows"], r["cramers_v"]
-        record = {
-            "columns": [a, b],
-            "context": {c: json_value(x) for c, x in context.items()},
-            "evaluated_rows": n,
-            "missing_excluded_rows": rows - n,
-            "restriction_excluded_rows": p.rows - rows,
-            "relation": r["relation"],
-            "relation_reason": None if n else "empty_population",
-            "cramers_v": v,
-            "cramers_v_reason": None if v is not None else "constant_dimension" if n else "empty_population",
-            "marginals": {c: [{"value": x, "count": k} for x, k in s] for c, s in zip((a, b), sides)},
-            "omitted_marginal_levels": {a: r["levels_a"] - len(sides[0]), b: r["levels_b"] - len(sides[1])},
-            "observed_cells": r["cells"],
-            "domains": {a: r["levels_a"], b: r["levels_b"]},
-        }
-        if include_absence:
-            # Domains that are not declared, and the levels' support, are those of the whole population.
-            whole = pair_table(p.frame, a, b, dropna=dropna) if context else cells
-            sizes, frames, ever = [], [], 1
-            spark = p.frame.sparkSession
-            for c, s in ((a, "a"), (b, "b")):
-                t = p.frame.schema[c].dataType.simpleString()
-                seen = whole.select(s).distinct()
-                levels = seen.count() if context else r[f"levels_{s}"]
-                ever *= levels
-                if c in domains:
-                    seen = spark.createDataFrame([(x,) for x in domains[c]], f"{s} {t}").union(seen).distinct()
-                    levels = seen.count()
-                sizes.append(levels)
-                frames.append(seen)
-            total = sizes[0] * sizes[1] - r["cells"]
-            here = r["levels_a"] * r["levels_b"]
-            inner = here - r["cells"]
-            sampled = []
-            if left and total:
-                absent = absent_table(cells, *frames, whole, left).orderBy(F.col("a").asc_nulls_last(), F.col("b").asc_nulls_last())
-                sampled = [{"a": json_value(x["a"]), "b": json_value(x["b"]), "reason": x["reason"]} for x in absent.collect()]
-                left -= len(sampled)
-            record["absence"] = {"absent_cells": total, "zero_support_cells": sizes[0] * sizes[1] - ever, "level_absent_under_parent_cells": ever - here, "within_observed_margins_cells": inner, "sample": sampled, "omitted_cells": total - len(sampled)}
+        whole = everywhere if context else cells
+        # Domains that are not declared, and the levels' support, are those of the whole population.
+        sizes, frames, ever = [], [], 1
+        spark = p.frame.sparkSession
+        for c, s in ((a, "a"), (b, "b")):
+            t = p.frame.schema[c].dataType.simpleString()
+            seen = whole.select(s).distinct()
+            levels = seen.count() if context else r[f"levels_{s}"]
+            ever *= levels
+            if c in domains:
+                seen = spark.createDataFrame([(x,) for x in domains[c]], f"{s} {t}").union(seen).distinct()
+                levels = seen.count()
+            sizes.append(levels)
+            frames.append(seen)
+        total = sizes[0] * sizes[1] - r["cells"]
+        here = r["levels_a"] * r["levels_b"]
+        inner = here - r["cells"]
+        sampled = []
+        if left and total:
+            absent = absent_table(cells, *frames, whole, left).orderBy(F.col("a").asc_nulls_last(), F.col("b").asc_nulls_last())
+            sampled = [{"a": json_value(x["a"]), "b": json_value(x["b"]), "reason": x["reason"]} for x in absent.collect()]
+            left -= len(sampled)
+        record["absence"] = {"absent_cells": total, "zero_support_cells": sizes[0] * sizes[1] - ever, "level_absent_under_parent_cells": ever - here, "within_observed_margins_cells": inner, "sample": sampled, "omitted_cells": total - len(sampled)}
         return record, left
     finally:
         cells.unpersist()

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalens.context import POSITION
+from stratalens.context import positioned as source_positioned
+from stratalens.functions import blocks
 from stratalens.functions.counts import GroupCounts, dependency_measures, distinct_groups, group_sizes, impurity, modal, numbered
 from stratalens.functions.values import display, quoted
 from stratalens.operators import availability as av
@@ -225,6 +227,41 @@ def grain_placement(spark, d):
     return spark.createDataFrame(rows, "what string, a string, b string")
 
 
+def _targets_sql() -> str:
+    """For each target the keys that fix it, and of these the coarsest: those that fix no other one that does not fix them too."""
+    groups = lambda *cols: f"(SELECT count(*) FROM (SELECT DISTINCT {', '.join(dict.fromkeys(cols))} FROM sales))"
+    det = " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, {groups(*a)} = {groups(*a, *b)} AS fixes" for i, a in enumerate(KEYS.values()) for j, b in enumerate(KEYS.values()))
+    fits = " UNION ALL ".join(f"SELECT {i} AS i, '{t}' AS target, {groups(*a)} = {groups(*a, t)} AS holds" for i, a in enumerate(KEYS.values()) for t in TARGETS)
+    return f"""WITH {SALES}, name AS (SELECT unnest({list(KEYS)}) AS name, unnest(range({len(KEYS)})) AS i), det AS ({det}), fits AS ({fits}), held AS (SELECT i, target FROM fits WHERE holds),
+coarsest AS (SELECT * FROM held a WHERE NOT EXISTS (SELECT 1 FROM held b JOIN det f ON f.i = a.i AND f.j = b.i JOIN det g ON g.i = b.i AND g.j = a.i WHERE b.target = a.target AND f.fixes AND NOT g.fixes))
+SELECT target, string_agg(name, ',' ORDER BY held.i) AS determining, (SELECT string_agg(n.name, ',' ORDER BY c.i) FROM coarsest c JOIN name n ON n.i = c.i WHERE c.target = held.target) AS coarsest
+FROM held JOIN name ON name.i = held.i GROUP BY target"""
+
+
+@query(_targets_sql())
+def grain_targets(spark, d):
+    found = gr.grain(sales(spark, d), KEYS, features=TARGETS, identify=False)["targets"]
+    rows = [(t["target"], ",".join(t["determining_keys"]), ",".join(t["coarsest_candidates"])) for t in found if t["determining_keys"]]
+    return spark.createDataFrame(rows, "target string, determining string, coarsest string")
+
+
+# ---- positions and scopes -----------------------------------------------------------------------------------
+
+
+@query("SELECT l_returnflag, min(p) AS first, max(p) AS last, count(DISTINCT p) AS positions FROM (SELECT *, row_number() OVER () - 1 AS p FROM lineitem) GROUP BY l_returnflag")
+def source_positions(spark, d):
+    rows = source_positioned(table(spark, d, "lineitem"))
+    return rows.groupBy("l_returnflag").agg(F.min(POSITION).alias("first"), F.max(POSITION).alias("last"), F.count_distinct(POSITION).alias("positions"))
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS cnt, CAST(sum(l_orderkey) AS BIGINT) AS keys FROM lineitem WHERE l_linenumber = 1 OR l_returnflag = 'R' GROUP BY 1, 2")
+def scope_blocks(spark, d):
+    """The rows of a scope by the blocks that it is saved as."""
+    rows = source_positioned(table(spark, d, "lineitem"))
+    chosen = blocks.compressed(rows.where("l_linenumber = 1 or l_returnflag = 'R'").select(POSITION), POSITION)
+    return blocks.within(rows, chosen, POSITION).groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("cnt"), F.sum("l_orderkey").alias("keys"))
+
+
 # ---- pairs --------------------------------------------------------------------------------------------------
 
 
@@ -529,6 +566,23 @@ def dependency_exceptions(spark, d):
     return rows.where("not good").select(F.col(POSITION).alias("o_orderkey"), "size", "distinct")
 
 
+NEEDS = [("lang",), ("quality",), ("toxic",), ("calm",), ("bad",), ("quality", "calm"), ("lang", "toxic")]
+
+
+def _populations_sql() -> str:
+    """The rows on which each need is complete, told apart by which columns with gaps are filled on all of them."""
+    filled = " || ".join(f"CASE WHEN count({c}) = count(*) THEN '{c} ' ELSE '' END" for c in sorted(MARKED))
+    parts = [f"SELECT count(*) AS rows, {filled} AS filled FROM lab WHERE {' AND '.join(f'{c} IS NOT NULL' for c in need)}" for need in NEEDS]
+    return f"WITH {LABELLED} SELECT DISTINCT rows, trim(filled) AS filled FROM ({' UNION ALL '.join(parts)}) WHERE rows > 0"
+
+
+@query(_populations_sql())
+def dependency_populations(spark, d):
+    frame, _ = normalise(labelled(spark, d))
+    found = de.populations(frame, sorted(MARKED), [frozenset(n) & set(MARKED) for n in NEEDS])
+    return spark.createDataFrame([(x.rows, " ".join(sorted(x.filled))) for x in found], "rows bigint, filled string")
+
+
 # ---- paths --------------------------------------------------------------------------------------------------
 
 NESTED = ["n_regionkey", "c_nationkey", "n_name", "c_mktsegment", "o_custkey"]
