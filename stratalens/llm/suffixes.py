@@ -12,6 +12,8 @@ rows as it has copies.
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -119,8 +121,8 @@ def _equal_ids(ids: pa.StructArray) -> np.ndarray:
     return same
 
 
-def _neighbours(batches):
-    """Rows whose hash is found in another text too, and each batch's first and last run, whose other neighbour is elsewhere.
+def _neighbours(batches, within: bool = False):
+    """Rows whose hash is found in another text too (or again in the same one, with within), and each batch's first and last run, whose other neighbour is elsewhere.
 
     A run is a text's rows of one hash; all its rows share the verdict. A neighbour is in another text if its id differs, or
     if it is at the same place of a text with the same id, as only the rows of a repeated document are.
@@ -139,6 +141,8 @@ def _neighbours(batches):
         linked = near[starts[1:] - 1]  # a run with the one before
         twin = np.concatenate(([False], linked)) | np.concatenate((linked, [False]))
         twin |= np.bincount(run[1:][joined & (at[1:] == at[:-1])], minlength=len(starts)) > 0
+        if within:
+            twin |= np.bincount(run) > 1
         end = np.zeros(len(starts), bool)
         end[[0, -1]] = True
         keep = np.flatnonzero((twin | end)[run])
@@ -146,30 +150,34 @@ def _neighbours(batches):
         yield pa.RecordBatch.from_arrays([*rows.take(pa.array(keep)).columns, *(pa.array(m[keep]) for m in marks)], ["hash", "id", "at", "twin", "lead", "part", "end"])
 
 
-def repeated(rows: DataFrame) -> DataFrame:
+def repeated(rows: DataFrame, within: bool = False) -> DataFrame:
     """(id, at, lead) of the rows (hash, id, at) whose hash is found in another text too; lead marks the first of them in order of id and at.
 
+    With within, rows whose hash is found at another place of the same text count as well.
+
     Sorted by ranges of (hash, id, at), so equal hashes may spread over many partitions; what meets at the ends of
     their batches is settled from the first and last runs alone. The rows are cut first, as the sort by ranges reads them twice.
     """
     ordered = cut(rows).repartitionByRange("hash", "id", "at").sortWithinPartitions("hash", "id", "at")
     schema = T.StructType([*rows.schema.fields, field("twin", "boolean"), field("lead", "boolean"), field("part", "bigint"), field("end", "boolean")])
-    seen = cut(ordered.mapInArrow(_neighbours, schema))
+    seen = cut(ordered.mapInArrow(partial(_neighbours, within=within), schema))
     ends = seen.where("end")
     met = ends.groupBy("hash", "id", "at").agg(F.count(F.lit(1)).alias("n"), F.bool_or("twin").alias("twin"), F.min("part").alias("part"))
     others = (F.min("id") != F.max("id")) | (F.max("n") > 1) | F.bool_or("twin")
+    if within:
+        others = others | (F.count(F.lit(1)) > 1)
     met = met.groupBy(F.col("hash").alias("h")).agg(others.alias("others"), F.min("part").alias("p")).where("others")
     settled = ends.join(met, F.col("hash") == F.col("h")).select("id", "at", (F.col("lead") & (F.col("part") == F.col("p"))).alias("lead"))
     return seen.where("twin and not end").select("id", "at", "lead").unionByName(settled)
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", within: bool = False) -> DataFrame:
     """(id, text_hash, start, end, first): spans of words (end exclusive) that lie in passages of 50 words or more found in two or more texts.
 
     Words are runs of non-white-space (ASCII) and are compared exactly. first tells the spans that are the earliest copy, by id
     (null last), text_hash and place, from those that can be removed. text_hash tells texts that share an id; rows equal in both are
     copies of each other, and their spans are given once as first and once as not first. What only repeats within one text is left
-    alone. Null and short texts have no passages.
+    alone, unless `within` asks for it: its later places are then spans that are not first. Null and short texts have no passages.
     Other columns are not read.
     """
     text = F.col(text_col).cast("binary")
@@ -177,10 +185,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     base = docs.select(known.alias("id"), text.alias("text"))
     kind = base.schema["id"].dataType
     schema = T.StructType([field("hash", "bigint"), field("id", kind), field("at", "int")])
-    found = repeated(base.mapInArrow(_suffixes, schema))
-    places = found.groupBy(F.col("id").alias("_id")).agg(F.collect_list("at").alias("places"))
+    found = repeated(base.mapInArrow(_suffixes, schema), within)
+    # a text's places once, however many rows hold it: no more numbers than the text has words
+    places = found.groupBy(F.col("id").alias("_id")).agg(F.collect_set("at").alias("places"))
     around = base.join(places, F.col("id") == F.col("_id")).select("id", "text", "places")
-    copies = repeated(around.mapInArrow(_windows, schema))
+    copies = repeated(around.mapInArrow(_windows, schema), within)
     by_place = Window.partitionBy("id", "lead").orderBy("at")
     copies = copies.distinct().withColumn("_new", (F.col("at") - F.lag("at").over(by_place) > PASSAGE).cast("int"))
     spans = copies.withColumn("_span", F.sum(F.coalesce("_new", F.lit(0))).over(by_place))
