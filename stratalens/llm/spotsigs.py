@@ -33,6 +33,8 @@ CHAIN, COMMON, SIMILARITY = 2, 0.005, 0.8
 #: Bytes of a text as its words see them: separators as blanks, A-Z in lower case. These are the words of resampling.WORD.
 _PLAIN = bytes(i + 32 if 65 <= i <= 90 else i if 48 <= i <= 57 or 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
 FIRST, LAST = 1, 2
+#: Bytes of a word from which on its digest takes its place.
+LONG = 64
 
 
 def anchor_words(docs: DataFrame, text_col: str = "text", common: float = COMMON) -> frozenset[bytes]:
@@ -46,14 +48,17 @@ def anchor_words(docs: DataFrame, text_col: str = "text", common: float = COMMON
 
 
 def signatures(data: bytes, anchors: frozenset[bytes], chain: int = CHAIN) -> np.ndarray:
-    """The sorted set of 32-bit hashes of a text's spot signatures. A text without content words is one signature by itself."""
+    """The sorted set of 32-bit hashes of a text's spot signatures. A text without content words is one signature by itself.
+
+    Very long words stand in as their digests, so that a chain is short however often it follows an anchor.
+    """
     content: list[bytes] = []
-    spots = [(b"", 0)]
+    spots = {(b"", 0)}
     for word in data.translate(_PLAIN).split(b" "):
         if word in anchors:
-            spots.append((word, len(content)))
+            spots.add((word, len(content)))
         elif word:
-            content.append(word)
+            content.append(word if len(word) <= LONG else xxhash.xxh64_digest(word))
     if not content:
         return np.array([xxhash.xxh32_intdigest(b"\0" + data)], np.uint32)
     n, one = len(content), xxhash.xxh32_intdigest

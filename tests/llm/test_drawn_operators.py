@@ -246,6 +246,16 @@ def test_similar_documents(spark, empty, at_least):
     assert spotsigs.similar_documents(empty, at_least).count() == 0
 
 
+def test_very_long_words_and_runs_of_anchors():
+    import time
+
+    anchors = frozenset([b"ab", b"1"])
+    began = time.perf_counter()
+    mixed = (b"ab " * 500_000) + b"x" * 2_000_000 + b" 1" * 500_000 + b" end"
+    assert len(spotsigs.signatures(mixed, anchors)) == 3 and len(spotsigs.signatures(mixed + b" y" * 300_000, anchors)) == 3
+    assert time.perf_counter() - began < 20  # some seconds; hours if each anchor copied the long word
+
+
 def test_pruned_likeness_and_size_classes():
     import numpy as np
 
