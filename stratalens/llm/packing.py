@@ -177,8 +177,9 @@ def _pieces(batches, path: str, capacity: int):
                 out["length"].append(end - start)
                 out["crc"].append(zlib.crc32(blob[4 * start : 4 * end]))
                 start = end
-        columns = [batch.column(0).take(pa.array(ids, pa.int64())), pa.array(out["piece"], pa.int32()), *(pa.array(out[c], pa.int64()) for c in ("start", "length", "crc"))]
-        yield pa.RecordBatch.from_arrays(columns, ["id", "piece", "start", "length", "crc"])
+        of = pa.array(ids, pa.int64())
+        columns = [batch.column(0).take(of), batch.column(2).take(of), pa.array(out["piece"], pa.int32()), *(pa.array(out[c], pa.int64()) for c in ("start", "length", "crc"))]
+        yield pa.RecordBatch.from_arrays(columns, ["id", "row", "piece", "start", "length", "crc"])
 
 
 def _places(batches, where: dict[str, np.ndarray], capacity: int):
@@ -199,13 +200,14 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, id_
     own, and equal ones are interchangeable. An empty table packs into nothing. Other columns are not read.
     """
     kind = docs.schema[id_col].dataType
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = T.StructType([field("id", kind), field("piece", "int"), field("start", "bigint"), field("length", "bigint"), field("crc", "bigint")])
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
+    schema = T.StructType([field("id", kind), field("row", "bigint"), field("piece", "int"), field("start", "bigint"), field("length", "bigint"), field("crc", "bigint")])
     pieces = cut(base.mapInArrow(partial(_pieces, path=path or tokens.default_path(), capacity=capacity), schema))
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     where = plan(counts, capacity)
-    order = unit_hash(F.col("id"), F.col("piece"))
-    numbered = running_sums(pieces, "length", order, [F.col("id"), F.col("piece"), F.col("crc")], [], 256)
+    # by row, as many rows may have one id or none
+    order = unit_hash(F.col("row"), F.col("piece"))
+    numbered = running_sums(pieces, "length", order, [F.col("row"), F.col("piece")], [], 256)
     numbered = numbered.select("id", "piece", "start", "length", "crc", F.col("before_rows").alias("number"))
-    out = T.StructType([*schema.fields, field("sequence_id", "bigint"), field("offset", "bigint")])
+    out = T.StructType([*(f for f in schema.fields if f.name != "row"), field("sequence_id", "bigint"), field("offset", "bigint")])
     return numbered.mapInArrow(partial(_places, where=where, capacity=capacity), out)

@@ -873,3 +873,53 @@ def test_tables_in_full():
     assert html.extract(wide).split("\n")[1] == "a  c" and html.extract(wide, None, None).split("\n")[1] == "a" + " " * 101 + "c"
     sparse = "<table><tr>" + "<td>some text</td>" * 100 + "</tr><tr>" + "<td></td>" * 99 + "<td>z</td></tr></table>"
     assert html.extract(sparse).split("\n")[1] == "z" and html.extract(sparse, None, None).split("\n")[1] == " " * 1089 + "z"
+
+
+# ---- 2, 3 and 7: further cases ------------------------------------------------------------------------------
+
+
+def test_merged_pieces_equal_the_tokenizer():
+    own = tokens.Encoder(tokens.default_path())
+    assert own.merge is not None
+    rng = random.Random(21)
+    common = [chr(i) for i in range(0x250) if not 0x1C <= i <= 0x1F] + [" "] * 60 + list("'sdtmlvre") * 10 + list("\n\t\r") * 5
+    common += [chr(i) for i in (*range(0x2010, 0x2028), *range(0x2030, 0x205F), 0x20AC, 0x2122)]
+    rare = [*common, *(chr(rng.choice([rng.randint(0x250, 0xD7FF), rng.randint(0xE000, 0x2FFFF)])) for _ in range(200))]
+    texts = ["".join(rng.choice(rare if k % 3 == 0 else common) for _ in range(rng.randint(1, 40))) for k in range(6000)]
+    for text, ids in zip(texts, own.encode_many(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == slow_ids(text), repr(text)
+
+
+def test_only_plain_vocabularies_are_merged():
+    import json
+
+    told = json.loads(UNTOUCHED.to_str())
+    for change in ({"normalizer": {"type": "NFC"}}, {"model": told["model"] | {"ignore_merges": True}}, {"model": told["model"] | {"merges": told["model"]["merges"][::-1]}}):
+        assert tokens.merger(tokenizers.Tokenizer.from_str(json.dumps(told | change))) is None
+
+
+def test_packing_of_many_rows_without_an_id(spark):
+    df = spark.createDataFrame([(None if i % 3 else 7, "same text") for i in range(900)], "doc_id bigint, text string").repartition(3)
+    found = packing.pack(df, 16).collect()
+    assert len(found) == 900 and len({(r["sequence_id"], r["offset"]) for r in found}) == 900
+    per = 16 // found[0]["length"]
+    assert len({r["sequence_id"] for r in found}) == math.ceil(900 / per)
+
+
+def test_passages_within_a_text(spark):
+    rng = random.Random(14)
+    one, two = prose(rng, 70, 5000), prose(rng, 60, 5000)
+    rows = [(1, f"{one} between {one} {prose(rng, 30, 5000)}"), (2, f"x {two}"), (3, f"{two} y {two}"), (4, prose(rng, 200, 5000)), *[(5, one + " z")] * 40]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    seen, want = Counter(), set()
+    words = [(i, t.split()) for i, t in rows]
+    for i, w in words:
+        seen.update(tuple(w[k : k + 50]) for k in range(len(w) - 49))
+    for i, w in words:
+        want |= {(i, j) for k in range(len(w) - 49) if seen[tuple(w[k : k + 50])] > 1 for j in range(k, k + 50)}
+    cover = lambda found: {(r["id"], j) for r in found for j in range(r["start"], r["end"])}
+    inside = suffixes.repeated_passages(df, within=True).collect()
+    assert cover(inside) == want
+    assert cover(suffixes.repeated_passages(df).collect()) == slow_windows(rows)
+    first = {(r["id"], r["start"]) for r in inside if r["first"]}
+    assert (1, 0) in first and (1, 71) not in first and (2, 1) in first and not any(i == 3 for i, _ in first)
