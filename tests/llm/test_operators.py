@@ -450,6 +450,14 @@ def test_mix(docs, rows, empty):
     assert mixing.mix_sources(empty).count() == 0
 
 
+@pytest.mark.parametrize("sizes", [{"a": 100, "b": 100, "c": 100}, {f"s{i}": 90 + i for i in range(20)}, {"a": 1000, "b": 10, "c": 0, "d": 300, None: 50, "": 7, "e": 40}, {"a": 0, None: 0}, {"a": 7}])
+def test_several_open_sources_share_the_excess(spark, sizes):
+    rows = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, size bigint")
+    found = {r["source"]: r["target"] for r in mixing.source_targets(rows).collect()}
+    assert found == pytest.approx(slow_targets(sizes))
+    assert sum(found.values()) == pytest.approx(1.5 * sum(sizes.values())) and all(0 <= t <= 2 * sizes[s] for s, t in found.items())
+
+
 # ---- 6 ------------------------------------------------------------------------------------------------------
 
 
