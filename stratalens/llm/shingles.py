@@ -23,8 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratalens.llm.common import cut, field, slices
-from stratalens.llm.simhash import SEED, components, keep_least
+from stratalens.llm.common import chosen, cut, field, slices
+from stratalens.llm.simhash import SEED, components, keep_least, simhash
+from stratalens.llm.simhash import near_links as simhash_links
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 5
@@ -58,14 +59,15 @@ def split(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()  # bytes know only ASCII letters and white space
 
 
-def _sign(batches, at: int, words: int):
+def _sign(batches, at: int, words: int, prints: bool):
     for batch in slices(batches):
         found = [split(t) for t in batch.column(at).to_pylist()]
-        nodes = np.array([xxhash.xxh64_intdigest(b" ".join(x), SEED) for x in found], np.uint64).view(np.int64)
-        signs = [signature(x, words) for x in found]
-        kinds = (pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()))
+        joined = [b" ".join(x) for x in found]
+        nodes = np.array([xxhash.xxh64_intdigest(x, SEED) for x in joined], np.uint64).view(np.int64)
+        signs = [(*signature(x, words), simhash(t) if prints else 0) for x, t in zip(found, joined)]
+        kinds = (pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()), pa.int64())
         columns = [pa.array([x[i] for x in signs], kind) for i, kind in enumerate(kinds)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64()), *columns], [*batch.schema.names, "_node", "_bands", "_size", "_marks"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64()), *columns], [*batch.schema.names, "_node", "_bands", "_size", "_marks", "_fp"])
 
 
 def _verify(batches, words: int, similarity: float):
@@ -86,26 +88,44 @@ def _verify(batches, words: int, similarity: float):
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
-def verified(pairs: DataFrame, signed: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) of nodes whose shingle sets are as similar as asked."""
+def verified(pairs: DataFrame, nodes: DataFrame, signed: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose shingle sets are as similar as asked. Only the texts of these nodes are moved."""
     pairs = cut(pairs)
-    nodes = pairs.select(F.col("a").alias("_n")).unionByName(pairs.select(F.col("b").alias("_n"))).distinct()
-    texts = signed.join(nodes, F.col("_node") == F.col("_n"), "left_semi").groupBy("_node").agg(F.first(text_col).alias("_t"))
-    texts = cut(texts)
+    ends = pairs.select(F.col("a").alias("_n")).unionByName(pairs.select(F.col("b").alias("_n"))).distinct()
+    texts = cut(chosen(signed, nodes.join(ends, F.col("node") == F.col("_n"), "left_semi").select("one")).select("_node", F.col(f"`{text_col}`").alias("_t")))
     a, b = texts.select(F.col("_node").alias("a"), F.col("_t").alias("_ta")), texts.select(F.col("_node").alias("b"), F.col("_t").alias("_tb"))
     return cut(pairs.join(a, "a").join(b, "b").select("a", "b", "_ta", "_tb").mapInArrow(partial(_verify, words=words, similarity=similarity), "a bigint, b bigint"))
 
 
-def near_links(signed: DataFrame, text_col: str, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b) pairs of nodes at least so similar, enough of them to connect all that the candidate pairs connect."""
-    check = partial(verified, signed=signed, text_col=text_col, words=words, similarity=similarity)
-    nodes = cut(signed.groupBy(F.col("_node").alias("node")).agg(*(F.first(c).alias(c) for c in ("_bands", "_size", "_marks"))))
-    index = cut(nodes.select("node", F.explode("_bands").alias("sig")))
+def print_links(nodes: DataFrame, bits: int) -> DataFrame:
+    """(a, b): each node with the smallest one that links of fingerprints (operator 1's) lead to, if that is another."""
+    roots = components(simhash_links(nodes.select(F.col("_fp").alias("fp")), bits)).select(F.col("node").alias("_f"), "root")
+    classes = cut(nodes.join(roots, F.col("_fp") == F.col("_f"), "left").select("node", F.coalesce("root", "_fp").alias("class")))
+    least = classes.groupBy("class").agg(F.min("node").alias("a"))
+    return cut(classes.join(least, "class").where("a <> node").select("a", F.col("node").alias("b")))
+
+
+def near_links(nodes: DataFrame, signed: DataFrame, text_col: str, words: int = WORDS, similarity: float = SIMILARITY, known: DataFrame | None = None) -> DataFrame:
+    """(a, b) pairs of nodes at least so similar, enough of them to connect all that the candidate pairs connect, and the known links.
+
+    What known links (a, b), b in one link only, connect already is not compared. nodes (node, one, _bands, _size, _marks) has the number of one
+    row of signed for each node.
+    """
+    check = partial(verified, nodes=nodes, signed=signed, text_col=text_col, words=words, similarity=similarity)
+    index = nodes.select("node", F.explode("_bands").alias("sig"))
     ends = index.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
-    stars = index.join(ends, "sig").select(F.col("node").alias("u"), F.explode(F.array("lo", "hi")).alias("v")).where("u <> v")
-    stars = check(stars.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct())
-    known = components(stars).select(F.col("node").alias("_n"), "root")
-    labelled = cut(index.join(known, F.col("node") == F.col("_n"), "left").select("node", "sig", F.coalesce("root", "node").alias("root")))
+    shared = cut(index.join(ends, "sig"))
+    stars = shared.select(F.col("node").alias("u"), F.explode(F.array("lo", "hi")).alias("v")).where("u <> v")
+    stars = stars.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+    if known is not None:
+        ra, rb = (known.select(F.col("b").alias(f"_{x}"), F.col("a").alias(f"_r{x}")) for x in "ab")
+        stars = stars.join(ra, F.col("a") == F.col("_a"), "left").join(rb, F.col("b") == F.col("_b"), "left")
+        stars = stars.where(F.coalesce("_ra", "a") != F.coalesce("_rb", "b")).select("a", "b")
+    stars = check(stars)
+    if known is not None:
+        stars = stars.unionByName(known)
+    roots = components(stars).select(F.col("node").alias("_n"), "root")
+    labelled = cut(shared.join(roots, F.col("node") == F.col("_n"), "left").select("node", "sig", F.coalesce("root", "node").alias("root")))
     apart = labelled.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
     labelled = labelled.join(apart, "sig", "left_semi").join(nodes.select("node", "_size", "_marks"), "node")
     parts = [F.col("_marks")[i].alias(f"m{i}") for i in range(MARKS // 64)]
@@ -118,13 +138,17 @@ def near_links(signed: DataFrame, text_col: str, words: int = WORDS, similarity:
     return stars.unionByName(check(joined))
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, bits: int | None = None) -> DataFrame:
     """docs with exactly one row of each group of near duplicates: the smallest id, null last; of equal ids any one row.
 
-    Texts without words are equal to each other.
+    With bits, operator 1's fingerprints that differ in at most so many bits are links too, and come first. Texts without words
+    are equal to each other.
     """
     keyed = docs.withColumn("_row", F.monotonically_increasing_id())
-    schema = T.StructType([*keyed.schema.fields, field("_node", "bigint"), field("_bands", "array<bigint>"), field("_size", "bigint"), field("_marks", "array<bigint>")])
-    signed = cut(keyed.mapInArrow(partial(_sign, at=docs.columns.index(text_col), words=words), schema))
-    roots = components(near_links(signed, text_col, words, similarity)).select(F.col("node").alias("_n"), "root")
+    made = {"_node": "bigint", "_bands": "array<bigint>", "_size": "bigint", "_marks": "array<bigint>", "_fp": "bigint"}
+    schema = T.StructType([*keyed.schema.fields, *(field(*x) for x in made.items())])
+    signed = cut(keyed.mapInArrow(partial(_sign, at=docs.columns.index(text_col), words=words, prints=bits is not None), schema))
+    nodes = cut(signed.groupBy(F.col("_node").alias("node")).agg(F.min("_row").alias("one"), *(F.first(c).alias(c) for c in ("_bands", "_size", "_marks", "_fp"))))
+    known = None if bits is None else print_links(nodes, bits)
+    roots = components(near_links(nodes, signed, text_col, words, similarity, known)).select(F.col("node").alias("_n"), "root")
     return keep_least(signed, "_node", roots, id_col).select(*(F.col(f"`{c}`") for c in docs.columns))

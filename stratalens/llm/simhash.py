@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratalens.llm.common import cut, field, keyed, slices
+from stratalens.llm.common import chosen, cut, field, keyed, slices
 
 BITS = 64
 SEED = 42
@@ -150,7 +150,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, words: int = 4, id_col: str = "
 
 
 def keep_least(rows: DataFrame, node: str, roots: DataFrame, id_col: str) -> DataFrame:
-    """rows, whose _row is unique and fixed, with one row of each component of (_n, root): the smallest (id, _row), a null id last.
+    """rows, a scratch table whose _row is unique, with one row of each component of (_n, root): the smallest (id, _row), a null id last.
 
     A node that is not in roots is a component of its own.
     """
@@ -158,7 +158,7 @@ def keep_least(rows: DataFrame, node: str, roots: DataFrame, id_col: str) -> Dat
     least = rows.groupBy(F.col(node).alias("_m")).agg(F.min(order).alias("_least"))
     named = least.join(roots, F.col("_m") == F.col("_n"), "left")
     keep = named.groupBy(F.coalesce("root", "_m").alias("_root")).agg(F.min("_least").alias("_least")).select(F.col("_least.row").alias("_keep"))
-    return rows.join(keep, F.col("_row") == F.col("_keep"), "left_semi")
+    return chosen(rows, keep)
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

@@ -184,6 +184,28 @@ def test_changed_word_goes_in_pipeline(spark, tmp_path):
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, str(tmp_path)).collect()) == [1, 3]
 
 
+def test_near_fingerprints_go_in_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    base = prose(rng, 7, 4000) + " "
+    texts = [base * 150 + " ".join(f"{k}x{i}" for i in range(12)) for k in "ab"] + [prose(rng, 60, 4000)]
+    assert (slow_simhash(texts[0]) ^ slow_simhash(texts[1])).bit_count() <= 4 and slow_jaccard(*map(slow_shingles, texts[:2])) < 0.8
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, str(tmp_path)).collect()) == [0, 2]
+    links = corpus_pipeline.shingles.keep_first(df)
+    assert links.count() == 3
+
+
+def test_chosen_rows(spark):
+    rows = common.cut(spark.range(100_000).select((F.col("id") + F.lit(5 << 33) * (F.col("id") % 3)).alias("_row"), "id").repartition(7))
+    wanted = {0, 1, 7, 8, 31, 32_767, 32_768, 40_000, 65_535, 65_536, 99_999}
+    numbers = rows.where(F.col("id").isin(wanted)).select("_row")
+    for most in (1 << 14, 0):
+        assert {r["id"] for r in common.chosen(rows, numbers, most).collect()} == wanted
+    assert common.chosen(rows, numbers.limit(0)).count() == 0
+
+
 def test_simhash_empty(empty):
     assert simhash.near_duplicates(empty).count() == 0
     assert shingles.keep_first(empty).count() == 0 == simhash.keep_first(empty).count()
