@@ -44,6 +44,25 @@ TAIL = 40  # bits by which the predecessors of one word are told apart
 START, END = (xxhash.xxh64_intdigest(x) for x in (b"\n<s>", b"\n</s>"))
 
 
+#: Of every byte: at which bit its zero number 1, 2, ... is (8 without such a zero; the lowest bit is 0).
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
+ZERO_AT = (np.cumsum(_BITS == 0, axis=1)[:, None, :] < np.arange(9)[None, :, None]).sum(axis=2)
+#: The same byte eight times in a word.
+EACH = {x: np.uint64(0x0101010101010101 * x) for x in (0x01, 0x0F, 0x33, 0x55, 0x80)}
+
+
+def _nth_zero(words: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The bit at which each 64-bit word has its zero number `rank` (from 1): zeros are counted up to each byte, then one byte is looked up."""
+    u, rank = np.uint64, rank.astype(np.uint64)
+    n = ~words
+    n = n - (n >> u(1) & EACH[0x55])
+    n = (n & EACH[0x33]) + (n >> u(2) & EACH[0x33])
+    upto = (n + (n >> u(4)) & EACH[0x0F]) * EACH[0x01]
+    byte = np.minimum(8 - np.bitwise_count((upto | EACH[0x80]) - rank * EACH[0x01] & EACH[0x80]), 7).astype(np.uint64)
+    at = u(8) * byte
+    return at.astype(np.int64) + ZERO_AT[words >> at & u(255), np.minimum(rank - ((upto << u(8)) >> at & u(255)), u(8))]
+
+
 class EliasFano:
     """A monotone sequence of unsigned numbers: whole low bytes, and the rest in unary with a directory of zeros."""
 
@@ -63,8 +82,7 @@ class EliasFano:
         word = np.searchsorted(self.zeros, k.astype(np.int64), side="left") - 1
         word = np.maximum(word, 0)
         rank = k - self.zeros[word].astype(np.int64)  # the zero's number within its word, from 1
-        bits = np.unpackbits(self.unary[word], axis=1, bitorder="little")
-        at = (np.cumsum(bits == 0, axis=1, dtype=np.int16) < rank[:, None]).sum(axis=1)
+        at = _nth_zero(self.unary.reshape(-1).view("<u8")[word], rank)
         return np.where(k > 0, word * 64 + at - (k - 1), 0)
 
     def _low(self, i: np.ndarray) -> np.ndarray:

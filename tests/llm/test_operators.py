@@ -761,6 +761,17 @@ def test_scratch_tables_go_when_nothing_reads_them(spark):
     assert swept(known) and not there.exists(path)
 
 
+def test_places_in_a_trie_level():
+    rng = np.random.default_rng(3)
+    for values in (np.arange(700), np.array([0]), np.sort(rng.choice(1 << 20, 5000, replace=False)), np.concatenate((np.arange(300), 90_000 + np.arange(200)))):
+        for low in (1, 2):
+            level = lm.EliasFano(values.astype(np.uint64), low, lambda a: a)
+            asked = np.concatenate((values, values + 1, [0, 5, 1 << 41])).astype(np.uint64)
+            place = {int(v): i for i, v in enumerate(values)}
+            assert level.find(asked).tolist() == [place.get(int(x), -1) for x in asked]
+            assert level._after(np.arange(level.top + 2)).tolist() == np.searchsorted(values >> (8 * low), np.arange(level.top + 2)).tolist()
+
+
 def test_queries_are_registered():
     import __spark_entry__ as entry
 
