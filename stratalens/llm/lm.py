@@ -10,7 +10,7 @@ sequences in Elias-Fano form: the low bytes in a plain array, the high parts in
 a word to its predecessors. A pair is found by searching the range that belongs to its word, by an identifier that need
 only tell that word's predecessors apart. Probabilities are quantised. The trie is cut into shards by word; a shard is
 built in a memory-mapped file without a name in one task and asked by blocks of documents, which send their distinct
-pairs with lists of the documents that hold them and get back sums.
+pairs with lists of the documents that hold them and get back sums. Between tasks a shard travels as many small rows.
 
 A word with more than HEAVY of all tokens is frequent, at many shards one with more than a shard's tokens or RAREST of all. There are at
 most 2 / RAREST frequent words; they are found before anything is counted, their counts are broadcast, and the pairs of a word that would
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import tempfile
 import zlib
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalens.llm.common import cut
+from stratalens.llm.common import batches_of, cut
 
 MU = 300.0
 HEAVY, RAREST = 2e-5, 1e-6
@@ -38,6 +39,9 @@ BLOCK_TOKENS = 3 << 17
 COUNT_TOKENS = 1 << 19
 ROWS = 256  # texts that are turned into Python objects at a time
 SHARD_BYTES = 12 << 20
+BATCH_BYTES = 2 << 20  # of texts or of a shard's rows that Spark hands to a worker at a time
+PART = 1 << 12  # words and pairs in a row of a shard: rows of many MB would each be copied whole, several times, on the executor's heap
+PARTS = 32  # such rows that a worker hands back at a time
 FOLD, HELD = 7, 2
 TAIL = 40  # bits by which the predecessors of one word are told apart
 #: White space cannot be part of a word, so these two are nobody's.
@@ -217,12 +221,13 @@ def _shard(words: np.ndarray, shards: int) -> np.ndarray:
 
 
 def _small(counts: np.ndarray) -> bytes:
-    """Counts of a block, by a byte each if all of them fit."""
-    return counts.astype("<u1" if counts.max(initial=0) < 256 else "<u4").tobytes()
+    """Counts by one byte each if all of them fit, else by four or eight."""
+    most = counts.max(initial=0)
+    return counts.astype("<u1" if most < 1 << 8 else "<u4" if most < 1 << 32 else "<u8").tobytes()
 
 
 def _unsmall(blob: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(blob, "<u1" if len(blob) == n else "<u4")
+    return np.frombuffer(blob, f"<u{len(blob) // n if n else 1}")
 
 
 def _pack_tails(tails: np.ndarray) -> bytes:
@@ -320,30 +325,51 @@ def _batch(rows, names):
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(columns)], names)
 
 
-def _merge(rows: pd.DataFrame) -> pd.DataFrame:
-    """A shard's blocks to one: words, counts, heads (as counts per word), tails, pairs."""
-    words = [np.frombuffer(b, "<u8") for b in rows["words"]]
-    fans = [np.frombuffer(b, "<u4") for b in rows["fan"]]
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A shard's blocks to one, in parts of whole words in order: words, counts, heads (as counts per word), tails, pairs."""
+    rows = [r for b in batches for r in b.to_pylist()]
+    words = [np.frombuffer(r["words"], "<u8") for r in rows]
+    fans = [np.frombuffer(r["fan"], "<u4") for r in rows]
     every, at = np.unique(np.concatenate(words), return_inverse=True)
-    counts = np.bincount(at, np.concatenate([np.frombuffer(b, "<u4") for b in rows["counts"]]), len(every)).astype("<i8")
+    counts = np.bincount(at, np.concatenate([np.frombuffer(r["counts"], "<u4") for r in rows]), len(every)).astype("<i8")
     heads = np.repeat(at.astype(np.uint64), np.concatenate(fans))
-    keys = heads << np.uint64(TAIL) | np.concatenate([_unpack_tails(b) for b in rows["tails"]])
+    keys = heads << np.uint64(TAIL) | np.concatenate([_unpack_tails(r["tails"]) for r in rows])
     keys, where = np.unique(keys, return_inverse=True)
-    seen = [_unsmall(n, len(t) // (TAIL // 8)) for n, t in zip(rows["pairs"], rows["tails"])]
-    pairs = np.bincount(where, np.concatenate(seen), len(keys)).astype("<i8")
-    fan = np.bincount((keys >> np.uint64(TAIL)).astype(np.int64), minlength=len(every)).astype("<u4")
-    tails = _pack_tails(keys & np.uint64((1 << TAIL) - 1))
-    starts = int(counts[every == np.uint64(END)].sum())  # each text has one end, and so one start
-    out = {"shard": rows["shard"].iloc[0], "words": every.tobytes(), "counts": counts.tobytes(), "fan": fan.tobytes(), "tails": tails, "pairs": pairs.tobytes(), "total": int(counts.sum()), "distinct": int((counts > 0).sum()), "starts": starts}
-    return pd.DataFrame([out])
+    pairs = np.bincount(where, np.concatenate([_unsmall(r["pairs"], len(r["tails"]) // (TAIL // 8)) for r in rows]), len(keys)).astype("<i8")
+    fan = np.bincount((keys >> np.uint64(TAIL)).astype(np.int64), minlength=len(every))
+    tails, shard = keys & np.uint64((1 << TAIL) - 1), rows[0]["shard"]
+    del rows, words, fans, at, heads, keys, where
+    edge = np.append(np.flatnonzero(np.diff((np.cumsum(fan + 1) - 1) // PART, prepend=-1)), len(every))
+    below = np.concatenate(([0], np.cumsum(fan)))[edge]
+    for first in range(0, len(edge) - 1, PARTS):
+        out = []
+        for k in range(first, min(first + PARTS, len(edge) - 1)):
+            w, p = slice(edge[k], edge[k + 1]), slice(below[k], below[k + 1])
+            starts = int(counts[w][every[w] == np.uint64(END)].sum())  # each text has one end, and so one start
+            sums = {"total": int(counts[w].sum()), "distinct": int((counts[w] > 0).sum()), "starts": starts}
+            out.append({"shard": shard, "part": k, "words": every[w].tobytes(), "counts": _small(counts[w]), "fan": _small(fan[w]), "tails": _pack_tails(tails[p]), "pairs": _small(pairs[p]), **sums})
+        yield pa.RecordBatch.from_pylist(out, _MERGED_TYPES)
 
 
-_MERGED = "shard int, words binary, counts binary, fan binary, tails binary, pairs binary, total bigint, distinct bigint, starts bigint"
+_MERGED = "shard int, part int, words binary, counts binary, fan binary, tails binary, pairs binary, total bigint, distinct bigint, starts bigint"
+_KINDS = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "array<string>": pa.list_(pa.string())}
 
 
-def _arrays(r):
-    words, counts, fan = np.frombuffer(r["words"], "<u8"), np.frombuffer(r["counts"], "<i8"), np.frombuffer(r["fan"], "<u4")
-    return words, counts, np.repeat(np.arange(len(words)), fan), _unpack_tails(r["tails"]), np.frombuffer(r["pairs"], "<i8")
+def _types(columns: str) -> pa.Schema:
+    return pa.schema([(name, _KINDS[kind]) for name, kind in map(str.split, columns.split(", "))])
+
+
+_MERGED_TYPES = _types(_MERGED)
+
+
+def _arrays(*rows):
+    """Words, counts, heads, tails and pairs of parts in order."""
+    words = [np.frombuffer(r["words"], "<u8") for r in rows]
+    counts, fan = (np.concatenate([_unsmall(r[c], len(w)) for r, w in zip(rows, words)]).astype("<i8") for c in ("counts", "fan"))
+    tails = [_unpack_tails(r["tails"]) for r in rows]
+    pairs = np.concatenate([_unsmall(r["pairs"], len(t)) for r, t in zip(rows, tails)]).astype("<i8")
+    words = np.concatenate(words)
+    return words, counts, np.repeat(np.arange(len(words)), fan), np.concatenate(tails), pairs
 
 
 def _heavy(batches, least: float, routed):
@@ -422,37 +448,38 @@ def _ask(batches, shards: int, heavy, routed):
 
 
 _ANSWER = "block bigint, docs binary, ids array<string>, held binary, sizes binary, base binary, lm binary, known binary"
+_ANSWER_TYPES = _types(_ANSWER)
 
 
-def _answer(asked: pd.DataFrame, shard: pd.DataFrame, total: int, distinct: int, heavy, mu: float) -> pd.DataFrame:
+def _answer(asked: pa.Table, shard: pa.Table, total: int, distinct: int, heavy, mu: float) -> pa.Table:
     """One shard: build its trie and answer the blocks' questions with sums by document."""
     h = heavy.value
     if len(shard):
-        words, counts, *pairs = _arrays(shard.iloc[0])
+        words, counts, *pairs = _arrays(*sorted(shard.to_pylist(), key=lambda r: r["part"]))
         known = _among(h.words, words)
         trie = Trie(words, np.where(known >= 0, h.counts[known], counts) if len(h.words) else counts, *pairs, total, distinct, mu)
     else:
         none = np.array([], np.int64)
         trie = Trie(none.astype(np.uint64), none, none, none.astype(np.uint64), none, total, distinct, mu)
     out = []
-    for r in asked.itertuples():
-        if r.words is None:
-            out.append((r.block, None, r.ids, r.held, r.sizes, r.base, r.lm, r.known))
+    for r in (r for b in asked.to_batches() for r in b.to_pylist()):
+        if r["words"] is None:
+            out.append({c: r[c] for c in _ANSWER_TYPES.names})
             continue
-        words, fan, times = np.frombuffer(r.words, "<u8"), np.frombuffer(r.fan, "<u4"), _unsmall(r.times, len(r.tails) // (TAIL // 8))
+        words, fan, times = np.frombuffer(r["words"], "<u8"), np.frombuffer(r["fan"], "<u4"), _unsmall(r["times"], len(r["tails"]) // (TAIL // 8))
         heads = np.repeat(np.arange(len(words)), fan)
         known = _among(h.words, words)
         given = np.where(known >= 0, np.log10((h.counts[known] + 1) / (total + distinct + 1)), np.nan) if len(h.words) else np.full(len(words), np.nan)
-        count, logp, logb, loga = trie.look_up(words, heads, _unpack_tails(r.tails), given)
-        docs, doc = np.unique(np.frombuffer(r.docs, "<u2"), return_inverse=True)
+        count, logp, logb, loga = trie.look_up(words, heads, _unpack_tails(r["tails"]), given)
+        docs, doc = np.unique(np.frombuffer(r["docs"], "<u2"), return_inverse=True)
         word = np.repeat(heads, times)
         light = known < 0  # what is frequent was added by the block
         follows = light & (words != END)
         base = np.bincount(doc, np.where(light, np.log10((count + 1) / (total + distinct + 1)), 0)[word], len(docs))
         seen = np.bincount(doc, (light & (count > 0)).astype(float)[word], len(docs))
         lm = np.bincount(doc, np.repeat(loga, times) + np.where(follows, logb, 0)[word], len(docs))
-        out.append((r.block, docs.astype("<u2").tobytes(), None, None, None, base.tobytes(), lm.astype("<f4").tobytes(), seen.astype("<u4").tobytes()))
-    return pd.DataFrame(out, columns=["block", "docs", "ids", "held", "sizes", "base", "lm", "known"])
+        out.append({"block": r["block"], "docs": docs.astype("<u2").tobytes(), "base": base.tobytes(), "lm": lm.astype("<f4").tobytes(), "known": seen.astype("<u4").tobytes()})
+    return pa.Table.from_pylist(out, _ANSWER_TYPES)
 
 
 def _gather(rows: pd.DataFrame) -> pd.DataFrame:
@@ -471,8 +498,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: f
 
     Null text is empty and has its end token alone. A null id is scored like any other and counts as training text;
     rows that repeat an id are documents of their own. Without training text every token is unknown. An empty table
-    gives no rows. Other columns are not read.
+    gives no rows. Other columns are not read. The scores are computed at once and returned as a scratch table.
     """
+    with batches_of(docs.sparkSession, BATCH_BYTES):
+        return _scored(docs, id_col, text_col, mu, heavy_share)
+
+
+def _scored(docs: DataFrame, id_col: str, text_col: str, mu: float, heavy_share: float) -> DataFrame:
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
@@ -481,14 +513,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: f
     # At many shards fewer tokens make a word too many for one; at most 2 / RAREST words are broadcast.
     heavy_share = max(min(heavy_share, RAREST), min(heavy_share, 1 / shards))
     routed = spark.sparkContext.broadcast(frequent_words(base, heavy_share, shards))
-    merged = base.mapInArrow(partial(_count, shards=shards, routed=routed), _COUNTS).groupBy("shard").applyInPandas(_merge, _MERGED)
-    merged = cut(merged)
+    merged = base.mapInArrow(partial(_count, shards=shards, routed=routed), _COUNTS).groupBy("shard").applyInArrow(_merge, _MERGED)
+    merged = cut(merged, {"parquet.block.size": BATCH_BYTES})  # a row group is read as a whole
     total, distinct, starts = (x or 0 for x in merged.agg(F.sum("total"), F.sum("distinct"), F.sum("starts")).first())
     least = max(2.0, heavy_share * total)
     # No more than total / least pairs can be as frequent, and twice as many words are routed.
     heavy = merged.mapInArrow(partial(_heavy, least=least, routed=routed), "w bigint, tail bigint, n bigint, pair boolean").collect()
     shared = spark.sparkContext.broadcast(Heavy(heavy, total, distinct, starts, mu))
     asked = base.mapInArrow(partial(_ask, shards=shards, heavy=shared, routed=routed), _ASKED_TYPES)
-    answers = asked.groupBy("shard").cogroup(merged.groupBy("shard")).applyInPandas(partial(_answer, total=total, distinct=distinct, heavy=shared, mu=mu), _ANSWER)
+    answers = asked.groupBy("shard").cogroup(merged.groupBy("shard")).applyInArrow(partial(_answer, total=total, distinct=distinct, heavy=shared, mu=mu), _ANSWER)
     scored = answers.groupBy("block").applyInPandas(_gather, "id string, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
-    return scored.select(F.col("id").cast(kind).alias("id"), "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
+    scored = scored.select(F.col("id").cast(kind).alias("id"), "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
+    return cut(scored)  # runs here, where the size of batches is set

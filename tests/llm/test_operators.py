@@ -687,6 +687,46 @@ def test_language_model(docs, rows, empty):
     assert lm.score(empty).count() == 0
 
 
+def test_language_model_reads_texts_in_small_batches(spark, monkeypatch):
+    def spied(real):
+        def spy(batches, **kw):
+            def small():
+                for b in batches:
+                    assert b.nbytes < 1.5 * most
+                    yield b
+
+            yield from real(small(), **kw)
+
+        return spy
+
+    most, before = 2 << 20, spark.conf.get(common.BATCH)
+    for name in ("_frequent", "_count", "_ask"):
+        monkeypatch.setattr(lm, name, spied(getattr(lm, name)))
+    docs = spark.range(0, 1500, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit("word"), F.col("id"), F.lit(" ")), 600).alias("text"))
+    assert lm.score(docs).agg(F.sum("n_tokens")).first()[0] == 1500 * 601
+    assert spark.conf.get(common.BATCH) == before
+
+
+def test_language_model_keeps_shards_in_small_rows(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(lm, "cut", lambda *a: tables.append(common.cut(*a)) or tables[-1])
+    rng = random.Random(12)
+    rows = [(i, " ".join(f"w{rng.randrange(4000)}" for _ in range(2000))) for i in range(100)]
+    found = lm.score(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(2)).collect()
+    (shards,) = (t for t in tables if "tails" in t.columns)
+    blobs = ("words", "counts", "fan", "tails", "pairs")
+    assert shards.agg(F.max(sum(F.octet_length(c) for c in blobs))).first()[0] < 20 * 4096
+    texts = {i: [*t.split(), "\n"] for i, t in rows}
+    train = [w for i, w in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    c, pairs = Counter(x for w in train for x in w), Counter(x for w in train for x in zip([" ", *w], w))
+    c[" "], n, v = len(train), sum(c.values()), len(c)
+    p = lambda w: (c[w] + 1) / (n + v + 1)
+    for r in found:
+        w = texts[r["id"]]
+        score = sum(math.log10((pairs[a, x] + lm.MU * p(x)) / (c[a] + lm.MU)) for a, x in zip([" ", *w], w))
+        assert (r["n_tokens"], r["n_known"]) == (2001, sum(x in c for x in w)) and r["score"] == pytest.approx(score, abs=1)
+
+
 def test_elias_fano():
     rng = np.random.default_rng(1)
     for n, low in ((0, 5), (1, 5), (1000, 5), (5000, 2), (300, 7)):
