@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tokenizers
 import xxhash
@@ -1004,3 +1005,66 @@ def test_passages_within_a_text(spark):
     assert cover(suffixes.repeated_passages(df).collect()) == slow_windows(rows)
     first = {(r["id"], r["start"]) for r in inside if r["first"]}
     assert (1, 0) in first and (1, 71) not in first and (2, 1) in first and not any(i == 3 for i, _ in first)
+
+
+def test_passage_windows_travel_in_rows_of_many():
+    rng = random.Random(15)
+    texts = [prose(rng, 1000, 5000), None, "short", "", prose(rng, 400, 5000)]
+    ids = pa.StructArray.from_arrays([pa.array([i * 10 for i in range(5)])], ["id"])
+    batch = lambda *more: pa.RecordBatch.from_arrays([ids, pa.array([t and t.encode() for t in texts], pa.binary()), *more], ["id", "text", "places"][: 2 + len(more)])
+    places = [[] for _ in texts]
+    for found in suffixes._suffixes([batch()]):
+        for i, at in zip(found.column("id").to_pylist(), found.column("at").to_pylist()):
+            places[i["id"] // 10].append(at)
+    rows = [r for found in suffixes._windows([batch(pa.array(places, pa.list_(pa.int32())))]) for r in found.to_pylist()]
+    assert len(rows) < (951 + 351) / 5  # one row a window would be as many rows
+    seen = [(r["id"]["id"], r["at"] + k) for r in rows for k in range(len(r["windows"]) // 8)]
+    assert sorted(seen) == [(0, k) for k in range(951)] + [(40, k) for k in range(351)]
+
+
+def test_words_of_texts_in_a_row():
+    rng = random.Random(16)
+    words = sorted({"".join(rng.choice("abé\x1c\x85") for _ in range(n)) for n in [*range(1, 80), 200, 5000] for _ in range(4)} | {"a", "a\0", "\0", "\0\0"})
+    texts = [" ".join(words), None, "", " \t", "\x0b".join(words[::-1]), words[0], words[1] + "\r\n", *(f"{' ' * n}{w}" for n, w in enumerate(words[:20]))]
+    flat = [w for t in texts for w in (t or "").encode().split()]
+    roll = suffixes.Rolling(pa.array([t if t is None else t.encode() for t in texts], pa.binary()))
+    assert np.diff(roll.bounds).tolist() == [len((t or "").encode().split()) for t in texts]
+    by_word = {}
+    for word, h in zip(flat, roll.windows(1).tolist()):
+        by_word.setdefault(word, set()).add(h)
+    assert all(len(h) == 1 for h in by_word.values()) and len(set.union(*by_word.values())) == len(by_word) == len(words)
+
+
+def test_minimisers():
+    rng = np.random.default_rng(17)
+    for n in (0, 1, 25, 26, 27, 300):
+        grams = rng.integers(0, 9, n).astype(np.uint64) << np.uint64(40)
+        assert suffixes.minimisers(grams).tolist() == [k + int(grams[k : k + 26].argmin()) for k in range(n - 25)]
+
+
+@pytest.mark.parametrize("within", [False, True])
+def test_passages_around_a_common_suffix(spark, within):
+    """Many texts share 45 words, some of them the words before or after as well, so keys spread over batches and windows differ."""
+    rng = random.Random(18)
+    common_words, around = prose(rng, 45, 5000), [prose(rng, 30, 5000) for _ in range(4)]
+    any_of = lambda: rng.choice([*around, prose(rng, 30, 5000), prose(rng, 30, 5000)])
+    rows = [(i % 70 or None, f"{any_of()} {common_words} {any_of()}") for i in range(120)]
+    rows += [rows[5], rows[5], (200, f"{rows[9][1]} {rows[9][1]}")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    rows = [(i, h, t.split()) for i, t, h in df.select("doc_id", "text", F.xxhash64(F.col("text").cast("binary"))).collect()]
+    places = {}
+    for i, h, w in rows:
+        for k in range(len(w) - 49):
+            places.setdefault(tuple(w[k : k + 50]), []).append((i is None, i or 0, h, k))
+    want = set()
+    for all_of in places.values():
+        all_of.sort()
+        if len(all_of) > 1 if within else len({p[:3] for p in all_of}) > 1 or len(set(all_of)) < len(all_of):
+            want |= {(h, k + j, n == 0) for n, (_, _, h, k) in enumerate(all_of) for j in range(50)}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        found = suffixes.repeated_passages(df.repartition(5), within=within).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    # spans of one kind with nothing but touching windows between them are one, as want's words are
+    assert {(r["text_hash"], j, r["first"]) for r in found for j in range(r["start"], r["end"])} == want
