@@ -1016,7 +1016,8 @@ def test_passage_windows_travel_in_rows_of_many():
     for found in suffixes._suffixes([batch()]):
         for i, at in zip(found.column("id").to_pylist(), found.column("at").to_pylist()):
             places[i["id"] // 10].append(at)
-    rows = [r for found in suffixes._windows([batch(pa.array(places, pa.list_(pa.int32())))]) for r in found.to_pylist()]
+    having = pa.array([i for i, p in enumerate(places) if p])  # as the join leaves no others
+    rows = [r for found in suffixes._windows([batch(pa.array(places, pa.list_(pa.int32()))).take(having)]) for r in found.to_pylist()]
     assert len(rows) < (951 + 351) / 5  # one row a window would be as many rows
     seen = [(r["id"]["id"], r["at"] + k) for r in rows for k in range(len(r["windows"]) // 8)]
     assert sorted(seen) == [(0, k) for k in range(951)] + [(40, k) for k in range(351)]
